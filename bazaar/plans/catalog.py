@@ -8,7 +8,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from bazaar.operators import forecast as FC
 from bazaar.operators import orders as O
+from bazaar.operators import sales as S
 from bazaar.sources.roles import Roles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,3 +26,130 @@ def register(name: str):
 @register("orders_per_day")
 def q_orders_per_day(spark: SparkSession, d: str) -> DataFrame:
     return O.orders_per_day(Roles(spark, d).orders)
+
+
+# ---- fixed parameters for the test tables (FIXTURES.md §2) ----
+SELECTED = ["brand_1", "brand_2", "brand_3", "brand_4", "brand_5"]
+SALES_START, SALES_END = "1995-01-01", "2001-08-01"
+FORECAST_MONTH = "2001-12"
+TOP_K_CATEGORIES, TOP_K_CITIES = 18, 10
+
+
+@register("order_day_hour")
+def q_order_day_hour(spark, d):
+    return O.order_day_hour(Roles(spark, d).order_times)
+
+
+@register("orders_by_weekday_hour")
+def q_orders_by_weekday_hour(spark, d):
+    return O.orders_by_weekday_hour(Roles(spark, d).order_times)
+
+
+def _city_top(spark, d):
+    r = Roles(spark, d)
+    return O.orders_per_city(r.orders, r.customers, k=TOP_K_CITIES)
+
+
+@register("orders_per_city")
+def q_orders_per_city(spark, d):
+    return _city_top(spark, d)
+
+
+@register("orders_per_city_reversed")
+def q_orders_per_city_reversed(spark, d):
+    return O.orders_per_city_reversed(_city_top(spark, d))
+
+
+@register("top_cities")
+def q_top_cities(spark, d):
+    return O.top_cities(_city_top(spark, d))
+
+
+@register("order_price_stats")
+def q_order_price_stats(spark, d):
+    r = Roles(spark, d)
+    return O.order_price_stats(r.orders, r.order_items)
+
+
+@register("order_product_and_shipping_costs")
+def q_order_costs(spark, d):
+    r = Roles(spark, d)
+    return O.order_product_and_shipping_costs(r.orders, r.order_items)
+
+
+def _ranked(r: Roles, exact: bool = False):
+    return S.ranked_categories(r.order_items, r.orders, r.products, r.translation, exact=exact)
+
+
+@register("ranked_categories")
+def q_ranked_categories(spark, d):
+    return _ranked(Roles(spark, d))
+
+
+@register("category_sales_summary")
+def q_category_sales_summary(spark, d):
+    return S.category_sales_summary(_ranked(Roles(spark, d), exact=True), k=TOP_K_CATEGORIES)
+
+
+@register("top_categories")
+def q_top_categories(spark, d):
+    return S.top_categories(_ranked(Roles(spark, d), exact=True), k=TOP_K_CATEGORIES)
+
+
+@register("ordered_categories")
+def q_ordered_categories(spark, d):
+    r = Roles(spark, d)
+    top = S.top_categories(_ranked(r, exact=True), k=TOP_K_CATEGORIES)
+    return S.ordered_categories(r.products, r.order_items, r.translation, top)
+
+
+def _top_weights(r: Roles):
+    top = S.top_categories(_ranked(r, exact=True), k=TOP_K_CATEGORIES)
+    return S.sold_item_weights(r.products, r.order_items, r.translation, top)
+
+
+@register("categories_by_median")
+def q_categories_by_median(spark, d):
+    return S.categories_by_median(_top_weights(Roles(spark, d)))
+
+
+@register("monthly_sales_selected_categories")
+def q_monthly_sales(spark, d):
+    r = Roles(spark, d)
+    return S.monthly_sales_selected_categories(r.orders, r.order_items, r.products, r.translation,
+                                               SELECTED, start=SALES_START)
+
+
+def _daily(r: Roles):
+    return S.daily_sales_per_category(r.orders, r.order_items, r.products, r.translation,
+                                      SELECTED, SALES_START, SALES_END)
+
+
+@register("daily_sales_per_category")
+def q_daily_sales(spark, d):
+    return _daily(Roles(spark, d))
+
+
+@register("lm_per_category")
+def q_lm_per_category(spark, d):
+    return FC.lm_per_category(_daily(Roles(spark, d)), digits=4)
+
+
+@register("forecasted_sales")
+def q_forecasted_sales(spark, d):
+    daily = _daily(Roles(spark, d))
+    return FC.forecasted_sales(daily, FC.lm_per_category(daily), SALES_START, FORECAST_MONTH)
+
+
+@register("regression_line")
+def q_regression_line(spark, d):
+    from bazaar.functions.timeutil import days_between_dates
+    coefs = FC.lm_per_category(_daily(Roles(spark, d)))
+    return FC.regression_line(coefs, days_between_dates(SALES_START, SALES_END))
+
+
+@register("series_split")
+def q_series_split(spark, d):
+    daily = _daily(Roles(spark, d))
+    return FC.series_split(FC.forecasted_sales(daily, FC.lm_per_category(daily), SALES_START, FORECAST_MONTH),
+                           SELECTED[:2])
