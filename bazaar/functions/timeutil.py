@@ -26,7 +26,7 @@ def date_lit(value: str) -> Column:
 
 def micros_between(start: Column, end: Column) -> Column:
     """end - start in whole microseconds (NULL if either side is NULL)."""
-    return F.timestampdiff("MICROSECOND", start, end)
+    return F.timestamp_diff("MICROSECOND", start, end)
 
 
 def days_between(start: Column, end: Column) -> Column:

@@ -41,7 +41,7 @@ def orders_by_weekday_hour(orders: DataFrame, ts: str = TS) -> DataFrame:
 
 
 def orders_per_city(orders: DataFrame, customers: DataFrame | None = None, k: int = 10,
-                    city: str = "customer_city") -> DataFrame:
+                    city: str = "customer_city", key: str = "order_id") -> DataFrame:
     """Top-k cities by order count -> (customer_city, city, city_order_count).
 
     With ``customers`` the orders are joined on customer_id; without, ``orders``
@@ -51,7 +51,7 @@ def orders_per_city(orders: DataFrame, customers: DataFrame | None = None, k: in
     at most k x partitions rows.
     """
     src = orders.join(customers, "customer_id") if customers is not None else orders
-    counts = src.groupBy(F.col(city).alias("customer_city")).agg(F.count("order_id").alias("city_order_count"))
+    counts = src.groupBy(F.col(city).alias("customer_city")).agg(F.count(key).alias("city_order_count"))
     return (counts.select("customer_city", F.upper(F.col("customer_city").cast("string")).alias("city"),
                           "city_order_count")
             .orderBy(F.desc("city_order_count"), F.asc_nulls_first("customer_city")).limit(k))

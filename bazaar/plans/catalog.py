@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from bazaar.operators import forecast as FC
 from bazaar.operators import orders as O
 from bazaar.operators import sales as S
+from bazaar.operators import customers as C
+from bazaar.operators import geo as G
+from bazaar.operators import logistics as L
+from bazaar.operators import reviews as RV
 from bazaar.sources.roles import Roles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -153,3 +157,70 @@ def q_series_split(spark, d):
     daily = _daily(Roles(spark, d))
     return FC.series_split(FC.forecasted_sales(daily, FC.lm_per_category(daily), SALES_START, FORECAST_MONTH),
                            SELECTED[:2])
+
+
+SHIP_START, SHIP_END = "1997-06-01", "1998-07-01"
+RFM_AS_OF = "2002-01-01"
+
+
+@register("order_stage_times")
+def q_order_stage_times(spark, d):
+    st = Roles(spark, d).stages
+    cities = O.top_cities(O.orders_per_city(st, k=TOP_K_CITIES, key="user_id"))
+    return L.order_stage_times(st, cities=cities)
+
+
+def _daily_ship(spark, d):
+    return L.daily_avg_shipping_time(Roles(spark, d).shipments, SHIP_START, SHIP_END)
+
+
+@register("daily_avg_shipping_time")
+def q_daily_avg_shipping_time(spark, d):
+    return _daily_ship(spark, d)
+
+
+@register("overall_mean_line")
+def q_overall_mean_line(spark, d):
+    return L.overall_mean_line(_daily_ship(spark, d))
+
+
+@register("review_score_count")
+def q_review_score_count(spark, d):
+    return RV.review_score_count(Roles(spark, d).order_reviews)
+
+
+@register("rfm_buckets")
+def q_rfm_buckets(spark, d):
+    r = Roles(spark, d)
+    return C.rfm_buckets(r.orders, r.order_items, r.customers, RFM_AS_OF)
+
+
+@register("clv")
+def q_clv(spark, d):
+    r = Roles(spark, d)
+    return C.clv(r.customers, r.orders, r.order_payments)
+
+
+def _per_zip(spark, d):
+    r = Roles(spark, d)
+    return C.avg_clv_per_zip(C.clv(r.customers, r.orders, r.order_payments), r.geolocation)
+
+
+@register("avg_clv_per_zip")
+def q_avg_clv_per_zip(spark, d):
+    return _per_zip(spark, d)
+
+
+@register("geo_markers")
+def q_geo_markers(spark, d):
+    return G.geo_markers(_per_zip(spark, d))
+
+
+@register("geo_density")
+def q_geo_density(spark, d):
+    return G.geo_density(_per_zip(spark, d), "customer_count", 1.0)
+
+
+@register("hover_label")
+def q_hover_label(spark, d):
+    return G.hover_label(_per_zip(spark, d))
