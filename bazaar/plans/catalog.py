@@ -7,6 +7,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from bazaar.operators import forecast as FC
 from bazaar.operators import orders as O
@@ -15,6 +16,10 @@ from bazaar.operators import customers as C
 from bazaar.operators import geo as G
 from bazaar.operators import logistics as L
 from bazaar.operators import reviews as RV
+from bazaar.operators import cleaning as CL
+from bazaar.operators import leads as LD
+from bazaar.operators import sellers as SL
+from bazaar.operators import shaping as SH
 from bazaar.sources.roles import Roles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -224,3 +229,105 @@ def q_geo_density(spark, d):
 @register("hover_label")
 def q_hover_label(spark, d):
     return G.hover_label(_per_zip(spark, d))
+
+
+SELLER_EDGES = (1, 500, 560, 590, 620)
+
+
+@register("seller_review_scores_and_sales")
+def q_seller_scores(spark, d):
+    r = Roles(spark, d)
+    return SL.seller_review_scores_and_sales(r.order_items, r.order_reviews)
+
+
+@register("sellers_per_bucket")
+def q_sellers_per_bucket(spark, d):
+    return SL.sellers_per_bucket(Roles(spark, d).order_items, SELLER_EDGES)
+
+
+def _ship_times(spark, d):
+    r = Roles(spark, d)
+    return SL.seller_shipping_times(r.shipments, r.order_items, SELLER_EDGES)
+
+
+@register("seller_shipping_times")
+def q_seller_shipping_times(spark, d):
+    return _ship_times(spark, d)
+
+
+@register("lead_conversion")
+def q_lead_conversion(spark, d):
+    r = Roles(spark, d)
+    return LD.lead_conversion(r.leads, r.deals)
+
+
+@register("matrix_vs_mean")
+def q_matrix_vs_mean(spark, d):
+    return SH.matrix_vs_mean(O.orders_by_weekday_hour(Roles(spark, d).order_times))
+
+
+@register("histogram")
+def q_histogram(spark, d):
+    r = Roles(spark, d)
+    return SH.histogram(O.order_product_and_shipping_costs(r.orders, r.order_items), "product_cost", 0, 500000, 1000)
+
+
+def _summary(spark, d):
+    return S.category_sales_summary(_ranked(Roles(spark, d), exact=True), k=TOP_K_CATEGORIES)
+
+
+@register("min_max_scale")
+def q_min_max_scale(spark, d):
+    return CL.min_max_scale(_summary(spark, d), "sales", digits=3)
+
+
+@register("truncate_int")
+def q_truncate_int(spark, d):
+    return CL.truncate_int(_summary(spark, d), "sales")
+
+
+@register("category_share")
+def q_category_share(spark, d):
+    return SH.category_share(_summary(spark, d))
+
+
+def _weights_sigma(spark, d):
+    return CL.remove_outliers_sigma(q_ordered_categories(spark, d), "weight", ["category"], 3.0)
+
+
+@register("remove_outliers_sigma")
+def q_remove_outliers_sigma(spark, d):
+    return _weights_sigma(spark, d)
+
+
+def _ship_iqr(spark, d):
+    return CL.remove_outliers_iqr(_ship_times(spark, d), "delivery_time", ["bucket"], 1.5, passes=2)
+
+
+@register("remove_outliers_iqr")
+def q_remove_outliers_iqr(spark, d):
+    return _ship_iqr(spark, d)
+
+
+@register("box_summary")
+def q_box_summary(spark, d):
+    return SH.box_summary(_ship_iqr(spark, d), "delivery_time", ["bucket"])
+
+
+@register("explicit_order")
+def q_explicit_order(spark, d):
+    boxes = SH.box_summary(_weights_sigma(spark, d), "weight", ["category"])
+    medians = q_categories_by_median(spark, d)
+    return SH.explicit_order(boxes, "category", medians, "category",
+                             order_by=[F.asc_nulls_first("median_weight")])
+
+
+@register("unpivot_series")
+def q_unpivot_series(spark, d):
+    stages = q_order_stage_times(spark, d)
+    return SH.unpivot_series(stages, ["city"], [n for n, _, _ in L.STAGES], "stage", "days")
+
+
+@register("parse_dates")
+def q_parse_dates(spark, d):
+    return SH.parse_dates(q_monthly_sales(spark, d), "year_month", "yyyy-MM")
