@@ -20,6 +20,7 @@ from bazaar.operators import cleaning as CL
 from bazaar.operators import leads as LD
 from bazaar.operators import sellers as SL
 from bazaar.operators import shaping as SH
+from bazaar.operators import smoothing as SM
 from bazaar.sources.roles import Roles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -331,3 +332,19 @@ def q_unpivot_series(spark, d):
 @register("parse_dates")
 def q_parse_dates(spark, d):
     return SH.parse_dates(q_monthly_sales(spark, d), "year_month", "yyyy-MM")
+
+
+@register("lowess")
+def q_lowess(spark, d):
+    """Delivery-time trend (frac 0.3) over the daily means; x = day number."""
+    daily = _daily_ship(spark, d).withColumn("x", F.datediff("purchase_date", F.lit("1970-01-01").cast("date")))
+    fit = SM.lowess(daily, "x", "avg_delivery_time", frac=0.3)
+    return fit.select(F.date_add(F.lit("1970-01-01").cast("date"), F.col("x").cast("int")).alias("purchase_date"),
+                      "avg_delivery_time", F.round("fit", 6).alias("trend"))
+
+
+@register("lowess_seller_scores")
+def q_lowess_sellers(spark, d):
+    """Review score vs total sales trend per seller (frac 0.1)."""
+    fit = SM.lowess(q_seller_scores(spark, d), "total_sales", "avg_review_score", frac=0.1)
+    return fit.select("total_sales", "avg_review_score", F.round("fit", 6).alias("trend"))
