@@ -84,11 +84,12 @@ def q_order_price_stats(spark, d):
 @register("order_product_and_shipping_costs")
 def q_order_costs(spark, d):
     r = Roles(spark, d)
-    return O.order_product_and_shipping_costs(r.orders, r.order_items)
+    return O.order_product_and_shipping_costs(r.delivered_orders(), r.order_items, status=None)
 
 
 def _ranked(r: Roles, exact: bool = False):
-    return S.ranked_categories(r.order_items, r.orders, r.products, r.translation, exact=exact)
+    return S.ranked_categories(r.order_items, r.delivered_orders(), r.products, r.translation,
+                               status=None, exact=exact)
 
 
 @register("ranked_categories")
@@ -198,7 +199,7 @@ def q_review_score_count(spark, d):
 @register("rfm_buckets")
 def q_rfm_buckets(spark, d):
     r = Roles(spark, d)
-    return C.rfm_buckets(r.orders, r.order_items, r.customers, RFM_AS_OF)
+    return C.rfm_buckets(r.delivered_orders(), r.order_items, r.customers, RFM_AS_OF, status=None)
 
 
 @register("clv")
@@ -270,7 +271,8 @@ def q_matrix_vs_mean(spark, d):
 @register("histogram")
 def q_histogram(spark, d):
     r = Roles(spark, d)
-    return SH.histogram(O.order_product_and_shipping_costs(r.orders, r.order_items), "product_cost", 0, 500000, 1000)
+    costs = O.order_product_and_shipping_costs(r.delivered_orders(), r.order_items, status=None)
+    return SH.histogram(costs, "product_cost", 0, 500000, 1000)
 
 
 def _summary(spark, d):

@@ -1,0 +1,6 @@
+"""Incremental maintenance of the order-volume datasets with Structured Streaming."""
+
+from bazaar.streaming.incremental import (daily_order_counts, order_stream, start_daily_counts,
+                                          weekday_hour_counts)
+
+__all__ = ["order_stream", "daily_order_counts", "weekday_hour_counts", "start_daily_counts"]
