@@ -57,11 +57,18 @@ def iqr_fences(df: DataFrame, col: str, by: Sequence[str], k: float = 1.5) -> Da
     return q.select(*by, (F.col("_q1") - F.lit(k) * iqr).alias("_lo"), (F.col("_q3") + F.lit(k) * iqr).alias("_hi"))
 
 
-def remove_outliers_iqr(df: DataFrame, col: str, by: Sequence[str], k: float = 1.5, passes: int = 1) -> DataFrame:
+def remove_outliers_iqr(df: DataFrame, col: str, by: Sequence[str], k: float = 1.5, passes: int = 1,
+                        materialize: bool = True) -> DataFrame:
     """Keep rows with Q1 - k*IQR <= x <= Q3 + k*IQR in their group. NULL
     values and NULL groups are dropped. Each pass recomputes the fences on
-    the rows the previous pass kept (the reference applied it twice)."""
+    the rows the previous pass kept (the reference applied it twice).
+
+    Every pass reads its input twice (fences, then the filter), so with
+    ``materialize`` the input is checkpointed once instead of re-running
+    its whole plan for each read."""
     by = list(by)
+    if materialize and passes > 0:
+        df = df.checkpoint(eager=True)
     for _ in range(passes):
         f = iqr_fences(df, col, by, k)
         df = (df.join(f, by).where((F.col(col) >= F.col("_lo")) & (F.col(col) <= F.col("_hi")))

@@ -15,13 +15,15 @@ one hot group of a partitioned window. Here instead:
    number of rows before it; each row adds its position inside the partition
    (``monotonically_increasing_id`` is dense within one partition).
 
-The only driver round trip is the eager checkpoint job itself.
+Driver round trips: the eager checkpoint job, and for one global order (no
+groups) the per-partition counts, one row per range partition.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,11 +37,21 @@ def _cols(xs) -> list[Column]:
 
 
 def sorted_checkpoint(df: DataFrame, sort_keys: Sequence[Column], num_partitions: int | None = None) -> DataFrame:
-    """Range-partition + sort ``df`` on ``sort_keys`` and checkpoint it reliably."""
+    """Range-partition + sort ``df`` on ``sort_keys`` and checkpoint it reliably.
+
+    The range partitioner samples its input in a separate pass before the
+    shuffle; the input is persisted for that span so it is computed once. A
+    lost cached block is recomputed with the same rows, and the bounds are
+    already fixed by then, so the checkpoint sees the same partitions.
+    """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartitionByRange(n, *sort_keys).sortWithinPartitions(*sort_keys).checkpoint(eager=True)
+    src = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return src.repartitionByRange(n, *sort_keys).sortWithinPartitions(*sort_keys).checkpoint(eager=True)
+    finally:
+        src.unpersist()
 
 
 def global_row_number(df: DataFrame, order_by: Sequence[Column | str], partition_by: Sequence[str] = (),
@@ -58,19 +70,18 @@ def global_row_number(df: DataFrame, order_by: Sequence[Column | str], partition
     cp = sorted_checkpoint(df, keys, num_partitions)
     lab = cp.withColumn(_PID, F.spark_partition_id()).withColumn(_MID, F.monotonically_increasing_id())
 
+    if not part:
+        return _number_unpartitioned(cp, lab, out, with_group_size)
     # the small statistics side carries its own column names: no self-join ambiguity
     gk = [f"_rk_g{i}" for i in range(len(part))]
     stats = lab.groupBy(F.col(_PID).alias("_rk_spid"), *[F.col(p).alias(g) for p, g in zip(part, gk)]).agg(
         F.count(F.lit(1)).alias(_CNT), F.min(_MID).alias(_FIRST))
-    w = Window.partitionBy(*gk).orderBy("_rk_spid") if part else Window.orderBy("_rk_spid")
+    # prefix sums per group over that group's partitions (a group spans few partitions)
+    w = Window.partitionBy(*gk).orderBy("_rk_spid")
     stats = stats.withColumn(_OFF, F.sum(_CNT).over(w.rowsBetween(Window.unboundedPreceding, -1)))
     if with_group_size:
-        wg = Window.partitionBy(*gk) if part else Window.partitionBy()
-        stats = stats.withColumn(_N, F.sum(_CNT).over(wg))
+        stats = stats.withColumn(_N, F.sum(_CNT).over(Window.partitionBy(*gk)))
     stats = stats.drop(_CNT)
-    if not part:
-        # one row per partition of the range shuffle: bounded by the partition count
-        stats = F.broadcast(stats)
     cond = F.col(_PID) == F.col("_rk_spid")
     for p, g in zip(part, gk):
         cond = cond & F.col(p).eqNullSafe(F.col(g))
@@ -80,6 +91,23 @@ def global_row_number(df: DataFrame, order_by: Sequence[Column | str], partition
     return joined.select(*[F.col(c) for c in cp.columns], rn, *extra)
 
 
+def _number_unpartitioned(cp: DataFrame, lab: DataFrame, out: str, with_group_size: str | None) -> DataFrame:
+    """One global order: gather the row count of each range partition (one
+    small row per partition, as ``zipWithIndex`` does), turn it into offsets
+    on the driver and broadcast that table back (bounded by the partition count)."""
+    spark = cp.sparkSession
+    counts = sorted(tuple(r) for r in lab.groupBy(_PID).agg(F.count(F.lit(1)), F.min(_MID)).collect())
+    rows, total = [], 0
+    for pid, cnt, first in counts:
+        rows.append((pid, total, first))
+        total += cnt
+    offs = spark.createDataFrame(rows, f"_rk_spid int, {_OFF} long, {_FIRST} long")
+    joined = lab.join(F.broadcast(offs), F.col(_PID) == F.col("_rk_spid"))
+    rn = (F.col(_OFF) + (F.col(_MID) - F.col(_FIRST)) + 1).alias(out)
+    extra = [F.lit(total).cast("bigint").alias(with_group_size)] if with_group_size else []
+    return joined.select(*[F.col(c) for c in cp.columns], rn, *extra)
+
+
 def tile_of(rn: str, n: str, tiles: int) -> Column:
     """NTILE(tiles) of the 1-based row number in column ``rn`` among ``n`` rows
     (integer arithmetic): the first n mod tiles tiles hold one row more."""

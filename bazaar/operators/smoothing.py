@@ -115,6 +115,7 @@ def lowess(df: DataFrame, x: str, y: str, frac: float = 2.0 / 3.0, iters: int =
         med = group_quantiles(res, "_r", by, [0.5], names=["_m"])
         scaled = F.when(F.col("_m") == 0, F.when(F.col("_r") > 0, 1.0).otherwise(0.0)) \
             .otherwise(F.least(F.col("_r") / (6.0 * F.col("_m")), F.lit(1.0)))
-        rw = _ckpt(res.join(med, by).select(*by, F.col("_i").alias("_j"), F.pow(1 - F.pow(scaled, 2), 2).alias("_rw")))
+        # shallow lineage (checkpointed fits joined with one median per series): no checkpoint
+        rw = (res.join(med, by).select(*by, F.col("_i").alias("_j"), F.pow(1 - F.pow(scaled, 2), 2).alias("_rw")))
     keep = [] if single else by
     return fits.select(*keep, F.col("_x").alias(x), F.col("_y").alias(y), F.col("_f").alias(out))

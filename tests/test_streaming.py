@@ -1,0 +1,26 @@
+"""The streaming order counts agree with the batch operator on finished days."""
+
+import os
+import tempfile
+
+from pyspark.sql import functions as F
+
+from bazaar.operators.orders import orders_per_day
+from bazaar.sources.roles import Roles
+from bazaar.sources.tables import TABLE_SCHEMAS
+from bazaar.streaming import daily_order_counts, order_stream, start_daily_counts
+
+from .conftest import SF_SMALL
+
+
+def test_stream_matches_batch(spark):
+    s = order_stream(spark, SF_SMALL, TABLE_SCHEMAS["events"], glob="events.parquet")
+    orders = s.select(F.col("event_id").alias("order_id"), F.col("ts").alias("order_purchase_timestamp"))
+    d = tempfile.mkdtemp(prefix="bazaar-stream-")
+    q = start_daily_counts(daily_order_counts(orders), os.path.join(d, "out"), os.path.join(d, "ck"))
+    q.awaitTermination(180)
+    got = {r.day: r.order_count for r in spark.read.parquet(os.path.join(d, "out")).collect()}
+    batch = {r.day: r.order_count for r in orders_per_day(Roles(spark, SF_SMALL).order_times).collect()}
+    assert got and all(batch[day] == n for day, n in got.items())
+    # only days behind the watermark are final; the newest day is still open
+    assert max(batch) not in got
