@@ -350,3 +350,15 @@ def q_lowess_sellers(spark, d):
     """Review score vs total sales trend per seller (frac 0.1)."""
     fit = SM.lowess(q_seller_scores(spark, d), "total_sales", "avg_review_score", frac=0.1)
     return fit.select("total_sales", "avg_review_score", F.round("fit", 6).alias("trend"))
+
+
+@register("histogram_shipping_cost")
+def q_histogram_shipping(spark, d):
+    r = Roles(spark, d)
+    costs = O.order_product_and_shipping_costs(r.delivered_orders(), r.order_items, status=None)
+    return SH.histogram(costs, "shipping_cost", 0, 40000, 800)
+
+
+@register("geo_density_clv")
+def q_geo_density_clv(spark, d):
+    return G.geo_density(_per_zip(spark, d), "avg_CLV", 1.0)

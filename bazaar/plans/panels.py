@@ -20,9 +20,11 @@ from bazaar.sources.sinks import write_dataset
 # panel -> figure dataset -> registered query (several figures appear in two panels)
 PANELS: dict[str, dict[str, str]] = {
     "order_analysis": {"orders_per_day": "orders_per_day", "weekday_hour": "matrix_vs_mean",
-                       "product_cost_histogram": "histogram", "monthly_sales": "parse_dates",
+                       "product_cost_histogram": "histogram",
+                       "shipping_cost_histogram": "histogram_shipping_cost", "monthly_sales": "parse_dates",
                        "stage_times": "unpivot_series", "clv_map": "geo_markers",
-                       "clv_density": "geo_density", "clv_labels": "hover_label"},
+                       "customer_density": "geo_density", "clv_density": "geo_density_clv",
+                       "clv_labels": "hover_label"},
     "top_orders": {"category_treemap": "min_max_scale", "category_share": "category_share",
                    "weight_boxes": "explicit_order"},
     "predictions": {"regression_lines": "regression_line", "forecast": "forecasted_sales",

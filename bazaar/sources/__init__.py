@@ -1,7 +1,7 @@
 """Readers for the base tables, the role views the operators expect, and sinks."""
 
-from bazaar.sources.tables import read_table, TABLE_SCHEMAS
+from bazaar.sources.tables import TABLE_SCHEMAS, read_jdbc, read_table
 from bazaar.sources.roles import Roles
 from bazaar.sources.sinks import write_dataset
 
-__all__ = ["read_table", "TABLE_SCHEMAS", "Roles", "write_dataset"]
+__all__ = ["read_table", "read_jdbc", "TABLE_SCHEMAS", "Roles", "write_dataset"]
