@@ -59,3 +59,19 @@ def test_lowess_per_series_and_nulls(spark):
         exp = brute_lowess(xs, ys, 0.5)
         g = sorted((r.x, r.y, r.fit) for r in got.where(f"s = {s}").collect())
         assert max(abs(a[2] - b[2]) for a, b in zip(g, exp)) < 1e-9
+
+
+def test_anchor_mode(spark):
+    rng = np.random.default_rng(7)
+    n = 300
+    x = np.sort(rng.uniform(0, 100, n))
+    y = np.sin(x / 15) + rng.normal(0, 0.1, n)
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "x double, y double")
+    exact = {r.x: r.fit for r in lowess(df, "x", "y", 0.3).collect()}
+    # as many anchors as points: identical to the exact fit
+    full = {r.x: r.fit for r in lowess(df, "x", "y", 0.3, anchors=n).collect()}
+    assert max(abs(full[v] - exact[v]) for v in exact) < 1e-12
+    # 30 anchors: a close approximation of a smooth trend
+    sparse = {r.x: r.fit for r in lowess(df, "x", "y", 0.3, anchors=30).collect()}
+    assert len(sparse) == n
+    assert max(abs(sparse[v] - exact[v]) for v in exact) < 0.05
