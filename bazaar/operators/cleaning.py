@@ -14,16 +14,16 @@ def min_max_scale(df: DataFrame, col: str, out: str | None = None, by: Sequence[
                   digits: int = 3) -> DataFrame:
     """(x - min) / (max - min), rounded half-even on the binary value to
     ``digits`` (as numpy/pandas round); NULL when max = min. Without ``by`` the
-    bounds are two scalar subqueries."""
+    bounds come from one scalar subquery."""
     out = out or f"scaled_{col}"
     if by:
         b = df.groupBy(*by).agg(F.min(col).alias("_mn"), F.max(col).alias("_mx"))
         j = df.join(b, list(by), "left")
         val = F.try_divide(F.col(col) - F.col("_mn"), F.col("_mx") - F.col("_mn"))
         return j.withColumn(out, _round_even(val, digits)).drop("_mn", "_mx")
-    b = df.agg(F.min(col).alias("mn"), F.max(col).alias("mx"))
-    mn, mx = b.select("mn").scalar(), b.select("mx").scalar()
-    return df.withColumn(out, _round_even(F.try_divide(F.col(col) - mn, mx - mn), digits))
+    # one scalar subquery returning both bounds
+    b = df.agg(F.struct(F.min(col).alias("mn"), (F.max(col) - F.min(col)).alias("rng")).alias("b")).scalar()
+    return df.withColumn(out, _round_even(F.try_divide(F.col(col) - b.getField("mn"), b.getField("rng")), digits))
 
 
 def _round_even(c, digits: int):
