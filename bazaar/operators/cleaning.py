@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bazaar.operators.ranking import group_quantiles
+from bazaar.session import reliable_checkpoint
 
 
 def min_max_scale(df: DataFrame, col: str, out: str | None = None, by: Sequence[str] = (),
@@ -68,7 +69,7 @@ def remove_outliers_iqr(df: DataFrame, col: str, by: Sequence[str], k: float = 1
     its whole plan for each read."""
     by = list(by)
     if materialize and passes > 0:
-        df = df.checkpoint(eager=True)
+        df = reliable_checkpoint(df)
     for _ in range(passes):
         f = iqr_fences(df, col, by, k)
         df = (df.join(f, by).where((F.col(col) >= F.col("_lo")) & (F.col(col) <= F.col("_hi")))

@@ -27,7 +27,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bazaar.session import ensure_checkpoint_dir
+from bazaar.session import reliable_checkpoint
 
 _PID, _MID, _CNT, _FIRST, _OFF, _N = "_rk_pid", "_rk_mid", "_rk_cnt", "_rk_first", "_rk_off", "_rk_n"
 
@@ -45,11 +45,10 @@ def sorted_checkpoint(df: DataFrame, sort_keys: Sequence[Column], num_partitions
     already fixed by then, so the checkpoint sees the same partitions.
     """
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     src = df.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return src.repartitionByRange(n, *sort_keys).sortWithinPartitions(*sort_keys).checkpoint(eager=True)
+        return reliable_checkpoint(src.repartitionByRange(n, *sort_keys).sortWithinPartitions(*sort_keys))
     finally:
         src.unpersist()
 

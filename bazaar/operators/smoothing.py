@@ -31,10 +31,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bazaar.operators.ranking import global_row_number, group_quantiles
+from bazaar.session import reliable_checkpoint
 
 
 def _ckpt(df: DataFrame) -> DataFrame:
-    return df.checkpoint(eager=True)
+    return reliable_checkpoint(df)
 
 
 def _eq(a: DataFrame, b: DataFrame, by: Sequence[str]) -> Column:
