@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bazaar.operators.ranking import group_quantiles
+from bazaar.operators.ranking import positions_quantiles, value_positions
 from bazaar.session import reliable_checkpoint
 
 
@@ -51,11 +51,16 @@ def remove_outliers_sigma(df: DataFrame, col: str, by: Sequence[str], n_std: flo
     return j.where(F.coalesce(~((x < lo) | (x > hi)), F.lit(True))).drop("_mu", "_sd")
 
 
-def iqr_fences(df: DataFrame, col: str, by: Sequence[str], k: float = 1.5) -> DataFrame:
-    """Per group: Q1 - k*IQR and Q3 + k*IQR, quantiles linear-interpolated."""
-    q = group_quantiles(df, col, by, [0.25, 0.75], names=["_q1", "_q3"])
-    iqr = F.col("_q3") - F.col("_q1")
-    return q.select(*by, (F.col("_q1") - F.lit(k) * iqr).alias("_lo"), (F.col("_q3") + F.lit(k) * iqr).alias("_hi"))
+def _iqr_bounds(pos: DataFrame, col: str, by: list[str], k: float, passes: int) -> DataFrame | None:
+    """Fences after ``passes`` rounds; each round's quantiles are taken over the
+    values the previous fences kept (a contiguous value range per group)."""
+    bounds = None
+    for _ in range(passes):
+        q = positions_quantiles(pos, col, by, [0.25, 0.75], ["_q1", "_q3"], bounds)
+        iqr = F.col("_q3") - F.col("_q1")
+        bounds = q.select(*by, (F.col("_q1") - F.lit(k) * iqr).alias("_lo"),
+                          (F.col("_q3") + F.lit(k) * iqr).alias("_hi"))
+    return bounds
 
 
 def remove_outliers_iqr(df: DataFrame, col: str, by: Sequence[str], k: float = 1.5, passes: int = 1,
@@ -64,14 +69,26 @@ def remove_outliers_iqr(df: DataFrame, col: str, by: Sequence[str], k: float = 1
     values and NULL groups are dropped. Each pass recomputes the fences on
     the rows the previous pass kept (the reference applied it twice).
 
-    Every pass reads its input twice (fences, then the filter), so with
-    ``materialize`` the input is checkpointed once instead of re-running
-    its whole plan for each read."""
+    The kept rows of a pass are a contiguous value range of their group, so
+    all passes read one sorted value histogram (``value_positions``): one
+    sort, whatever the number of passes. With ``materialize`` the input is
+    checkpointed once, since it is read twice (histogram, final filter)."""
     by = list(by)
-    if materialize and passes > 0:
+    if passes <= 0:
+        return df
+    if materialize:
         df = reliable_checkpoint(df)
-    for _ in range(passes):
-        f = iqr_fences(df, col, by, k)
-        df = (df.join(f, by).where((F.col(col) >= F.col("_lo")) & (F.col(col) <= F.col("_hi")))
-              .select(*df.columns))
-    return df
+    f = _iqr_bounds(value_positions(df, col, by), col, by, k, passes)
+    return df.join(f, by).where((F.col(col) >= F.col("_lo")) & (F.col(col) <= F.col("_hi"))).select(*df.columns)
+
+
+def iqr_box_summary(df: DataFrame, col: str, by: Sequence[str], k: float = 1.5, passes: int = 1) -> DataFrame:
+    """D06 + D07 in one: the box-plot numbers of the rows ``remove_outliers_iqr``
+    keeps, read from the same value histogram (no second sort).
+    -> (by..., min, q1, median, q3, max, n)"""
+    by = list(by)
+    pos = value_positions(df, col, by)
+    b = positions_quantiles(pos, col, by, [0.25, 0.5, 0.75], ["q1", "median", "q3"],
+                            _iqr_bounds(pos, col, by, k, passes), with_min_max_count=True)
+    r = lambda c: F.round(F.col(c).cast("double"), 4).alias(c)
+    return b.select(*by, r("min"), r("q1"), r("median"), r("q3"), r("max"), F.col("n").cast("bigint").alias("n"))

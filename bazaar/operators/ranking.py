@@ -125,45 +125,130 @@ def global_ntile(df: DataFrame, tiles: int, order_by: Sequence[Column | str], ou
             .drop("_rk_rn", "_rk_size"))
 
 
+def value_positions(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
+    """Distinct values per group with their count and their 1-based position
+    range in the group's sorted order: (by..., value, _w, _cs, _ce, _n).
+
+    Rows are first reduced to a (group, value) -> count histogram (partial
+    aggregation: a value held by a third of all rows becomes one row), then
+    the histogram is range-partitioned, checkpointed and given running
+    counts: per partition by a window over that partition's slice of a group,
+    across partitions by prefix sums over per-(partition, group) totals.
+    NULL values are ignored. ``by`` must not be empty.
+    """
+    by = list(by)
+    h = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_w"))
+    cp = sorted_checkpoint(h, [F.asc_nulls_first(b) for b in by] + [F.asc(value)])
+    lab = cp.withColumn(_PID, F.spark_partition_id())
+    gk = [f"_rk_g{i}" for i in range(len(by))]
+    stats = lab.groupBy(F.col(_PID).alias("_rk_spid"), *[F.col(b).alias(g) for b, g in zip(by, gk)]).agg(
+        F.sum("_w").alias(_CNT))
+    stats = (stats.withColumn(_OFF, F.sum(_CNT).over(Window.partitionBy(*gk).orderBy("_rk_spid")
+                                                     .rowsBetween(Window.unboundedPreceding, -1)))
+             .withColumn(_N, F.sum(_CNT).over(Window.partitionBy(*gk))).drop(_CNT))
+    local = F.sum("_w").over(Window.partitionBy(_PID, *by).orderBy(value)
+                             .rowsBetween(Window.unboundedPreceding, 0))
+    lab = lab.withColumn("_ce_local", local)
+    cond = F.col(_PID) == F.col("_rk_spid")
+    for b, g in zip(by, gk):
+        cond = cond & F.col(b).eqNullSafe(F.col(g))
+    ce = F.coalesce(F.col(_OFF), F.lit(0)) + F.col("_ce_local")
+    # lineage is short (checkpointed histogram, one window, one join with a small
+    # table); repeated uses inside one query share these exchanges
+    return lab.join(stats, cond).select(
+        *by, value, "_w", (ce - F.col("_w") + 1).alias("_cs"), ce.alias("_ce"), F.col(_N).alias("_n"))
+
+
+def positions_quantiles(pos: DataFrame, value: str, by: Sequence[str], probs: Sequence[float],
+                        names: Sequence[str], bounds: DataFrame | None = None,
+                        with_min_max_count: bool = False) -> DataFrame:
+    """Exact linear-interpolated quantiles from ``value_positions``, over all
+    values of each group or, with ``bounds`` (by..., _lo, _hi), over the values
+    inside [_lo, _hi] only -- a contiguous run of the sorted order, so no new
+    sort is needed. Groups with no value inside drop out."""
+    by = list(by)
+    v = F.col(value)
+    if bounds is None:
+        level = pos.groupBy(*by).agg(F.lit(0).cast("bigint").alias("_below"), F.max("_n").alias("_m"))
+    else:
+        j = pos.join(bounds, by)
+        inside = (v >= F.col("_lo")) & (v <= F.col("_hi"))
+        level = j.groupBy(*by).agg(F.coalesce(F.sum(F.when(v < F.col("_lo"), F.col("_w"))), F.lit(0)).alias("_below"),
+                                   F.coalesce(F.sum(F.when(inside, F.col("_w"))), F.lit(0)).alias("_m"))
+    level = level.where(F.col("_m") > 0)
+    p = pos.join(level, by)
+    m, below = F.col("_m"), F.col("_below")
+
+    def at(position):
+        return (F.col("_cs") <= position) & (position <= F.col("_ce"))
+
+    spots = []
+    for q in probs:
+        h = (m - 1) * F.lit(float(q))
+        spots.append((below + F.floor(h) + 1, below + F.ceil(h) + 1))
+    ends = [below + 1, below + m] if with_min_max_count else []
+    wanted = F.lit(False)
+    for position in [x for pair in spots for x in pair] + ends:
+        wanted = wanted | at(position)
+    aggs = [F.max("_m").alias("_mm")]
+    for i, (lo, hi) in enumerate(spots):
+        aggs += [F.max(F.when(at(lo), v)).alias(f"_lo{i}"), F.max(F.when(at(hi), v)).alias(f"_hi{i}")]
+    if with_min_max_count:
+        aggs += [F.max(F.when(at(ends[0]), v)).alias("min"), F.max(F.when(at(ends[1]), v)).alias("max")]
+    g = p.where(wanted).groupBy(*by).agg(*aggs)
+    outs = []
+    for i, q in enumerate(probs):
+        h = (F.col("_mm") - 1) * F.lit(float(q))
+        d = h - F.floor(h)
+        lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
+        outs.append((lo + d * (hi - lo)).alias(names[i]))
+    extra = [F.col("min"), F.col("max"), F.col("_mm").alias("n")] if with_min_max_count else []
+    return g.select(*by, *outs, *extra)
+
+
 def group_quantiles(df: DataFrame, value: str, by: Sequence[str], probs: Sequence[float],
-                    names: Sequence[str] | None = None, with_min_max_count: bool = False,
-                    tiebreak: Sequence[Column | str] = ()) -> DataFrame:
+                    names: Sequence[str] | None = None, with_min_max_count: bool = False) -> DataFrame:
     """Exact quantiles with linear interpolation (SQL ``percentile``/``quantile_cont``,
     pandas ``quantile``) per group, NULL values ignored.
 
-    Rows are numbered inside their group by value (see ``global_row_number``),
-    then only the rows at the interpolation positions survive a filter before
-    the final (tiny) aggregate: no group's values are ever held in one buffer.
+    Built on ``value_positions``: only the histogram of distinct values is
+    sorted, and only the rows at the interpolation positions reach the final
+    (tiny) aggregate, so no group's values are ever held in one buffer.
     Returns ``by`` + one column per probability (+ min, max, n).
     """
     names = list(names or [f"q{int(round(p * 100)):02d}" for p in probs])
     by = list(by)
+    if not by:  # one group: a constant key keeps every step keyed
+        out = group_quantiles(df.withColumn("_q_all", F.lit(0)), value, ["_q_all"], probs, names,
+                              with_min_max_count)
+        return out.drop("_q_all")
+    pos = value_positions(df, value, by)
+    return positions_quantiles(pos, value, by, probs, names, None, with_min_max_count)
+
+
+def row_quantiles(df: DataFrame, value: str, by: Sequence[str], probs: Sequence[float], names: Sequence[str],
+                  tiebreak: Sequence[str]) -> DataFrame:
+    """``group_quantiles`` for values that rarely repeat (e.g. residuals of a
+    fit) and carry a unique key: rows are numbered directly by (value,
+    tiebreak), which splits any run of equal values, and only the rows at the
+    interpolation positions reach the final aggregate."""
+    by = list(by)
     x = df.where(F.col(value).isNotNull()).select(*by, value, *tiebreak)
-    tb = [c for c in x.columns if c not in by and c != value]
-    numbered = global_row_number(x, [F.asc(value)], by, out="_q_rn", tiebreak=tb, with_group_size="_q_n")
+    numbered = global_row_number(x, [F.asc(value)], by, out="_q_rn", tiebreak=list(tiebreak),
+                                 with_group_size="_q_n")
     rn, n, v = F.col("_q_rn"), F.col("_q_n"), F.col(value)
-    pos = []
-    for p in probs:
-        h = (n - 1) * F.lit(float(p))
-        pos.append((F.floor(h) + 1, F.ceil(h) + 1, h - F.floor(h)))
+    spots = [(F.floor((n - 1) * F.lit(float(q))) + 1, F.ceil((n - 1) * F.lit(float(q))) + 1) for q in probs]
     wanted = F.lit(False)
-    for lo, hi, _ in pos:
+    for lo, hi in spots:
         wanted = wanted | (rn == lo) | (rn == hi)
-    if with_min_max_count:
-        wanted = wanted | (rn == 1) | (rn == n)
-    picked = numbered.where(wanted)
-    aggs = []
-    for i, (lo, hi, _) in enumerate(pos):
+    aggs = [F.max(n).alias("_n")]
+    for i, (lo, hi) in enumerate(spots):
         aggs += [F.max(F.when(rn == lo, v)).alias(f"_lo{i}"), F.max(F.when(rn == hi, v)).alias(f"_hi{i}")]
-    aggs.append(F.max(n).alias("_n"))
-    if with_min_max_count:
-        aggs += [F.max(F.when(rn == 1, v)).alias("min"), F.max(F.when(rn == n, v)).alias("max")]
-    g = picked.groupBy(*by).agg(*aggs)
+    g = numbered.where(wanted).groupBy(*by).agg(*aggs)
     outs = []
-    for i, p in enumerate(probs):
-        h = (F.col("_n") - 1) * F.lit(float(p))
+    for i, q in enumerate(probs):
+        h = (F.col("_n") - 1) * F.lit(float(q))
         d = h - F.floor(h)
         lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
         outs.append((lo + d * (hi - lo)).alias(names[i]))
-    extra = [F.col("min"), F.col("max"), F.col("_n").alias("n")] if with_min_max_count else []
-    return g.select(*by, *outs, *extra)
+    return g.select(*by, *outs)

@@ -30,7 +30,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bazaar.operators.ranking import global_row_number, group_quantiles
+from bazaar.operators.ranking import global_row_number, row_quantiles
 from bazaar.session import reliable_checkpoint
 
 
@@ -139,7 +139,7 @@ def lowess(df: DataFrame, x: str, y: str, frac: float = 2.0 / 3.0, iters: int =
         if rnd == iters:
             break
         res = fits.select(*by, "_i", F.abs(F.col("_y") - F.col("_f")).alias("_r"))
-        med = group_quantiles(res, "_r", by, [0.5], names=["_m"])
+        med = row_quantiles(res, "_r", by, [0.5], ["_m"], tiebreak=["_i"])
         scaled = F.when(F.col("_m") == 0, F.when(F.col("_r") > 0, 1.0).otherwise(0.0)) \
             .otherwise(F.least(F.col("_r") / (6.0 * F.col("_m")), F.lit(1.0)))
         # shallow lineage (checkpointed fits joined with one median per series): no checkpoint

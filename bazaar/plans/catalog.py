@@ -314,7 +314,8 @@ def q_remove_outliers_iqr(spark, d):
 
 @register("box_summary")
 def q_box_summary(spark, d):
-    return SH.box_summary(_ship_iqr(spark, d), "delivery_time", ["bucket"])
+    """Delivery-time boxes per seller bucket after the two-pass IQR filter."""
+    return CL.iqr_box_summary(_ship_times(spark, d), "delivery_time", ["bucket"], 1.5, passes=2)
 
 
 @register("explicit_order")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from bazaar.operators.ranking import global_ntile, global_row_number, group_quantiles
+from bazaar.operators.ranking import global_ntile, global_row_number, group_quantiles, row_quantiles
 
 
 @pytest.mark.parametrize("n", [0, 1, 3, 4, 5, 7, 23, 1003])
@@ -45,3 +45,22 @@ def test_quantiles_match_percentile(spark):
     assert got.keys() == exp.keys()
     for g in got:
         assert got[g] == pytest.approx(exp[g], abs=1e-12)
+
+
+def test_row_quantiles_match_percentile(spark):
+    x = spark.range(999).select("id", (F.col("id") % 3).alias("g"), ((F.col("id") * 29) % 83).cast("double").alias("v"))
+    got = {r.g: (r.a, r.b) for r in row_quantiles(x, "v", ["g"], [0.5, 0.9], ["a", "b"], tiebreak=["id"]).collect()}
+    exp = {r.g: tuple(r.p) for r in x.groupBy("g").agg(F.percentile("v", [0.5, 0.9]).alias("p")).collect()}
+    assert got.keys() == exp.keys()
+    for g in got:
+        assert got[g] == pytest.approx(exp[g], abs=1e-12)
+
+
+def test_quantiles_of_one_hot_value(spark):
+    # a third of the rows share one value: the histogram holds it as one row
+    x = spark.range(3000).select((F.col("id") % 2).alias("g"),
+                                 F.when(F.col("id") < 1000, 7.0).otherwise(F.col("id") % 50).cast("double").alias("v"))
+    got = {r.g: (r.q1, r.q2) for r in group_quantiles(x, "v", ["g"], [0.1, 0.6], ["q1", "q2"]).collect()}
+    exp = {r.g: tuple(r.p) for r in x.groupBy("g").agg(F.percentile("v", [0.1, 0.6]).alias("p")).collect()}
+    assert got.keys() == exp.keys()
+    assert all(got[g] == pytest.approx(exp[g], abs=1e-12) for g in exp)
