@@ -320,7 +320,10 @@ def q_box_summary(spark, d):
 
 @register("explicit_order")
 def q_explicit_order(spark, d):
-    boxes = SH.box_summary(_weights_sigma(spark, d), "weight", ["category"])
+    """Weight boxes per top category (sigma-filtered) in median order. The boxes
+    need the sold items' weights only, not O10's row numbers: same rows, no sort."""
+    w = _top_weights(Roles(spark, d)).select("weight", "category")
+    boxes = SH.box_summary(CL.remove_outliers_sigma(w, "weight", ["category"], 3.0), "weight", ["category"])
     medians = q_categories_by_median(spark, d)
     return SH.explicit_order(boxes, "category", medians, "category",
                              order_by=[F.asc_nulls_first("median_weight")])
