@@ -159,6 +159,16 @@ def value_positions(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
         *by, value, "_w", (ce - F.col("_w") + 1).alias("_cs"), ce.alias("_ce"), F.col(_N).alias("_n"))
 
 
+def _join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on ``keys`` where NULL matches NULL (a NULL group is a group)."""
+    tmp = {k: f"_ns_{i}" for i, k in enumerate(keys)}
+    r = right.select(*[F.col(c).alias(tmp[c]) if c in tmp else F.col(c) for c in right.columns])
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & left[k].eqNullSafe(r[tmp[k]])
+    return left.join(r, cond).drop(*tmp.values())
+
+
 def positions_quantiles(pos: DataFrame, value: str, by: Sequence[str], probs: Sequence[float],
                         names: Sequence[str], bounds: DataFrame | None = None,
                         with_min_max_count: bool = False) -> DataFrame:
@@ -171,12 +181,12 @@ def positions_quantiles(pos: DataFrame, value: str, by: Sequence[str], probs: Se
     if bounds is None:
         level = pos.groupBy(*by).agg(F.lit(0).cast("bigint").alias("_below"), F.max("_n").alias("_m"))
     else:
-        j = pos.join(bounds, by)
+        j = _join_null_safe(pos, bounds, by)
         inside = (v >= F.col("_lo")) & (v <= F.col("_hi"))
         level = j.groupBy(*by).agg(F.coalesce(F.sum(F.when(v < F.col("_lo"), F.col("_w"))), F.lit(0)).alias("_below"),
                                    F.coalesce(F.sum(F.when(inside, F.col("_w"))), F.lit(0)).alias("_m"))
     level = level.where(F.col("_m") > 0)
-    p = pos.join(level, by)
+    p = _join_null_safe(pos, level, by)
     m, below = F.col("_m"), F.col("_below")
 
     def at(position):

@@ -46,3 +46,24 @@ def test_ntile_property(spark, values, tiles):
     got = {r.id: r.t for r in global_ntile(df, tiles, [F.desc("v")], "t", tiebreak=["id"]).collect()}
     exp = {r.id: r.t for r in df.withColumn("t", F.ntile(tiles).over(Window.orderBy(F.desc("v"), "id"))).collect()}
     assert got == exp
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(rows=st.lists(st.tuples(st.sampled_from([None, "a", "b", "c"]),
+                               st.one_of(st.none(), st.integers(min_value=-3, max_value=3))),
+                     min_size=1, max_size=80),
+       probs=st.lists(st.sampled_from([0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]), min_size=1, max_size=3, unique=True))
+def test_group_quantiles_property(spark, rows, probs):
+    from bazaar.operators.ranking import group_quantiles
+
+    df = spark.createDataFrame([(g, None if v is None else float(v)) for g, v in rows], "g string, v double")
+    names = [f"p{i}" for i in range(len(probs))]
+    got = {r.g: tuple(r[n] for n in names) + (r.min, r.max, r.n)
+           for r in group_quantiles(df, "v", ["g"], probs, names, with_min_max_count=True).collect()}
+    exp = {r.g: tuple(r.p) + (r.mn, r.mx, r.n)
+           for r in df.where("v IS NOT NULL").groupBy("g").agg(
+               F.percentile("v", probs).alias("p"), F.min("v").alias("mn"), F.max("v").alias("mx"),
+               F.count("v").alias("n")).collect()}
+    assert got.keys() == exp.keys()
+    for g in exp:
+        assert got[g] == pytest.approx(exp[g], abs=1e-12)
