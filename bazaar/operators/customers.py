@@ -59,13 +59,15 @@ def rfm_scores(orders: DataFrame, items: DataFrame, customers: DataFrame,
     return rf.join(m, CUID)
 
 
-def rfm_buckets(orders: DataFrame, items: DataFrame, customers: DataFrame, as_of: str,
+def rfm_buckets(orders: DataFrame, items: DataFrame, customers: DataFrame, as_of,
                 status: str | None = "delivered") -> DataFrame:
-    """Per RFM segment, mean days from last purchase to ``as_of``, mean
-    spend per order and number of customers.
+    """Per RFM segment, mean days from last purchase to ``as_of`` (a
+    'YYYY-MM-DD' string or a TIMESTAMP_NTZ column), mean spend per order and
+    number of customers.
     -> (RFM_Bucket, avg_days_since_purchase, avg_sales_per_customer, customer_count)"""
     s = rfm_scores(orders, items, customers, status)
-    days = micros_between(F.col("last_purchase"), ts_lit(as_of)) / F.lit(float(US_PER_DAY))
+    now = ts_lit(as_of) if isinstance(as_of, str) else as_of
+    days = micros_between(F.col("last_purchase"), now) / F.lit(float(US_PER_DAY))
     return (s.withColumn("RFM_Bucket", rfm_segment())
             .groupBy("RFM_Bucket")
             .agg(F.round(F.avg(days), 4).alias("avg_days_since_purchase"),

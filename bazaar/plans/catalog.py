@@ -1,6 +1,11 @@
-"""Registered queries: each binds operators to the role views and the
-parameters that suit the test tables (FIXTURES.md §2). Every callable takes
-(spark, base_dir) and returns a lazy DataFrame."""
+"""The analyses as named queries over a set of tables and parameters.
+
+Each analysis is a function ``(tables, params) -> DataFrame`` where ``tables``
+offers the e-commerce roles (``Roles`` over the test tables, or
+``CommerceTables`` over tables of the original schema) and ``params`` is a
+``Params``. ``QUERIES`` binds them to the test tables and parameters for the
+driver: every callable there takes (spark, base_dir).
+"""
 
 from __future__ import annotations
 
@@ -9,360 +14,360 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazaar.operators import forecast as FC
-from bazaar.operators import orders as O
-from bazaar.operators import sales as S
+from bazaar.functions.timeutil import days_between_dates
+from bazaar.operators import cleaning as CL
 from bazaar.operators import customers as C
+from bazaar.operators import forecast as FC
 from bazaar.operators import geo as G
+from bazaar.operators import leads as LD
 from bazaar.operators import logistics as L
+from bazaar.operators import orders as O
 from bazaar.operators import reviews as RV
-from bazaar.operators import cleaning as CL
-from bazaar.operators import leads as LD
+from bazaar.operators import sales as S
 from bazaar.operators import sellers as SL
 from bazaar.operators import shaping as SH
 from bazaar.operators import smoothing as SM
+from bazaar.plans.params import TEST, Params
 from bazaar.sources.roles import Roles
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ANALYSES: dict[str, Callable] = {}
 
 
 def register(name: str):
     def deco(fn):
-        QUERIES[name] = fn
+        ANALYSES[name] = fn
         return fn
     return deco
 
 
-@register("orders_per_day")
-def q_orders_per_day(spark: SparkSession, d: str) -> DataFrame:
-    return O.orders_per_day(Roles(spark, d).orders)
+def analyses(tables, params: Params) -> dict[str, Callable[[], DataFrame]]:
+    """Every analysis over ``tables`` with ``params``, as zero-argument callables
+    (some take eager checkpoint steps when built)."""
+    return {name: (lambda fn=fn: fn(tables, params)) for name, fn in ANALYSES.items()}
 
 
-# ---- fixed parameters for the test tables (FIXTURES.md §2) ----
-SELECTED = ["brand_1", "brand_2", "brand_3", "brand_4", "brand_5"]
-SALES_START, SALES_END = "1995-01-01", "2001-08-01"
-FORECAST_MONTH = "2001-12"
-TOP_K_CATEGORIES, TOP_K_CITIES = 18, 10
+# ---------------------------------------------------------------- orders
+@register("orders_per_day")
+def q_orders_per_day(t, P):
+    return O.orders_per_day(t.orders)
 
 
 @register("order_day_hour")
-def q_order_day_hour(spark, d):
-    return O.order_day_hour(Roles(spark, d).order_times)
+def q_order_day_hour(t, P):
+    return O.order_day_hour(t.order_times)
 
 
 @register("orders_by_weekday_hour")
-def q_orders_by_weekday_hour(spark, d):
-    return O.orders_by_weekday_hour(Roles(spark, d).order_times)
+def q_orders_by_weekday_hour(t, P):
+    return O.orders_by_weekday_hour(t.order_times)
 
 
-def _city_top(spark, d):
-    r = Roles(spark, d)
-    return O.orders_per_city(r.orders, r.customers, k=TOP_K_CITIES)
+def _city_top(t, P):
+    return O.orders_per_city(t.orders, t.customers, k=P.top_k_cities)
 
 
 @register("orders_per_city")
-def q_orders_per_city(spark, d):
-    return _city_top(spark, d)
+def q_orders_per_city(t, P):
+    return _city_top(t, P)
 
 
 @register("orders_per_city_reversed")
-def q_orders_per_city_reversed(spark, d):
-    return O.orders_per_city_reversed(_city_top(spark, d))
+def q_orders_per_city_reversed(t, P):
+    return O.orders_per_city_reversed(_city_top(t, P))
 
 
 @register("top_cities")
-def q_top_cities(spark, d):
-    return O.top_cities(_city_top(spark, d))
+def q_top_cities(t, P):
+    return O.top_cities(_city_top(t, P))
 
 
 @register("order_price_stats")
-def q_order_price_stats(spark, d):
-    r = Roles(spark, d)
-    return O.order_price_stats(r.orders, r.order_items)
+def q_order_price_stats(t, P):
+    return O.order_price_stats(t.orders, t.order_items)
+
+
+def _costs(t):
+    return O.order_product_and_shipping_costs(t.delivered_orders(), t.order_items, status=None)
 
 
 @register("order_product_and_shipping_costs")
-def q_order_costs(spark, d):
-    r = Roles(spark, d)
-    return O.order_product_and_shipping_costs(r.delivered_orders(), r.order_items, status=None)
+def q_order_costs(t, P):
+    return _costs(t)
 
 
-def _ranked(r: Roles, exact: bool = False):
-    return S.ranked_categories(r.order_items, r.delivered_orders(), r.products, r.translation,
+# ---------------------------------------------------------------- sales
+def _ranked(t, exact: bool = False):
+    return S.ranked_categories(t.order_items, t.delivered_orders(), t.products, t.translation,
                                status=None, exact=exact)
 
 
+def _summary(t, P):
+    return S.category_sales_summary(_ranked(t, exact=True), k=P.top_k_categories)
+
+
+def _top(t, P):
+    return S.top_categories(_ranked(t, exact=True), k=P.top_k_categories)
+
+
 @register("ranked_categories")
-def q_ranked_categories(spark, d):
-    return _ranked(Roles(spark, d))
+def q_ranked_categories(t, P):
+    return _ranked(t)
 
 
 @register("category_sales_summary")
-def q_category_sales_summary(spark, d):
-    return S.category_sales_summary(_ranked(Roles(spark, d), exact=True), k=TOP_K_CATEGORIES)
+def q_category_sales_summary(t, P):
+    return _summary(t, P)
 
 
 @register("top_categories")
-def q_top_categories(spark, d):
-    return S.top_categories(_ranked(Roles(spark, d), exact=True), k=TOP_K_CATEGORIES)
+def q_top_categories(t, P):
+    return _top(t, P)
 
 
 @register("ordered_categories")
-def q_ordered_categories(spark, d):
-    r = Roles(spark, d)
-    top = S.top_categories(_ranked(r, exact=True), k=TOP_K_CATEGORIES)
-    return S.ordered_categories(r.products, r.order_items, r.translation, top)
+def q_ordered_categories(t, P):
+    return S.ordered_categories(t.products, t.order_items, t.translation, _top(t, P))
 
 
-def _top_weights(r: Roles):
-    top = S.top_categories(_ranked(r, exact=True), k=TOP_K_CATEGORIES)
-    return S.sold_item_weights(r.products, r.order_items, r.translation, top)
+def _top_weights(t, P):
+    return S.sold_item_weights(t.products, t.order_items, t.translation, _top(t, P))
 
 
 @register("categories_by_median")
-def q_categories_by_median(spark, d):
-    return S.categories_by_median(_top_weights(Roles(spark, d)))
+def q_categories_by_median(t, P):
+    return S.categories_by_median(_top_weights(t, P))
 
 
 @register("monthly_sales_selected_categories")
-def q_monthly_sales(spark, d):
-    r = Roles(spark, d)
-    return S.monthly_sales_selected_categories(r.orders, r.order_items, r.products, r.translation,
-                                               SELECTED, start=SALES_START)
+def q_monthly_sales(t, P):
+    return S.monthly_sales_selected_categories(t.orders, t.order_items, t.products, t.translation,
+                                               list(P.selected), start=P.sales_start)
 
 
-def _daily(r: Roles):
-    return S.daily_sales_per_category(r.orders, r.order_items, r.products, r.translation,
-                                      SELECTED, SALES_START, SALES_END)
+def _daily(t, P):
+    return S.daily_sales_per_category(t.orders, t.order_items, t.products, t.translation,
+                                      list(P.selected), P.sales_start, P.sales_end)
 
 
 @register("daily_sales_per_category")
-def q_daily_sales(spark, d):
-    return _daily(Roles(spark, d))
+def q_daily_sales(t, P):
+    return _daily(t, P)
 
 
+# ---------------------------------------------------------------- forecast
 @register("lm_per_category")
-def q_lm_per_category(spark, d):
-    return FC.lm_per_category(_daily(Roles(spark, d)), digits=4)
+def q_lm_per_category(t, P):
+    return FC.lm_per_category(_daily(t, P), digits=4)
+
+
+def _forecast(t, P):
+    daily = _daily(t, P)
+    return FC.forecasted_sales(daily, FC.lm_per_category(daily), P.sales_start, P.forecast_month)
 
 
 @register("forecasted_sales")
-def q_forecasted_sales(spark, d):
-    daily = _daily(Roles(spark, d))
-    return FC.forecasted_sales(daily, FC.lm_per_category(daily), SALES_START, FORECAST_MONTH)
+def q_forecasted_sales(t, P):
+    return _forecast(t, P)
 
 
 @register("regression_line")
-def q_regression_line(spark, d):
-    from bazaar.functions.timeutil import days_between_dates
-    coefs = FC.lm_per_category(_daily(Roles(spark, d)))
-    return FC.regression_line(coefs, days_between_dates(SALES_START, SALES_END))
+def q_regression_line(t, P):
+    days = P.regression_days or days_between_dates(P.sales_start, P.sales_end)
+    return FC.regression_line(FC.lm_per_category(_daily(t, P)), days)
 
 
 @register("series_split")
-def q_series_split(spark, d):
-    daily = _daily(Roles(spark, d))
-    return FC.series_split(FC.forecasted_sales(daily, FC.lm_per_category(daily), SALES_START, FORECAST_MONTH),
-                           SELECTED[:2])
-
-
-SHIP_START, SHIP_END = "1997-06-01", "1998-07-01"
-RFM_AS_OF = "2002-01-01"
+def q_series_split(t, P):
+    return FC.series_split(_forecast(t, P), list(P.selected[:2]))
 
 
+# ---------------------------------------------------------------- logistics, reviews
 @register("order_stage_times")
-def q_order_stage_times(spark, d):
-    st = Roles(spark, d).stages
-    cities = O.top_cities(O.orders_per_city(st, k=TOP_K_CITIES, key="user_id"))
+def q_order_stage_times(t, P):
+    st = t.stages
+    cities = O.top_cities(O.orders_per_city(st, k=P.top_k_cities, key=t.stage_key))
     return L.order_stage_times(st, cities=cities)
 
 
-def _daily_ship(spark, d):
-    return L.daily_avg_shipping_time(Roles(spark, d).shipments, SHIP_START, SHIP_END)
+def _daily_ship(t, P):
+    return L.daily_avg_shipping_time(t.shipments, P.ship_start, P.ship_end)
 
 
 @register("daily_avg_shipping_time")
-def q_daily_avg_shipping_time(spark, d):
-    return _daily_ship(spark, d)
+def q_daily_avg_shipping_time(t, P):
+    return _daily_ship(t, P)
 
 
 @register("overall_mean_line")
-def q_overall_mean_line(spark, d):
-    return L.overall_mean_line(_daily_ship(spark, d))
+def q_overall_mean_line(t, P):
+    return L.overall_mean_line(_daily_ship(t, P))
 
 
 @register("review_score_count")
-def q_review_score_count(spark, d):
-    return RV.review_score_count(Roles(spark, d).order_reviews)
+def q_review_score_count(t, P):
+    return RV.review_score_count(t.order_reviews)
 
 
+# ---------------------------------------------------------------- customers, geo
 @register("rfm_buckets")
-def q_rfm_buckets(spark, d):
-    r = Roles(spark, d)
-    return C.rfm_buckets(r.delivered_orders(), r.order_items, r.customers, RFM_AS_OF, status=None)
+def q_rfm_buckets(t, P):
+    o = t.delivered_orders()
+    as_of = P.rfm_as_of
+    if as_of is None:  # the day after the last purchase, as one scalar
+        as_of = F.date_add(F.to_date(o.select(F.max("order_purchase_timestamp")).scalar()), 1).cast("timestamp_ntz")
+    return C.rfm_buckets(o, t.order_items, t.customers, as_of, status=None)
 
 
 @register("clv")
-def q_clv(spark, d):
-    r = Roles(spark, d)
-    return C.clv(r.customers, r.orders, r.order_payments)
+def q_clv(t, P):
+    return C.clv(t.customers, t.orders, t.order_payments)
 
 
-def _per_zip(spark, d):
-    r = Roles(spark, d)
-    return C.avg_clv_per_zip(C.clv(r.customers, r.orders, r.order_payments), r.geolocation)
+def _per_zip(t, P):
+    return C.avg_clv_per_zip(C.clv(t.customers, t.orders, t.order_payments), t.geolocation)
 
 
 @register("avg_clv_per_zip")
-def q_avg_clv_per_zip(spark, d):
-    return _per_zip(spark, d)
+def q_avg_clv_per_zip(t, P):
+    return _per_zip(t, P)
 
 
 @register("geo_markers")
-def q_geo_markers(spark, d):
-    return G.geo_markers(_per_zip(spark, d))
+def q_geo_markers(t, P):
+    return G.geo_markers(_per_zip(t, P))
 
 
 @register("geo_density")
-def q_geo_density(spark, d):
-    return G.geo_density(_per_zip(spark, d), "customer_count", 1.0)
+def q_geo_density(t, P):
+    return G.geo_density(_per_zip(t, P), "customer_count", P.grid_deg)
 
 
-@register("hover_label")
-def q_hover_label(spark, d):
-    return G.hover_label(_per_zip(spark, d))
+@register("geo_density_clv")
+def q_geo_density_clv(t, P):
+    return G.geo_density(_per_zip(t, P), "avg_CLV", P.grid_deg)
 
 
-SELLER_EDGES = (1, 500, 560, 590, 620)
+@register("hover_label")
+def q_hover_label(t, P):
+    return G.hover_label(_per_zip(t, P))
 
 
+# ---------------------------------------------------------------- sellers, leads
 @register("seller_review_scores_and_sales")
-def q_seller_scores(spark, d):
-    r = Roles(spark, d)
-    return SL.seller_review_scores_and_sales(r.order_items, r.order_reviews)
+def q_seller_scores(t, P):
+    return SL.seller_review_scores_and_sales(t.order_items, t.order_reviews)
 
 
 @register("sellers_per_bucket")
-def q_sellers_per_bucket(spark, d):
-    return SL.sellers_per_bucket(Roles(spark, d).order_items, SELLER_EDGES)
+def q_sellers_per_bucket(t, P):
+    return SL.sellers_per_bucket(t.order_items, P.seller_edges)
 
 
-def _ship_times(spark, d):
-    r = Roles(spark, d)
-    return SL.seller_shipping_times(r.shipments, r.order_items, SELLER_EDGES)
+def _ship_times(t, P):
+    return SL.seller_shipping_times(t.shipments, t.order_items, P.seller_edges)
 
 
 @register("seller_shipping_times")
-def q_seller_shipping_times(spark, d):
-    return _ship_times(spark, d)
+def q_seller_shipping_times(t, P):
+    return _ship_times(t, P)
 
 
 @register("lead_conversion")
-def q_lead_conversion(spark, d):
-    r = Roles(spark, d)
-    return LD.lead_conversion(r.leads, r.deals)
+def q_lead_conversion(t, P):
+    return LD.lead_conversion(t.leads, t.deals)
 
 
+# ---------------------------------------------------------------- figure data
 @register("matrix_vs_mean")
-def q_matrix_vs_mean(spark, d):
-    return SH.matrix_vs_mean(O.orders_by_weekday_hour(Roles(spark, d).order_times))
+def q_matrix_vs_mean(t, P):
+    return SH.matrix_vs_mean(O.orders_by_weekday_hour(t.order_times))
 
 
 @register("histogram")
-def q_histogram(spark, d):
-    r = Roles(spark, d)
-    costs = O.order_product_and_shipping_costs(r.delivered_orders(), r.order_items, status=None)
-    return SH.histogram(costs, "product_cost", 0, 500000, 1000)
+def q_histogram(t, P):
+    return SH.histogram(_costs(t), "product_cost", *P.product_cost_bins)
 
 
-def _summary(spark, d):
-    return S.category_sales_summary(_ranked(Roles(spark, d), exact=True), k=TOP_K_CATEGORIES)
+@register("histogram_shipping_cost")
+def q_histogram_shipping(t, P):
+    return SH.histogram(_costs(t), "shipping_cost", *P.shipping_cost_bins)
 
 
 @register("min_max_scale")
-def q_min_max_scale(spark, d):
-    return CL.min_max_scale(_summary(spark, d), "sales", digits=3)
+def q_min_max_scale(t, P):
+    return CL.min_max_scale(_summary(t, P), "sales", digits=3)
 
 
 @register("truncate_int")
-def q_truncate_int(spark, d):
-    return CL.truncate_int(_summary(spark, d), "sales")
+def q_truncate_int(t, P):
+    return CL.truncate_int(_summary(t, P), "sales")
 
 
 @register("category_share")
-def q_category_share(spark, d):
-    return SH.category_share(_summary(spark, d))
-
-
-def _weights_sigma(spark, d):
-    return CL.remove_outliers_sigma(q_ordered_categories(spark, d), "weight", ["category"], 3.0)
+def q_category_share(t, P):
+    return SH.category_share(_summary(t, P))
 
 
 @register("remove_outliers_sigma")
-def q_remove_outliers_sigma(spark, d):
-    return _weights_sigma(spark, d)
-
-
-def _ship_iqr(spark, d):
-    return CL.remove_outliers_iqr(_ship_times(spark, d), "delivery_time", ["bucket"], 1.5, passes=2)
+def q_remove_outliers_sigma(t, P):
+    return CL.remove_outliers_sigma(q_ordered_categories(t, P), "weight", ["category"], 3.0)
 
 
 @register("remove_outliers_iqr")
-def q_remove_outliers_iqr(spark, d):
-    return _ship_iqr(spark, d)
+def q_remove_outliers_iqr(t, P):
+    return CL.remove_outliers_iqr(_ship_times(t, P), "delivery_time", ["bucket"], 1.5, passes=2)
 
 
 @register("box_summary")
-def q_box_summary(spark, d):
+def q_box_summary(t, P):
     """Delivery-time boxes per seller bucket after the two-pass IQR filter."""
-    return CL.iqr_box_summary(_ship_times(spark, d), "delivery_time", ["bucket"], 1.5, passes=2)
+    return CL.iqr_box_summary(_ship_times(t, P), "delivery_time", ["bucket"], 1.5, passes=2)
 
 
 @register("explicit_order")
-def q_explicit_order(spark, d):
+def q_explicit_order(t, P):
     """Weight boxes per top category (sigma-filtered) in median order. The boxes
     need the sold items' weights only, not O10's row numbers: same rows, no sort."""
-    w = _top_weights(Roles(spark, d)).select("weight", "category")
+    w = _top_weights(t, P).select("weight", "category")
     boxes = SH.box_summary(CL.remove_outliers_sigma(w, "weight", ["category"], 3.0), "weight", ["category"])
-    medians = q_categories_by_median(spark, d)
-    return SH.explicit_order(boxes, "category", medians, "category",
+    return SH.explicit_order(boxes, "category", q_categories_by_median(t, P), "category",
                              order_by=[F.asc_nulls_first("median_weight")])
 
 
 @register("unpivot_series")
-def q_unpivot_series(spark, d):
-    stages = q_order_stage_times(spark, d)
-    return SH.unpivot_series(stages, ["city"], [n for n, _, _ in L.STAGES], "stage", "days")
+def q_unpivot_series(t, P):
+    return SH.unpivot_series(q_order_stage_times(t, P), ["city"], [n for n, _, _ in L.STAGES], "stage", "days")
 
 
 @register("parse_dates")
-def q_parse_dates(spark, d):
-    return SH.parse_dates(q_monthly_sales(spark, d), "year_month", "yyyy-MM")
+def q_parse_dates(t, P):
+    return SH.parse_dates(q_monthly_sales(t, P), "year_month", "yyyy-MM")
 
 
 @register("lowess")
-def q_lowess(spark, d):
-    """Delivery-time trend (frac 0.3) over the daily means; x = day number."""
-    daily = _daily_ship(spark, d).withColumn("x", F.datediff("purchase_date", F.lit("1970-01-01").cast("date")))
-    fit = SM.lowess(daily, "x", "avg_delivery_time", frac=0.3)
-    return fit.select(F.date_add(F.lit("1970-01-01").cast("date"), F.col("x").cast("int")).alias("purchase_date"),
+def q_lowess(t, P):
+    """Delivery-time trend over the daily means; x = day number."""
+    epoch = F.lit("1970-01-01").cast("date")
+    daily = _daily_ship(t, P).withColumn("x", F.datediff("purchase_date", epoch))
+    fit = SM.lowess(daily, "x", "avg_delivery_time", frac=P.delivery_trend_frac)
+    return fit.select(F.date_add(epoch, F.col("x").cast("int")).alias("purchase_date"),
                       "avg_delivery_time", F.round("fit", 6).alias("trend"))
 
 
 @register("lowess_seller_scores")
-def q_lowess_sellers(spark, d):
-    """Review score vs total sales trend per seller (frac 0.1)."""
-    fit = SM.lowess(q_seller_scores(spark, d), "total_sales", "avg_review_score", frac=0.1)
+def q_lowess_sellers(t, P):
+    """Review score vs total sales trend per seller."""
+    fit = SM.lowess(q_seller_scores(t, P), "total_sales", "avg_review_score", frac=P.seller_trend_frac)
     return fit.select("total_sales", "avg_review_score", F.round("fit", 6).alias("trend"))
 
 
-@register("histogram_shipping_cost")
-def q_histogram_shipping(spark, d):
-    r = Roles(spark, d)
-    costs = O.order_product_and_shipping_costs(r.delivered_orders(), r.order_items, status=None)
-    return SH.histogram(costs, "shipping_cost", 0, 40000, 800)
+# ---------------------------------------------------------------- driver binding
+def _bind(fn):
+    def run(spark: SparkSession, base_dir: str) -> DataFrame:
+        return fn(Roles(spark, base_dir), TEST)
+    run.__name__ = fn.__name__
+    run.__doc__ = fn.__doc__
+    return run
 
 
-@register("geo_density_clv")
-def q_geo_density_clv(spark, d):
-    return G.geo_density(_per_zip(spark, d), "avg_CLV", 1.0)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _bind(fn) for name, fn in ANALYSES.items()}

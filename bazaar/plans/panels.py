@@ -5,6 +5,7 @@ dashboard. Here each figure's data is a tidy Parquet dataset written by the
 executors; a dashboard (out of scope) only reads them.
 
     python -m bazaar.plans.panels --base-dir /root/testdata/sf0.1 --out /shared/panels
+    python -m bazaar.plans.panels --schema commerce --base-dir /data/shop --out /shared/panels
 """
 
 from __future__ import annotations
@@ -12,9 +13,11 @@ from __future__ import annotations
 import argparse
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 from bazaar.plans import catalog as Q
+from bazaar.plans.params import REFERENCE, TEST, Params
+from bazaar.sources.roles import Roles
 from bazaar.sources.sinks import write_dataset
 
 # panel -> figure dataset -> registered query (several figures appear in two panels)
@@ -38,17 +41,26 @@ PANELS: dict[str, dict[str, str]] = {
 }
 
 
-def figure_datasets(spark: SparkSession, base_dir: str) -> dict[str, DataFrame]:
-    """{'panel/figure': lazy DataFrame}."""
-    return {f"{panel}/{fig}": Q.QUERIES[q](spark, base_dir)
-            for panel, figs in PANELS.items() for fig, q in figs.items()}
+def _tables(spark: SparkSession, base_dir: str, schema: str):
+    if schema == "commerce":
+        from bazaar.sources.commerce import CommerceTables
+        return CommerceTables(spark, base_dir), REFERENCE
+    return Roles(spark, base_dir), TEST
 
 
-def write_panels(spark: SparkSession, base_dir: str, out_dir: str) -> dict[str, str]:
-    """Write every figure dataset under ``out_dir/<panel>/<figure>``; returns the paths."""
+def write_panels(spark: SparkSession, base_dir: str, out_dir: str, schema: str = "test",
+                 params: Params | None = None) -> dict[str, str]:
+    """Write every figure dataset under ``out_dir/<panel>/<figure>``; returns the paths.
+    ``schema`` 'test' reads the test tables through the role views, 'commerce'
+    tables of the original schema (with the reference's parameters unless
+    ``params`` is given). Each dataset is built and written in turn."""
+    tables, default = _tables(spark, base_dir, schema)
+    params = params or default
     paths = {}
-    for name, df in figure_datasets(spark, base_dir).items():
-        paths[name] = write_dataset(df, os.path.join(out_dir, name))
+    for panel, figs in PANELS.items():
+        for fig, q in figs.items():
+            name = f"{panel}/{fig}"
+            paths[name] = write_dataset(Q.ANALYSES[q](tables, params), os.path.join(out_dir, name))
     return paths
 
 
@@ -58,10 +70,11 @@ def main(argv=None) -> None:
     ap = argparse.ArgumentParser(description=__doc__)
     ap.add_argument("--base-dir", required=True)
     ap.add_argument("--out", required=True)
+    ap.add_argument("--schema", choices=["test", "commerce"], default="test")
     ap.add_argument("--master", default=None)
     a = ap.parse_args(argv)
     spark = get_session(a.master)
-    for name, path in write_panels(spark, a.base_dir, a.out).items():
+    for name, path in write_panels(spark, a.base_dir, a.out, a.schema).items():
         print(name, path)
 
 

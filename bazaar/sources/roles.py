@@ -21,6 +21,9 @@ from bazaar.sources.tables import read_table
 class Roles:
     """Lazily built role DataFrames over one directory of base tables."""
 
+    #: the key counted per city when ranking the cities of ``stages``
+    stage_key = "user_id"
+
     def __init__(self, spark: SparkSession, base_dir: str):
         self.spark = spark
         self.base_dir = base_dir
