@@ -61,7 +61,8 @@ def _interpolate(num: DataFrame, fa: DataFrame, by: list[str]) -> DataFrame:
 
 
 def lowess(df: DataFrame, x: str, y: str, frac: float = 2.0 / 3.0, iters: int = 3,
-           by: Sequence[str] = (), out: str = "fit", anchors: int | None = None) -> DataFrame:
+           by: Sequence[str] = (), out: str = "fit", anchors: int | None = None,
+           max_pairs: int | None = None) -> DataFrame:
     """LOWESS fit per point. Rows with NULL x or y are dropped (pairing a
     fit with the wrong date would shift the trend).
     -> (by..., x, y, fit) with x and y as DOUBLE.
@@ -71,6 +72,11 @@ def lowess(df: DataFrame, x: str, y: str, frac: float = 2.0 / 3.0, iters: int =
     full k-neighbourhood, and interpolates linearly in x in between -- the
     idea of the usual ``delta`` shortcut. Robustness weights still use every
     point's residual. Cost falls from n*k to anchors*k pairs per round.
+
+    ``max_pairs`` bounds the neighbour pairs per series instead: a series with
+    n*k <= max_pairs is fitted exactly at every point, a longer one at every
+    m-th point with m = ceil(n*k / max_pairs). The choice is a column
+    expression per series, made inside the plan.
     """
     by = list(by)
     single = not by
@@ -81,11 +87,17 @@ def lowess(df: DataFrame, x: str, y: str, frac: float = 2.0 / 3.0, iters: int =
     num = global_row_number(pts, [F.asc("_x"), F.asc("_y")], by, out="_rn", with_group_size="_n")
     k = F.greatest(F.least(F.floor(F.lit(float(frac)) * F.col("_n") + F.lit(1e-10)), F.col("_n")),
                    F.least(F.lit(2), F.col("_n")))
-    step = F.lit(1) if anchors is None else F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(int(anchors))))
+    if anchors is not None:
+        step = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(int(anchors))))
+    elif max_pairs is not None:
+        step = F.greatest(F.lit(1), F.ceil(F.col("_n") * k / F.lit(float(max_pairs))))
+    else:
+        step = F.lit(1)
+    sparse = anchors is not None or max_pairs is not None
     num = _ckpt(num.select(*by, "_x", "_y", (F.col("_rn") - 1).alias("_i"), F.col("_n"),
                            k.cast("bigint").alias("_k"), step.cast("bigint").alias("_m")))
     is_anchor = (F.col("_i") % F.col("_m") == 0) | (F.col("_i") == F.col("_n") - 1)
-    anc = num if anchors is None else num.where(is_anchor)
+    anc = num.where(is_anchor) if sparse else num
 
     # window midpoints (x[L] + x[L+k]) / 2 for L = 0 .. n-k-1
     a, b = num.alias("a"), num.alias("b")
@@ -135,7 +147,7 @@ def lowess(df: DataFrame, x: str, y: str, frac: float = 2.0 / 3.0, iters: int =
         fit = (F.when((F.col("_sw") <= 0) | (F.col("_nz") == 1), F.col("_y"))
                .when(sxx > 0, yb - ub * sxy / sxx).otherwise(yb))
         fa = anc.join(s, by + ["_i"]).select(*by, "_i", "_x", "_y", fit.alias("_f"))
-        fits = _ckpt(fa if anchors is None else _interpolate(num, fa, by))
+        fits = _ckpt(_interpolate(num, fa, by) if sparse else fa)
         if rnd == iters:
             break
         res = fits.select(*by, "_i", F.abs(F.col("_y") - F.col("_f")).alias("_r"))

@@ -349,7 +349,7 @@ def q_lowess(t, P):
     """Delivery-time trend over the daily means; x = day number."""
     epoch = F.lit("1970-01-01").cast("date")
     daily = _daily_ship(t, P).withColumn("x", F.datediff("purchase_date", epoch))
-    fit = SM.lowess(daily, "x", "avg_delivery_time", frac=P.delivery_trend_frac)
+    fit = SM.lowess(daily, "x", "avg_delivery_time", frac=P.delivery_trend_frac, max_pairs=P.trend_max_pairs)
     return fit.select(F.date_add(epoch, F.col("x").cast("int")).alias("purchase_date"),
                       "avg_delivery_time", F.round("fit", 6).alias("trend"))
 
@@ -357,7 +357,8 @@ def q_lowess(t, P):
 @register("lowess_seller_scores")
 def q_lowess_sellers(t, P):
     """Review score vs total sales trend per seller."""
-    fit = SM.lowess(q_seller_scores(t, P), "total_sales", "avg_review_score", frac=P.seller_trend_frac)
+    fit = SM.lowess(q_seller_scores(t, P), "total_sales", "avg_review_score", frac=P.seller_trend_frac,
+                    max_pairs=P.trend_max_pairs)
     return fit.select("total_sales", "avg_review_score", F.round("fit", 6).alias("trend"))
 
 

@@ -75,3 +75,21 @@ def test_anchor_mode(spark):
     sparse = {r.x: r.fit for r in lowess(df, "x", "y", 0.3, anchors=30).collect()}
     assert len(sparse) == n
     assert max(abs(sparse[v] - exact[v]) for v in exact) < 0.05
+
+
+def test_pair_budget(spark):
+    rng = np.random.default_rng(11)
+    n = 200
+    x = np.sort(rng.uniform(0, 100, n))
+    y = np.cos(x / 20) + rng.normal(0, 0.1, n)
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "x double, y double")
+    exact = {r.x: r.fit for r in lowess(df, "x", "y", 0.3).collect()}
+    k = int(0.3 * n)
+    # within budget: exact
+    within = {r.x: r.fit for r in lowess(df, "x", "y", 0.3, max_pairs=n * k).collect()}
+    assert max(abs(within[v] - exact[v]) for v in exact) < 1e-12
+    # a tenth of the pairs: every 10th point is an anchor, the same as anchors=20
+    budget = {r.x: r.fit for r in lowess(df, "x", "y", 0.3, max_pairs=n * k // 10).collect()}
+    anchors = {r.x: r.fit for r in lowess(df, "x", "y", 0.3, anchors=20).collect()}
+    assert len(budget) == n
+    assert max(abs(budget[v] - anchors[v]) for v in exact) < 1e-12
