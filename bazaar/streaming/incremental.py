@@ -32,7 +32,11 @@ def order_stream(spark: SparkSession, directory: str, schema: T.StructType, glob
 
 def _event_time(orders: DataFrame, ts: str) -> DataFrame:
     """Watermarks need TIMESTAMP (with zone); the tables hold TIMESTAMP_NTZ.
-    With the session zone at UTC the wall-clock values are unchanged."""
+    Event-time windows are aligned to UTC, so they are calendar days and hours
+    of the wall clock only in a UTC session (``bazaar.session`` sets it)."""
+    tz = orders.sparkSession.conf.get("spark.sql.session.timeZone")
+    if tz not in ("UTC", "Etc/UTC", "GMT", "Z", "+00:00"):
+        raise ValueError(f"streaming order counts need spark.sql.session.timeZone=UTC, not {tz}")
     return orders.withColumn("_et", F.col(ts).cast("timestamp"))
 
 
