@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from bazaar.functions.numeric import r4
 from bazaar.functions.timeutil import day_number, in_half_open, month_label
-from bazaar.operators.ranking import global_row_number, value_positions
+from bazaar.operators.ranking import global_row_number
 
 TS = "order_purchase_timestamp"
 CAT_EN = "product_category_name_english"
@@ -92,26 +92,22 @@ def categories_by_median(weights: DataFrame, weight: str = "weight", category: s
     weights take part in the positions (sorted first) like the row-number form.
 
     Exact and cheap: items are reduced to a (category, weight) -> count
-    histogram whose distinct weights are numbered by cumulative counts
-    (``value_positions``: range-partitioned, so a category with very many
-    distinct weights is split too). The NULL count of a category shifts the
-    positions; the one or two middle positions give the median.
-    -> (category, median_weight)"""
-    w = weights.select(F.col(category).alias("category"), F.col(weight).alias("w"))
-    sizes = w.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.count("w").alias("n_val"))
-    pos = value_positions(w, "w", ["category"])
-    s_ = sizes.select(F.col("category").alias("_c"), "n", "n_val")
-    j = pos.join(s_, pos["category"].eqNullSafe(s_["_c"]))
-    m1, m2 = F.expr("(n + 1) div 2") - (F.col("n") - F.col("n_val")), F.expr("n div 2 + 1") - (F.col("n") - F.col("n_val"))
-    at1 = (F.col("_cs") <= m1) & (m1 <= F.col("_ce"))
-    at2 = (F.col("_cs") <= m2) & (m2 <= F.col("_ce"))
-    g = (j.where(at1 | at2).groupBy("category")
-         .agg(F.max(F.when(at1, F.col("w"))).alias("v1"), F.max(F.when(at2, F.col("w"))).alias("v2")))
-    # every category keeps a row; a middle position inside the NULL run gives NULL
-    g2 = g.select(F.col("category").alias("_g"), "v1", "v2")
-    r = sizes.join(g2, sizes["category"].eqNullSafe(g2["_g"]), "left")
+    histogram first; running counts over the distinct weights locate the one
+    or two middle positions. The window runs per category over its distinct
+    weights, which the product dimension bounds (not the item count).
+    -> (category, median_weight)
+    """
+    h = weights.groupBy(F.col(category).alias("category"), F.col(weight).alias("w")).agg(F.count(F.lit(1)).alias("c"))
+    wc = Window.partitionBy("category").orderBy(F.asc_nulls_first("w")).rowsBetween(Window.unboundedPreceding, 0)
+    h = (h.withColumn("hi", F.sum("c").over(wc)).withColumn("lo", F.col("hi") - F.col("c") + 1)
+         .withColumn("n", F.sum("c").over(Window.partitionBy("category"))))
+    m1, m2 = F.expr("(n + 1) div 2"), F.expr("n div 2 + 1")
+    g = (h.where(((F.col("lo") <= m1) & (m1 <= F.col("hi"))) | ((F.col("lo") <= m2) & (m2 <= F.col("hi"))))
+         .groupBy("category")
+         .agg(F.max(F.when((F.col("lo") <= m1) & (m1 <= F.col("hi")), F.col("w"))).alias("v1"),
+              F.max(F.when((F.col("lo") <= m2) & (m2 <= F.col("hi")), F.col("w"))).alias("v2")))
     med = (F.coalesce("v1", "v2") + F.coalesce("v2", "v1")) / 2
-    return r.select("category", r4(med).alias("median_weight")).orderBy(F.asc_nulls_first("median_weight"), "category")
+    return g.select("category", r4(med).alias("median_weight")).orderBy(F.asc_nulls_first("median_weight"), "category")
 
 
 def _category_sales_rows(orders: DataFrame, items: DataFrame, products: DataFrame, translation: DataFrame,
