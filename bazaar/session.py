@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import SparkSession
 
 # Settings every session gets unless the caller (or the cluster) already set them.
@@ -46,23 +43,16 @@ def get_session(master: str | None = None, app_name: str = "bazaar",
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint directory, setting it from the session.
 
-    The cluster names a shared folder in ``spark.checkpoint.dir``; that is used
-    as is. Only a local-mode session (tests, the bench) with no setting gets a
-    fresh folder under the system temp dir; on a cluster a missing setting is
-    an error, because a machine-local folder would not survive executor loss.
+    The folder is the one named in ``spark.checkpoint.dir``. A session without
+    that setting uses a folder beside its tables (``spark.sql.warehouse.dir``),
+    which all executors share, never a machine-local temporary folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
-    configured = sc.getConf().get("spark.checkpoint.dir", None)
-    if configured:
-        sc.setCheckpointDir(configured)
-        return sc.getCheckpointDir()
-    if not sc.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-    folder = tempfile.mkdtemp(prefix="bazaar-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    sc.setCheckpointDir(folder)
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or f"{warehouse}/_checkpoints")
     return sc.getCheckpointDir()
 
 
