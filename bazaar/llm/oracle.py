@@ -19,4 +19,30 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
 FROM marked GROUP BY doc_id
 """
 
-ORACLE: dict[str, str] = {"op1_line_dedup": _LINE_DEDUP}
+_WORDS = "regexp_extract_all({}, '[^\\x{{00}}-\\x{{2F}}\\x{{3A}}-\\x{{60}}\\x{{7B}}-\\x{{7F}}]+')"
+_DECONTAMINATION = f"""
+WITH d AS (
+  SELECT doc_id, {_WORDS.format(_LOWER.format("coalesce(text, '')"))} AS w FROM documents),
+b AS (
+  SELECT item_id, {_WORDS.format(_LOWER.format("coalesce(text, '')"))} AS w FROM benchmark),
+win AS (
+  SELECT DISTINCT item_id, least(10, len(w)) AS width, w[s:s + least(10, len(w)) - 1] AS x
+  FROM b, unnest(generate_series(1, len(w) - least(10, len(w)) + 1)) AS t(s) WHERE len(w) > 0),
+widths AS (SELECT DISTINCT width FROM win),
+runs AS (
+  SELECT doc_id, s, width, w[s:s + width - 1] AS x
+  FROM d, widths, unnest(generate_series(1, len(w) - width + 1)) AS t(s)),
+hit AS (
+  SELECT doc_id, s, runs.width AS width, item_id FROM runs JOIN win ON runs.x = win.x),
+words AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit
+  FROM hit, unnest(generate_series(s, s + width - 1)) AS t(p) GROUP BY doc_id),
+found AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words ON d.doc_id = words.doc_id LEFT JOIN found ON d.doc_id = found.doc_id
+"""
+
+ORACLE: dict[str, str] = {"op1_line_dedup": _LINE_DEDUP, "op2_decontamination": _DECONTAMINATION}
