@@ -15,6 +15,7 @@ from bazaar.llm.line_dedup import line_dedup
 from bazaar.llm.mixing import mix_sources
 from bazaar.llm.near_dedup import near_duplicates
 from bazaar.llm.sharding import shard_by_bytes
+from bazaar.llm.suffix_dedup import repeated_passages
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +37,10 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(table(spark, sf_dir, "documents"))
 
@@ -53,5 +58,5 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op2_decontamination, op4_source_mix, op7_language_id,
-                              op8_minhash_near_dedup, op9_sharding, op10_embedding_near_dedup)}
+    f.__name__: f for f in (op1_line_dedup, op2_decontamination, op4_source_mix, op6_suffix_dedup,
+                              op7_language_id, op8_minhash_near_dedup, op9_sharding, op10_embedding_near_dedup)}
