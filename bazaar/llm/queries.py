@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 from bazaar.llm.decontamination import decontaminate
 from bazaar.llm.embedding_dedup import near_vectors
 from bazaar.llm.language_id import identify_language
+from bazaar.llm.license_scan import scan_licenses
 from bazaar.llm.line_dedup import line_dedup
 from bazaar.llm.mixing import mix_sources
 from bazaar.llm.near_dedup import near_duplicates
 from bazaar.llm.sharding import shard_by_bytes
 from bazaar.llm.suffix_dedup import repeated_passages
+from bazaar.llm.url_filter import filter_urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,10 +35,18 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages"))
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"))
 
@@ -57,6 +67,6 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op2_decontamination, op4_source_mix, op6_suffix_dedup,
-                              op7_language_id, op8_minhash_near_dedup, op9_sharding, op10_embedding_near_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
+    op1_line_dedup, op2_decontamination, op3_license_scan, op4_source_mix, op5_url_filter, op6_suffix_dedup,
+    op7_language_id, op8_minhash_near_dedup, op9_sharding, op10_embedding_near_dedup)}
