@@ -82,7 +82,7 @@ def _segment(total: float):
 
 
 def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
-                rules=RULES, seeds=SEEDS, seed_count: int = 1000, smooth: float = 1.0) -> DataFrame:
+                rules=RULES, seeds=SEEDS, seed_count: int = 1000, smooth: float = 100.0) -> DataFrame:
     """-> (page_id, host, path, rule, verdict, score), one row per input row.
 
     Host: after the first `://` up to `/`, `?`, `#` or the end, A-Z
@@ -137,12 +137,15 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
         F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("nb"),
         F.sum(F.when(F.col("bad"), 0).otherwise(F.col("n"))).alias("na")))
     per = reliable_checkpoint(per)
-    nb, na, v = per.agg(F.sum("nb"), F.sum("na"), F.count(F.lit(1))).first()
+    nb, na = per.agg(F.sum("nb"), F.sum("na")).first()
     pb = keys.join(bad, ["host", "shape"], "left").agg(
         F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)), F.sum(F.when(F.col("bad"), 0).otherwise(F.col("n")))).first()
-    prior = math.log((pb[0] or 0) + smooth) - math.log((pb[1] or 0) + smooth) if pb[0] else -1.0
-    odds = (F.log((F.col("nb") + smooth) / ((nb or 0) + smooth * (v or 1)))
-            - F.log((F.col("na") + smooth) / ((na or 0) + smooth * (v or 1))))
+    prior = math.log(pb[0] + 1.0) - math.log(pb[1] + 1.0) if pb[0] else -1.0
+    # ``smooth`` words of the overall distribution are added to both classes, so
+    # a word that one class never has does not speak for the smaller class
+    share = (F.col("nb") + F.col("na")) / F.lit(float(max(1, (nb or 0) + (na or 0))))
+    odds = (F.log((F.col("nb") + smooth * share) / ((nb or 0) + smooth))
+            - F.log((F.col("na") + smooth * share) / ((na or 0) + smooth)))
     scored = reliable_checkpoint(split.select("name", F.explode("words").alias("word")).join(
         per.select("word", odds.alias("odds")), "word").groupBy("name").agg(F.sum("odds").alias("odds")))
     judged = (names.join(scored, "name").groupBy("host", "shape").agg(F.sum("odds").alias("odds")))
