@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -15,6 +16,9 @@ SF_ORACLE = "/root/testdata/sf0.01"
 def spark():
     from bazaar.session import get_session
 
-    s = get_session("local[4]", app_name="bazaar-tests", shuffle_partitions=8)
+    folder = tempfile.mkdtemp(prefix="bazaar-tests-")
+    s = get_session("local[4]", app_name="bazaar-tests", shuffle_partitions=8,
+                    extra={"spark.checkpoint.dir": f"file://{folder}/checkpoints",
+                           "spark.sql.warehouse.dir": f"{folder}/warehouse"})
     yield s
     s.stop()
