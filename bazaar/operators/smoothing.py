@@ -6,36 +6,38 @@ points that a sliding search would settle on), tricube distance weights,
 weighted linear fit evaluated at the point, then ``iters`` robustness rounds
 with bisquare weights of residual / (6 * median |residual|).
 
-Plan (per series ``by``):
-
-* number points by (x, y) with ``global_row_number`` and checkpoint them;
-* window start L(i) = min(n - k, #{L : (x[L] + x[L+k]) / 2 < x_i}), counted
-  exactly by merging the n - k window midpoints with the points in one
-  distributed sort;
-* neighbour pairs (i, j) for j in [L(i), L(i) + k) come from an equi-join on
-  the bucket j div k (each window touches at most two buckets), so no
-  theta join and no all-pairs product: exactly k pairs per point;
-* each round joins the pairs with the current robustness weights and
-  aggregates five weighted sums per point; the fit is closed-form with x
-  centred on the point (large x such as timestamps stay accurate).
-
-Cost is n * k pairs per series (k grows with frac * n), so this exact form
-suits series such as days or sellers, not raw events.
+Exact at every size, without neighbour pairs. Per series ``by``:
+
+* points are numbered by (x, y) with ``global_row_number``; the window start
+  L(i) = min(n - k, #{L : (x[L] + x[L+k]) / 2 < x_i}) is counted by merging
+  the n - k window midpoints with the points in one distributed sort;
+* points are cut into blocks of about sqrt(k) consecutive ones, a row each;
+* on either side of a point, the tricube weight is the polynomial
+  1 - 3 t^3 + 3 t^6 - t^9 of the scaled distance t, so a block that lies wholly
+  inside a window enters its five sums through the block's power sums
+  (robustness weight x position^p, and x y, p = 0..11). Only the block that
+  holds the point and the two that hold the window's ends are read point by
+  point;
+* a round joins every block with the blocks its windows touch: about
+  n / sqrt(k) x sqrt(k) rows of power sums, where pairs would be n x k. Join
+  keys are block numbers, of which there are thousands, never a whole series.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bazaar.operators.ranking import global_row_number, row_quantiles
 from bazaar.session import reliable_checkpoint
 
-
-def _ckpt(df: DataFrame) -> DataFrame:
-    return reliable_checkpoint(df)
+POWERS = 12
+_BINOMIAL = np.array([[float(math.comb(p, q)) for q in range(POWERS)] for p in range(POWERS)])
 
 
 def _eq(a: DataFrame, b: DataFrame, by: Sequence[str]) -> Column:
@@ -45,39 +47,158 @@ def _eq(a: DataFrame, b: DataFrame, by: Sequence[str]) -> Column:
     return cond
 
 
-def _interpolate(num: DataFrame, fa: DataFrame, by: list[str]) -> DataFrame:
-    """Fit of every point from the two anchors around it (linear in x)."""
-    lo = fa.select(*by, F.col("_i").alias("_lo"), F.col("_x").alias("_xlo"), F.col("_f").alias("_flo"))
-    hi = fa.select(*by, F.col("_i").alias("_hi"), F.col("_x").alias("_xhi"), F.col("_f").alias("_fhi"))
-    p = num.select(*by, "_i", "_x", "_y", (F.floor(F.col("_i") / F.col("_m")) * F.col("_m")).cast("bigint").alias("_lo"),
-                   F.least((F.floor(F.col("_i") / F.col("_m")) + 1) * F.col("_m"), F.col("_n") - 1)
-                   .cast("bigint").alias("_hi"))
-    j = p.join(lo, by + ["_lo"]).join(hi, by + ["_hi"])
-    f = (F.when(F.col("_i") == F.col("_lo"), F.col("_flo")).when(F.col("_i") == F.col("_hi"), F.col("_fhi"))
-         .when(F.col("_xhi") == F.col("_xlo"), F.col("_flo"))
-         .otherwise(F.col("_flo") + (F.col("_x") - F.col("_xlo")) * (F.col("_fhi") - F.col("_flo"))
-                    / (F.col("_xhi") - F.col("_xlo"))))
-    return j.select(*by, "_i", "_x", "_y", f.alias("_f"))
+def block_sums(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> list[float]:
+    """Power sums of a block around its centre: [centre, radius, smallest x, largest x,
+    non-zero weights, those above the smallest x, those below the largest x, M_0.., N_0..]."""
+    c, r = (x[0] + x[-1]) / 2, (x[-1] - x[0]) / 2 or 1.0
+    z = ((x - c) / r)[:, None] ** np.arange(POWERS) * w[:, None]
+    some = w != 0
+    return [c, r, x[0], x[-1], some.sum(), (some & (x > x[0])).sum(), (some & (x < x[-1])).sum(),
+            *z.sum(0), *(z * y[:, None]).sum(0)]
+
+
+def _side(t: np.ndarray, xi: float, h: float, sign: float) -> np.ndarray:
+    """(sum w, w z, w z^2, w y, w z y) of whole blocks on one side of the point, z = (x - x_i) / h."""
+    p = np.arange(POWERS)
+    a = (t[:, 1] / h)[:, None] ** p
+    d = ((t[:, 0] - xi) / h)[:, None] ** p
+    out = []
+    for part, most in ((t[:, 7:7 + POWERS], 3), (t[:, 7 + POWERS:], 2)):
+        g = (part * a).T @ d
+        s = np.array([sum(_BINOMIAL[m, q] * g[q, m - q] for q in range(m + 1)) for m in range(POWERS)])
+        c = sign ** 3
+        out += [s[m] - 3 * c * s[m + 3] + 3 * s[m + 6] - c * s[m + 9] for m in range(most)]
+    return np.array(out)
+
+
+def fit_block(first: int, size: int, k: int, own: dict, raw: dict[int, dict], sums: dict[int, np.ndarray]) -> np.ndarray:
+    """Fits of one block's points. ``raw``: blocks by number with arrays x, y, w;
+    ``sums``: power sums of the blocks that some window holds whole."""
+    numbers = np.array(sorted(sums), np.int64)
+    table = np.array([sums[b] for b in numbers]).reshape(-1, 7 + 2 * POWERS)
+    out = np.empty(len(own["x"]))
+    for n, (xi, yi, lo) in enumerate(zip(own["x"], own["y"], own["L"])):
+        hi, mine = lo + k - 1, (first + n) // size
+        bl, bh = lo // size, hi // size
+        h = max(xi - raw[bl]["x"][lo - bl * size], raw[bh]["x"][hi - bh * size] - xi)
+        s, count = np.zeros(5), 0
+        for b in {bl, mine, bh}:
+            r = raw[b]
+            a, z = max(lo - b * size, 0), min(hi + 1 - b * size, len(r["x"]))
+            u = (r["x"][a:z] - xi) / h if h > 0 else np.zeros(z - a)
+            w = np.where(np.abs(u) < 1, (1 - np.abs(u) ** 3) ** 3, 0.0) * r["w"][a:z]
+            count += int((w != 0).sum())
+            wy = w * r["y"][a:z]
+            s += (w.sum(), (w * u).sum(), (w * u * u).sum(), wy.sum(), (wy * u).sum())
+        inside = table[(numbers > bl) & (numbers < bh) & (numbers != mine)]
+        at = numbers[(numbers > bl) & (numbers < bh) & (numbers != mine)]
+        if len(inside) and h > 0:
+            for sign, t in ((-1.0, inside[at < mine]), (1.0, inside[at > mine])):
+                # points exactly h away weigh nothing: whole blocks of them, or part of one
+                far = t[:, 2] if sign < 0 else t[:, 3]
+                near = t[:, 3] if sign < 0 else t[:, 2]
+                t, far = t[np.abs(near - xi) / h < 1], far[np.abs(near - xi) / h < 1]
+                if len(t):
+                    edge = np.abs(far - xi) / h >= 1
+                    count += int(np.where(edge, t[:, 5 if sign < 0 else 6], t[:, 4]).sum())
+                    s += _side(t, xi, h, sign)
+        elif len(inside):
+            count += int(inside[:, 4].sum())
+            s[0] += inside[:, 7].sum()
+            s[3] += inside[:, 7 + POWERS].sum()
+        if s[0] <= 0 or count == 1:
+            out[n] = yi
+            continue
+        ub, yb = s[1] / s[0], s[3] / s[0]
+        sxx, sxy = s[2] / s[0] - ub * ub, s[4] / s[0] - ub * yb
+        out[n] = yb - ub * sxy / sxx if sxx > 1e-14 else yb
+    return out
+
+
+def _blocks_of(df: DataFrame, by: list[str]) -> DataFrame:
+    """One row per block: (by..., b, size, k, x[], y[], L[]) in point order."""
+    points = F.array_sort(F.collect_list(F.struct("_i", "_x", "_y", "_L")))
+    return (df.withColumn("b", F.expr("_i div _size")).groupBy(*by, "b")
+            .agg(F.max("_size").alias("size"), F.max("_k").alias("k"), points.alias("p"))
+            .select(*by, "b", "size", "k", F.col("p._x").alias("x"), F.col("p._y").alias("y"), F.col("p._L").alias("L")))
+
+
+def _sums(batches):
+    """Blocks with weights -> (..., sums): appended to each row."""
+    for batch in batches:
+        sums = [block_sums(*(np.asarray(batch.column(c)[i].as_py()) for c in ("x", "y", "w")))
+                for i in range(batch.num_rows)]
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns, pa.array(sums, pa.list_(pa.float64()))], [*batch.schema.names, "sums"])
+
+
+def _fits(by: list[str]):
+    """Rows sorted by (by, b, whole): the blocks one block's windows touch -> (by..., b, f[])."""
+    def emit(key, rows, schema):
+        raw, sums, own = {}, {}, None
+        for r in rows:
+            if r["x"] is not None:
+                raw[r["nb"]] = {c: np.asarray(r[c], np.float64) for c in ("x", "y", "w")}
+            if r["sums"] is not None:
+                sums[r["nb"]] = np.asarray(r["sums"], np.float64)
+            if r["L"] is not None:
+                own = r
+        own = {"x": raw[own["nb"]]["x"], "y": raw[own["nb"]]["y"], "L": own["L"], "size": own["size"], "k": own["k"]}
+        f = fit_block(key[-1] * own["size"], own["size"], own["k"], own, raw, sums)
+        cols = [pa.array([v], schema.field(c).type) for c, v in zip([*by, "b"], key)]
+        return pa.RecordBatch.from_arrays([*cols, pa.array([f.tolist()], pa.list_(pa.float64()))], [*by, "b", "f"])
+
+    def run(batches):
+        key, rows, schema = None, [], None
+        for batch in batches:
+            schema = batch.schema
+            for r in batch.to_pylist():
+                now = tuple(r[c] for c in [*by, "b"])
+                if rows and now != key:
+                    yield emit(key, rows, schema)
+                    rows = []
+                key = now
+                rows.append(r)
+        if rows:
+            yield emit(key, rows, schema)
+    return run
+
+
+def _round(blocks: DataFrame, by: list[str]) -> DataFrame:
+    """One fit of every point: blocks (with weights w) -> (by..., b, f[])."""
+    spark = blocks.sparkSession
+    types = {f.name: f.dataType.simpleString() for f in blocks.schema}
+    columns = [*by, "b", "size", "k", "x", "y", "L", "w"]
+    ddl = ", ".join(f"`{c}` {types[c]}" for c in columns)
+    summed = blocks.select(*columns).mapInArrow(_sums, f"{ddl}, sums array<double>")
+    summed = reliable_checkpoint(summed)
+    # raw: the own block and those of the window ends; whole: everything between
+    ends = F.array_distinct(F.concat(
+        F.array("b"), F.transform("L", lambda v: F.floor(v / F.col("size")).cast("bigint")),
+        F.transform("L", lambda v: F.floor((v + F.col("k") - 1) / F.col("size")).cast("bigint"))))
+    span = F.sequence(F.array_min("ends"), F.array_max("ends"))
+    want = (summed.select(*by, "b", ends.alias("ends")).withColumn("nb", F.explode(span))
+            .withColumn("raw", F.array_contains("ends", F.col("nb"))).drop("ends"))
+    other = summed.select(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(by)], F.col("b").alias("nb"),
+                          "size", "k", "x", "y", "L", "w", "sums")
+    cond = want["nb"] == other["nb"]
+    for i, c in enumerate(by):
+        cond = cond & want[c].eqNullSafe(other[f"_o{i}"])
+    raw = F.col("raw")
+    met = want.join(other, cond).select(
+        *by, "b", want["nb"], "size", "k", *[F.when(raw, F.col(c)).alias(c) for c in ("x", "y", "w")],
+        F.when(F.col("b") == want["nb"], F.col("L")).alias("L"), "sums")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = ", ".join(f"`{c}` {types[c]}" for c in [*by, "b"])
+    return (met.repartition(n, *by, "b").sortWithinPartitions(*by, "b")
+            .mapInArrow(_fits(by), f"{keys}, f array<double>"))
 
 
 def lowess(df: DataFrame, x: str, y: str, frac: float = 2.0 / 3.0, iters: int = 3,
-           by: Sequence[str] = (), out: str = "fit", anchors: int | None = None,
-           max_pairs: int | None = None) -> DataFrame:
+           by: Sequence[str] = (), out: str = "fit") -> DataFrame:
     """LOWESS fit per point. Rows with NULL x or y are dropped (pairing a
     fit with the wrong date would shift the trend).
-    -> (by..., x, y, fit) with x and y as DOUBLE.
-
-    ``anchors`` (default: exact at every point) fits the local regression only
-    at about that many points per series, evenly spaced by rank, each with its
-    full k-neighbourhood, and interpolates linearly in x in between -- the
-    idea of the usual ``delta`` shortcut. Robustness weights still use every
-    point's residual. Cost falls from n*k to anchors*k pairs per round.
-
-    ``max_pairs`` bounds the neighbour pairs per series instead: a series with
-    n*k <= max_pairs is fitted exactly at every point, a longer one at every
-    m-th point with m = ceil(n*k / max_pairs). The choice is a column
-    expression per series, made inside the plan.
-    """
+    -> (by..., x, y, fit) with x and y as DOUBLE."""
     by = list(by)
     single = not by
     if single:  # one series: a constant key keeps every step an equi-join
@@ -86,20 +207,10 @@ def lowess(df: DataFrame, x: str, y: str, frac: float = 2.0 / 3.0, iters: int =
         *by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
     num = global_row_number(pts, [F.asc("_x"), F.asc("_y")], by, out="_rn", with_group_size="_n")
     k = F.greatest(F.least(F.floor(F.lit(float(frac)) * F.col("_n") + F.lit(1e-10)), F.col("_n")),
-                   F.least(F.lit(2), F.col("_n")))
-    if anchors is not None:
-        step = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(int(anchors))))
-    elif max_pairs is not None:
-        step = F.greatest(F.lit(1), F.ceil(F.col("_n") * k / F.lit(float(max_pairs))))
-    else:
-        step = F.lit(1)
-    sparse = anchors is not None or max_pairs is not None
-    num = _ckpt(num.select(*by, "_x", "_y", (F.col("_rn") - 1).alias("_i"), F.col("_n"),
-                           k.cast("bigint").alias("_k"), step.cast("bigint").alias("_m")))
-    # one scalar: does any series fit at anchors only? (else skip the interpolation joins)
-    sparse = sparse and (num.agg(F.max("_m")).first()[0] or 1) > 1
-    is_anchor = (F.col("_i") % F.col("_m") == 0) | (F.col("_i") == F.col("_n") - 1)
-    anc = num.where(is_anchor) if sparse else num
+                   F.least(F.lit(2), F.col("_n"))).cast("bigint")
+    num = reliable_checkpoint(num.select(
+        *by, "_x", "_y", (F.col("_rn") - 1).alias("_i"), F.col("_n"), k.alias("_k"),
+        F.greatest(F.lit(1), F.ceil(F.sqrt(k))).cast("bigint").alias("_size")))
 
     # window midpoints (x[L] + x[L+k]) / 2 for L = 0 .. n-k-1
     a, b = num.alias("a"), num.alias("b")
@@ -113,50 +224,28 @@ def lowess(df: DataFrame, x: str, y: str, frac: float = 2.0 / 3.0, iters: int =
     ranked = global_row_number(merged, [F.asc("_v"), F.asc("_t"), F.asc("_p")], by, out="_ru")
     starts = (ranked.where(F.col("_t") == 0)
               .select(*by, F.col("_p").alias("_i"), (F.col("_ru") - F.col("_p") - 1).alias("_below")))
-    win = (anc.join(starts, by + ["_i"])
-           .select(*by, "_i", "_x", "_k", F.least(F.col("_n") - F.col("_k"), F.col("_below")).alias("_L")))
-    # radius: the larger distance to the window's two ends
-    lo, hi = num.select(*by, F.col("_i").alias("_L"), F.col("_x").alias("_xl")), \
-        num.select(*by, (F.col("_i") - F.col("_k") + 1).alias("_L"), F.col("_x").alias("_xh"))
-    win = win.join(lo, by + ["_L"]).join(hi, by + ["_L"]).select(
-        *by, "_i", "_x", "_k", "_L",
-        F.greatest(F.col("_x") - F.col("_xl"), F.col("_xh") - F.col("_x")).alias("_h"))
-
-    # neighbour pairs through the bucket j div k (<= 2 buckets per window)
-    anchors = win.select(*by, "_i", "_x", "_L", "_k", "_h",
-                         F.explode(F.sequence(F.floor(F.col("_L") / F.col("_k")).cast("bigint"),
-                                              F.floor((F.col("_L") + F.col("_k") - 1) / F.col("_k")).cast("bigint")))
-                         .alias("_b"))
-    nb = num.select(*by, F.col("_i").alias("_j"), F.col("_x").alias("_xj"), F.col("_y").alias("_yj"),
-                    F.floor(F.col("_i") / F.col("_k")).cast("bigint").alias("_b"))
-    d = F.when(F.col("_h") > 0, F.abs(F.col("_xj") - F.col("_x")) / F.col("_h")).otherwise(F.lit(0.0))
-    tri = F.when(d < 1, F.pow(1 - F.pow(d, 3), 3)).otherwise(F.lit(0.0))
-    pairs = _ckpt(anchors.join(nb, by + ["_b"])
-                  .where((F.col("_j") >= F.col("_L")) & (F.col("_j") < F.col("_L") + F.col("_k")))
-                  .select(*by, "_i", "_j", (F.col("_xj") - F.col("_x")).alias("_u"), "_yj", tri.alias("_tri")))
-
-    rw = num.select(*by, F.col("_i").alias("_j"), F.lit(1.0).alias("_rw"))
-    fits = None
+    p, q = num.alias("p"), starts.alias("q")
+    placed = p.join(q, _eq(p, q, by) & (F.col("p._i") == F.col("q._i"))).select(
+        "p.*", F.least(F.col("p._n") - F.col("p._k"), F.col("q._below")).alias("_L"))
+    blocks = reliable_checkpoint(_blocks_of(placed, by))
+
+    blocks = blocks.withColumn("w", F.transform("x", lambda v: F.lit(1.0)))
     for rnd in range(iters + 1):
-        w = F.col("_tri") * F.col("_rw")
-        s = (pairs.join(rw, by + ["_j"]).groupBy(*by, "_i")
-             .agg(F.sum(w).alias("_sw"), F.sum(w * F.col("_u")).alias("_su"),
-                  F.sum(w * F.col("_u") * F.col("_u")).alias("_suu"), F.sum(w * F.col("_yj")).alias("_sy"),
-                  F.sum(w * F.col("_u") * F.col("_yj")).alias("_suy"), F.count(F.when(w != 0, 1)).alias("_nz")))
-        ub, yb = F.col("_su") / F.col("_sw"), F.col("_sy") / F.col("_sw")
-        sxx = F.col("_suu") / F.col("_sw") - ub * ub
-        sxy = F.col("_suy") / F.col("_sw") - ub * yb
-        fit = (F.when((F.col("_sw") <= 0) | (F.col("_nz") == 1), F.col("_y"))
-               .when(sxx > 0, yb - ub * sxy / sxx).otherwise(yb))
-        fa = anc.join(s, by + ["_i"]).select(*by, "_i", "_x", "_y", fit.alias("_f"))
-        fits = _ckpt(_interpolate(num, fa, by) if sparse else fa)
+        f = _round(blocks, by)
+        c, d = blocks.drop("w").alias("c"), f.alias("d")
+        fitted = reliable_checkpoint(c.join(d, _eq(c, d, by) & (F.col("c.b") == F.col("d.b"))).select("c.*", "d.f"))
         if rnd == iters:
             break
-        res = fits.select(*by, "_i", F.abs(F.col("_y") - F.col("_f")).alias("_r"))
-        med = row_quantiles(res, "_r", by, [0.5], ["_m"], tiebreak=["_i"])
-        scaled = F.when(F.col("_m") == 0, F.when(F.col("_r") > 0, 1.0).otherwise(0.0)) \
-            .otherwise(F.least(F.col("_r") / (6.0 * F.col("_m")), F.lit(1.0)))
-        # shallow lineage (checkpointed fits joined with one median per series): no checkpoint
-        rw = (res.join(med, by).select(*by, F.col("_i").alias("_j"), F.pow(1 - F.pow(scaled, 2), 2).alias("_rw")))
+        res = F.zip_with("y", "f", lambda u, v: F.abs(u - v))
+        rows = fitted.select(*by, "b", F.posexplode(res).alias("_at", "_r"))
+        med = row_quantiles(rows, "_r", by, [0.5], ["_m"], tiebreak=["b", "_at"])
+        m, g = fitted.withColumn("_res", res).alias("m"), med.alias("g")
+        scaled = lambda r: F.when(F.col("g._m") == 0, F.when(r > 0, 1.0).otherwise(0.0)).otherwise(
+            F.least(r / (6.0 * F.col("g._m")), F.lit(1.0)))
+        # one median per series meets whole blocks, not points
+        blocks = m.join(g, _eq(m, g, by)).select(
+            *[F.col(f"m.{c}").alias(c) for c in [*by, "b", "size", "k", "x", "y", "L"]],
+            F.transform("m._res", lambda r: F.pow(1 - F.pow(scaled(r), 2), 2)).alias("w"))
     keep = [] if single else by
-    return fits.select(*keep, F.col("_x").alias(x), F.col("_y").alias(y), F.col("_f").alias(out))
+    flat = fitted.select(*keep, F.explode(F.arrays_zip("x", "y", "f")).alias("_p"))
+    return flat.select(*keep, F.col("_p.x").alias(x), F.col("_p.y").alias(y), F.col("_p.f").alias(out))

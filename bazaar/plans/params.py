@@ -24,9 +24,6 @@ class Params:
     grid_deg: float = 1.0              # map density cell size in degrees
     delivery_trend_frac: float = 0.3
     seller_trend_frac: float = 0.1
-    # LOWESS stays exact up to this many neighbour pairs per series, then fits
-    # at evenly spaced anchors (each with its full neighbourhood) and interpolates
-    trend_max_pairs: int = 200_000_000
 
 
 # Parameters that suit the test tables (FIXTURES.md §2).
