@@ -1,8 +1,9 @@
 """Numeric conventions shared by operators and oracle SQL.
 
 Money is summed as DECIMAL(18,2) (exact, independent of partitioning) and
-turned into DOUBLE only at the end; ratios and means are rounded so that two
-engines that add doubles in different orders still agree.
+turned into DOUBLE only at the end. Operators return ratios and means as they
+are; registered queries round them in their last select, so that two engines
+that add doubles in different orders still agree.
 """
 
 from __future__ import annotations
@@ -13,14 +14,6 @@ from pyspark.sql import functions as F
 MONEY = "decimal(18,2)"
 
 
-def money(c: Column | str) -> Column:
-    return F.col(c).cast(MONEY) if isinstance(c, str) else c.cast(MONEY)
-
-
-def as_double(c: Column) -> Column:
-    return c.cast("double")
-
-
 def r4(c: Column) -> Column:
     """Round a double to 4 places (HALF_UP, same as SQL ROUND)."""
     return F.round(c.cast("double"), 4)
@@ -28,8 +21,3 @@ def r4(c: Column) -> Column:
 
 def r2(c: Column) -> Column:
     return F.round(c.cast("double"), 2)
-
-
-def safe_div(num: Column, den: Column) -> Column:
-    """x / 0 -> NULL (the reference's SQL engine semantics), never an ANSI error."""
-    return F.try_divide(num, den)

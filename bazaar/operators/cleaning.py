@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bazaar.operators.ranking import positions_quantiles, value_positions
+from bazaar.operators.ranking import count_groups, join_groups, positions_quantiles, value_positions
 from bazaar.session import reliable_checkpoint
 
 
@@ -37,29 +37,60 @@ def truncate_int(df: DataFrame, col: str) -> DataFrame:
     return df.withColumn(col, F.col(col).cast("double").cast("bigint"))
 
 
-def remove_outliers_sigma(df: DataFrame, col: str, by: Sequence[str], n_std: float = 3.0) -> DataFrame:
+def remove_outliers_sigma(df: DataFrame, col: str, by: Sequence[str], n_std: float = 3.0,
+                          materialize: bool = True) -> DataFrame:
     """Drop rows outside mean +- n_std * sample std of their group.
     NULL values, one-row groups and NULL groups are kept (no bounds apply).
-    Group statistics are an aggregate joined back (plain, not null-safe, so a
-    NULL group finds no bounds): AQE broadcasts it when small."""
+    With ``materialize`` the input is checkpointed, since it is read twice
+    (statistics, filter)."""
     by = list(by)
-    s = df.groupBy(*by).agg(F.avg(col).alias("_mu"), F.stddev_samp(col).alias("_sd"))
+    if materialize:
+        df = reliable_checkpoint(df)
+    s = reliable_checkpoint(df.groupBy(*by).agg(F.avg(col).alias("_mu"), F.stddev_samp(col).alias("_sd")))
     lo = F.col("_mu") - F.lit(n_std) * F.col("_sd")
     hi = F.col("_mu") + F.lit(n_std) * F.col("_sd")
-    j = df.join(s, [df[b] == s[b] for b in by], "left").select(df["*"], "_mu", "_sd")
+    j = join_groups(df, s, by, s.count(), "left", null_safe=False)
     x = F.col(col)
     return j.where(F.coalesce(~((x < lo) | (x > hi)), F.lit(True))).drop("_mu", "_sd")
 
 
-def _iqr_bounds(pos: DataFrame, col: str, by: list[str], k: float, passes: int) -> DataFrame | None:
+def sigma_box_summary(hist: DataFrame, col: str, count: str, by: Sequence[str], n_std: float = 3.0) -> DataFrame:
+    """D05 + D07 in one: the box-plot numbers of the rows ``remove_outliers_sigma``
+    keeps, from a histogram (by..., col, count of rows): mean and deviation come
+    from the same counts, and the kept rows are a value range of their group.
+    -> (by..., min, q1, median, q3, max, n)"""
+    by = list(by)
+    pos = value_positions(hist, col, by, count)
+    n_groups = count_groups(pos, by)
+    c, x = F.col("_w"), F.col(col)
+    mean = pos.groupBy(*by).agg((F.sum(c * x) / F.sum(c)).alias("_mu"), F.sum(c).alias("_c"))
+    spread = (join_groups(pos, mean, by, n_groups).groupBy(*by)
+              .agg(F.max("_mu").alias("_mu"), F.try_divide(F.sum(c * (x - F.col("_mu")) * (x - F.col("_mu"))),
+                                                           F.max("_c") - 1).alias("_var")))
+    none = F.lit(False)
+    for b in by:
+        none = none | F.col(b).isNull()
+    half = F.when(none | F.col("_var").isNull(), F.lit(float("inf"))).otherwise(F.lit(n_std) * F.sqrt("_var"))
+    bounds = spread.select(*by, (F.col("_mu") - half).alias("_lo"), (F.col("_mu") + half).alias("_hi"))
+    return _box(pos, col, by, reliable_checkpoint(bounds), n_groups)
+
+
+def _box(pos: DataFrame, col: str, by: list[str], bounds: DataFrame | None, n_groups: int) -> DataFrame:
+    b = positions_quantiles(pos, col, by, [0.25, 0.5, 0.75], ["q1", "median", "q3"], bounds, True, n_groups)
+    d = lambda c: F.col(c).cast("double").alias(c)
+    return b.select(*by, d("min"), d("q1"), d("median"), d("q3"), d("max"), F.col("n").cast("bigint").alias("n"))
+
+
+def _iqr_bounds(pos: DataFrame, col: str, by: list[str], k: float, passes: int, n_groups: int) -> DataFrame | None:
     """Fences after ``passes`` rounds; each round's quantiles are taken over the
-    values the previous fences kept (a contiguous value range per group)."""
+    values the previous fences kept (a contiguous value range per group).
+    One row per group, checkpointed after each round."""
     bounds = None
     for _ in range(passes):
-        q = positions_quantiles(pos, col, by, [0.25, 0.75], ["_q1", "_q3"], bounds)
+        q = positions_quantiles(pos, col, by, [0.25, 0.75], ["_q1", "_q3"], bounds, n_groups=n_groups)
         iqr = F.col("_q3") - F.col("_q1")
-        bounds = q.select(*by, (F.col("_q1") - F.lit(k) * iqr).alias("_lo"),
-                          (F.col("_q3") + F.lit(k) * iqr).alias("_hi"))
+        bounds = reliable_checkpoint(q.select(*by, (F.col("_q1") - F.lit(k) * iqr).alias("_lo"),
+                                              (F.col("_q3") + F.lit(k) * iqr).alias("_hi")))
     return bounds
 
 
@@ -78,8 +109,11 @@ def remove_outliers_iqr(df: DataFrame, col: str, by: Sequence[str], k: float = 1
         return df
     if materialize:
         df = reliable_checkpoint(df)
-    f = _iqr_bounds(value_positions(df, col, by), col, by, k, passes)
-    return df.join(f, by).where((F.col(col) >= F.col("_lo")) & (F.col(col) <= F.col("_hi"))).select(*df.columns)
+    pos = value_positions(df, col, by)
+    n_groups = count_groups(pos, by)
+    f = _iqr_bounds(pos, col, by, k, passes, n_groups)
+    j = join_groups(df, f, by, n_groups, null_safe=False)
+    return j.where((F.col(col) >= F.col("_lo")) & (F.col(col) <= F.col("_hi"))).select(*df.columns)
 
 
 def iqr_box_summary(df: DataFrame, col: str, by: Sequence[str], k: float = 1.5, passes: int = 1) -> DataFrame:
@@ -88,7 +122,5 @@ def iqr_box_summary(df: DataFrame, col: str, by: Sequence[str], k: float = 1.5,
     -> (by..., min, q1, median, q3, max, n)"""
     by = list(by)
     pos = value_positions(df, col, by)
-    b = positions_quantiles(pos, col, by, [0.25, 0.5, 0.75], ["q1", "median", "q3"],
-                            _iqr_bounds(pos, col, by, k, passes), with_min_max_count=True)
-    r = lambda c: F.round(F.col(c).cast("double"), 4).alias(c)
-    return b.select(*by, r("min"), r("q1"), r("median"), r("q3"), r("max"), F.col("n").cast("bigint").alias("n"))
+    n_groups = count_groups(pos, by)
+    return _box(pos, col, by, _iqr_bounds(pos, col, by, k, passes, n_groups), n_groups)

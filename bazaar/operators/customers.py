@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bazaar.functions.timeutil import US_PER_DAY, micros_between, ts_lit
+from bazaar.functions.timeutil import days_between, ts_lit
 from bazaar.operators.ranking import global_ntile
+from bazaar.session import reliable_checkpoint
 
 TS = "order_purchase_timestamp"
 CUID = "customer_unique_id"
@@ -50,9 +51,13 @@ def rfm_scores(orders: DataFrame, items: DataFrame, customers: DataFrame,
     """
     o = orders if status is None else orders.where(F.col("order_status") == status)
     o = o.select("order_id", "customer_id", TS).join(customers.select("customer_id", CUID), "customer_id")
-    rf = o.groupBy(CUID).agg(F.max(TS).alias("last_purchase"), F.count("order_id").alias("total_orders"))
-    spent = (o.select("order_id", CUID).join(items.select("order_id", "price"), "order_id")
-             .groupBy(CUID).agg(F.sum("price").alias("total_spent")))
+    paid = items.groupBy("order_id").agg(F.sum("price").alias("paid"), F.lit(True).alias("_sold"))
+    # one pass: all three scores come from one row per person
+    rf = reliable_checkpoint(o.join(paid, "order_id", "left").groupBy(CUID).agg(
+        F.max(TS).alias("last_purchase"), F.count("order_id").alias("total_orders"),
+        F.sum("paid").alias("total_spent"), F.max("_sold").alias("_sold")))
+    spent = rf.where("_sold").select(CUID, "total_spent")
+    rf = rf.select(CUID, "last_purchase", "total_orders")
     rf = global_ntile(rf, tiles, [F.desc("last_purchase")], "recency", tiebreak=[CUID])
     rf = global_ntile(rf, tiles, [F.desc("total_orders")], "frequency", tiebreak=[CUID])
     m = global_ntile(spent, tiles, [F.desc("total_spent")], "monetary", tiebreak=[CUID])
@@ -67,11 +72,11 @@ def rfm_buckets(orders: DataFrame, items: DataFrame, customers: DataFrame, as_of
     -> (RFM_Bucket, avg_days_since_purchase, avg_sales_per_customer, customer_count)"""
     s = rfm_scores(orders, items, customers, status)
     now = ts_lit(as_of) if isinstance(as_of, str) else as_of
-    days = micros_between(F.col("last_purchase"), now) / F.lit(float(US_PER_DAY))
+    days = days_between("last_purchase", now)
     return (s.withColumn("RFM_Bucket", rfm_segment())
             .groupBy("RFM_Bucket")
-            .agg(F.round(F.avg(days), 4).alias("avg_days_since_purchase"),
-                 F.round(F.avg(F.col("total_spent").cast("double") / F.col("total_orders")), 4)
+            .agg(F.avg(days).alias("avg_days_since_purchase"),
+                 F.avg(F.col("total_spent").cast("double") / F.col("total_orders"))
                  .alias("avg_sales_per_customer"),
                  F.count(F.lit(1)).alias("customer_count")))
 
@@ -91,7 +96,7 @@ def clv(customers: DataFrame, orders: DataFrame, payments: DataFrame, digits: in
         F.max_by("customer_zip_code_prefix", F.struct(TS, "order_id")).alias("zip_code_prefix"),
         F.count(F.lit(1)).alias("PF"), F.sum("paid").alias("total_payment"),
         F.min(TS).alias("first_order"), F.max(TS).alias("last_order"))
-    span = micros_between(F.col("first_order"), F.col("last_order")) / F.lit(float(US_PER_DAY))
+    span = days_between("first_order", "last_order")
     aov = F.col("total_payment").cast("double") / F.col("PF")
     acl = F.when(span < 7, F.lit(1.0)).otherwise(span / 7)
     if digits is not None:
@@ -100,7 +105,7 @@ def clv(customers: DataFrame, orders: DataFrame, payments: DataFrame, digits: in
 
 
 def avg_clv_per_zip(clv_df: DataFrame, geolocation: DataFrame, dedupe: bool = False,
-                    digits: int | None = 2) -> DataFrame:
+                    digits: int | None = None) -> DataFrame:
     """Per area, mean CLV (PF x AOV x ACL), customers and one location.
     -> (zip_prefix, avg_CLV, customer_count, latitude, longitude)
 

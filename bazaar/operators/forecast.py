@@ -8,7 +8,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bazaar.functions.numeric import r4
 from bazaar.functions.timeutil import days_between_dates
 
 
@@ -30,20 +29,23 @@ def _month_bounds(month: str) -> tuple[dt.date, dt.date]:
     return first, nxt - dt.timedelta(days=1)
 
 
-def forecasted_sales(daily: DataFrame, coefs: DataFrame, start: str, month: str) -> DataFrame:
+def forecasted_sales(daily: DataFrame, start: str, month: str) -> DataFrame:
     """Forecast for each day of ``month`` = sales on the same day a year
     earlier x predicted(day + shift) / predicted(day), then a centred 5-row
     moving average per category (rows, not days: gaps are not filled).
     -> (day_of_month, category, moving_avg_sales)
 
-    All date arithmetic on the parameters is folded on the driver; the
-    coefficient side has one row per category.
+    All date arithmetic on the parameters is folded on the driver. The trend
+    of each category is a window over its daily rows (at most one per day of
+    the range), so the sales are scanned and aggregated once.
     """
     first, last = _month_bounds(month)
     shift = (last - _month_bounds(f"{last.year - 1}-{last.month:02d}")[1]).days
     lo = days_between_dates(start, first.isoformat())
     hi = days_between_dates(start, last.isoformat())
-    f = (daily.join(coefs, "category")
+    whole = Window.partitionBy("category")
+    f = (daily.withColumn("slope", F.regr_slope("sales", "day").over(whole))
+         .withColumn("intercept", F.regr_intercept("sales", "day").over(whole))
          .where((F.col("day") + shift >= lo) & (F.col("day") + shift <= hi))
          .select(F.add_months("date", 12).alias("date"), "category",
                  (F.try_divide(F.col("intercept") + F.col("slope") * (F.col("day") + shift),
@@ -51,7 +53,7 @@ def forecasted_sales(daily: DataFrame, coefs: DataFrame, start: str, month: str)
                  .alias("forecasted_sales")))
     w = Window.partitionBy("category").orderBy("date").rowsBetween(-2, 2)
     return f.select(F.dayofmonth("date").cast("bigint").alias("day_of_month"), "category",
-                    r4(F.avg("forecasted_sales").over(w)).alias("moving_avg_sales"))
+                    F.avg("forecasted_sales").over(w).alias("moving_avg_sales"))
 
 
 def regression_line(coefs: DataFrame, n_days: int) -> DataFrame:
@@ -60,7 +62,7 @@ def regression_line(coefs: DataFrame, n_days: int) -> DataFrame:
     return (coefs.select("category", "slope", "intercept",
                          F.explode(F.sequence(F.lit(0), F.lit(n_days - 1))).alias("day"))
             .select("category", F.col("day").cast("bigint").alias("day"),
-                    r4(F.col("intercept") + F.col("slope") * F.col("day")).alias("predicted")))
+                    (F.col("intercept") + F.col("slope") * F.col("day")).alias("predicted")))
 
 
 def series_split(df: DataFrame, values: Sequence[str], col: str = "category") -> DataFrame:

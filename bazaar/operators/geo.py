@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bazaar.functions.numeric import r4
-
 # The marker popup text of the reference's map.
 POPUP_FORMAT = "<b>Zip Code Prefix:</b> %d<br><b>Average CLV:</b> %d<br><b>Customers:</b> %d"
 HOVER_FORMAT = "Zip code: %s<br>Average CLV: %.2f<br>Customers: %s<br> Latitude: %.4f <br> Longitude: %.4f"
@@ -18,8 +16,8 @@ def geo_markers(per_zip: DataFrame) -> DataFrame:
     top = per_zip.select(F.max("avg_CLV")).scalar()
     return per_zip.select(
         "zip_prefix", "latitude", "longitude",
-        r4(F.lit(0.1) * F.sqrt("customer_count")).alias("radius"),
-        r4(F.lit(0.1) + F.lit(0.1) * F.sqrt(F.try_divide(F.col("avg_CLV"), top))).alias("opacity"),
+        (F.lit(0.1) * F.sqrt("customer_count")).alias("radius"),
+        (F.lit(0.1) + F.lit(0.1) * F.sqrt(F.try_divide(F.col("avg_CLV"), top))).alias("opacity"),
         F.format_string(POPUP_FORMAT, F.col("zip_prefix").cast("bigint"), F.col("avg_CLV").cast("bigint"),
                         F.col("customer_count").cast("bigint")).alias("popup"))
 
@@ -30,7 +28,7 @@ def geo_density(per_zip: DataFrame, weight: str = "customer_count", cell_deg: fl
     c = F.lit(float(cell_deg))
     return (per_zip.groupBy((F.floor(F.col("latitude") / c) * c).alias("cell_lat"),
                             (F.floor(F.col("longitude") / c) * c).alias("cell_lng"))
-            .agg(r4(F.sum(weight)).alias("weight")))
+            .agg(F.sum(weight).cast("double").alias("weight")))
 
 
 def hover_label(per_zip: DataFrame, value: str = "avg_CLV") -> DataFrame:

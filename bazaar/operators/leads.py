@@ -16,4 +16,4 @@ def lead_conversion(leads: DataFrame, deals: DataFrame, key: str = "lead_id", or
     g = j.groupBy(F.col(origin).alias("origin")).agg(F.count(F.lit(1)).alias("qualified_leads"),
                                                      F.count("_closed").alias("closed_leads"))
     rate = F.try_divide(F.col("closed_leads") * F.lit(100.0), F.col("qualified_leads"))
-    return g.select("origin", "qualified_leads", "closed_leads", F.round(rate, 4).alias("conversion_rate"))
+    return g.select("origin", "qualified_leads", "closed_leads", rate.alias("conversion_rate"))

@@ -28,7 +28,8 @@ HOURS = [str(h) for h in range(24)]
 
 
 def orders_by_weekday_hour(orders: DataFrame, ts: str = TS) -> DataFrame:
-    """7 x 24 order-count matrix; one row per weekday seen, columns "0".."23".
+    """7 x 24 order-count matrix; one row per weekday seen, from Sunday
+    on, columns "0".."23".
 
     Pivot with an explicit value list: the counts are pre-aggregated on
     (weekday, hour) map-side, so only <= 168 rows per partition are shuffled.
@@ -37,7 +38,8 @@ def orders_by_weekday_hour(orders: DataFrame, ts: str = TS) -> DataFrame:
     wide = (dh.groupBy("day_of_week_int", "day_of_week_name")
             .pivot("hour", HOURS).agg(F.count(F.lit(1))))
     return (wide.na.fill(0, subset=HOURS)
-            .select("day_of_week_name", "day_of_week_int", *[F.col(h).cast("bigint").alias(h) for h in HOURS]))
+            .select("day_of_week_name", "day_of_week_int", *[F.col(h).cast("bigint").alias(h) for h in HOURS])
+            .orderBy("day_of_week_int"))
 
 
 def orders_per_city(orders: DataFrame, customers: DataFrame | None = None, k: int = 10,

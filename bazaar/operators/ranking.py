@@ -36,16 +36,20 @@ def _cols(xs) -> list[Column]:
     return [F.col(x) if isinstance(x, str) else x for x in xs]
 
 
-def sorted_checkpoint(df: DataFrame, sort_keys: Sequence[Column], num_partitions: int | None = None) -> DataFrame:
+def sorted_checkpoint(df: DataFrame, sort_keys: Sequence[Column], num_partitions: int | None = None,
+                      materialised: bool = False) -> DataFrame:
     """Range-partition + sort ``df`` on ``sort_keys`` and checkpoint it reliably.
 
     The range partitioner samples its input in a separate pass before the
     shuffle; the input is persisted for that span so it is computed once. A
     lost cached block is recomputed with the same rows, and the bounds are
-    already fixed by then, so the checkpoint sees the same partitions.
+    already fixed by then, so the checkpoint sees the same partitions. An input
+    that is ``materialised`` (a projection of a checkpoint) is read twice instead.
     """
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if materialised:
+        return reliable_checkpoint(df.repartitionByRange(n, *sort_keys).sortWithinPartitions(*sort_keys))
     src = df.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return reliable_checkpoint(src.repartitionByRange(n, *sort_keys).sortWithinPartitions(*sort_keys))
@@ -55,7 +59,7 @@ def sorted_checkpoint(df: DataFrame, sort_keys: Sequence[Column], num_partitions
 
 def global_row_number(df: DataFrame, order_by: Sequence[Column | str], partition_by: Sequence[str] = (),
                       out: str = "rn", tiebreak: Sequence[Column | str] = (), with_group_size: str | None = None,
-                      num_partitions: int | None = None) -> DataFrame:
+                      num_partitions: int | None = None, materialised: bool = False) -> DataFrame:
     """``ROW_NUMBER() OVER (PARTITION BY partition_by ORDER BY order_by, tiebreak)``.
 
     ``order_by`` are sort expressions (``F.desc('x')`` ...). ``tiebreak``
@@ -66,7 +70,7 @@ def global_row_number(df: DataFrame, order_by: Sequence[Column | str], partition
     """
     part = list(partition_by)
     keys = [F.asc_nulls_first(p) for p in part] + _cols(order_by) + [F.asc_nulls_first(c) for c in _cols(tiebreak)]
-    cp = sorted_checkpoint(df, keys, num_partitions)
+    cp = sorted_checkpoint(df, keys, num_partitions, materialised)
     lab = cp.withColumn(_PID, F.spark_partition_id()).withColumn(_MID, F.monotonically_increasing_id())
 
     if not part:
@@ -125,7 +129,7 @@ def global_ntile(df: DataFrame, tiles: int, order_by: Sequence[Column | str], ou
             .drop("_rk_rn", "_rk_size"))
 
 
-def value_positions(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
+def value_positions(df: DataFrame, value: str, by: Sequence[str], count: str | None = None) -> DataFrame:
     """Distinct values per group with their count and their 1-based position
     range in the group's sorted order: (by..., value, _w, _cs, _ce, _n).
 
@@ -134,10 +138,13 @@ def value_positions(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     the histogram is range-partitioned, checkpointed and given running
     counts: per partition by a window over that partition's slice of a group,
     across partitions by prefix sums over per-(partition, group) totals.
-    NULL values are ignored. ``by`` must not be empty.
+    NULL values are ignored. ``by`` must not be empty. ``count`` names a column
+    with the number of rows that a row of ``df`` stands for. The result is
+    checkpointed, so several quantiles read one small table.
     """
     by = list(by)
-    h = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_w"))
+    rows = F.count(F.lit(1)) if count is None else F.sum(count)
+    h = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(rows.alias("_w"))
     cp = sorted_checkpoint(h, [F.asc_nulls_first(b) for b in by] + [F.asc(value)])
     lab = cp.withColumn(_PID, F.spark_partition_id())
     gk = [f"_rk_g{i}" for i in range(len(by))]
@@ -153,40 +160,59 @@ def value_positions(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     for b, g in zip(by, gk):
         cond = cond & F.col(b).eqNullSafe(F.col(g))
     ce = F.coalesce(F.col(_OFF), F.lit(0)) + F.col("_ce_local")
-    # lineage is short (checkpointed histogram, one window, one join with a small
-    # table); repeated uses inside one query share these exchanges
-    return lab.join(stats, cond).select(
-        *by, value, "_w", (ce - F.col("_w") + 1).alias("_cs"), ce.alias("_ce"), F.col(_N).alias("_n"))
+    return reliable_checkpoint(lab.join(stats, cond).select(
+        *by, value, "_w", (ce - F.col("_w") + 1).alias("_cs"), ce.alias("_ce"), F.col(_N).alias("_n")))
+
+
+#: Groups up to which a table with one row per group is sent to every task.
+MAX_BROADCAST_GROUPS = 100_000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, by: Sequence[str], n_groups: int, how: str = "inner",
+                null_safe: bool = True, spread: int = 64) -> DataFrame:
+    """``rows`` joined with a table of one row per group, without dealing the
+    rows out by a few group keys: up to ``MAX_BROADCAST_GROUPS`` groups
+    (``n_groups`` is their counted number) the table is broadcast; beyond, rows
+    get a salt and every group's row is repeated ``spread`` times, so that a hot
+    group is that many join keys. With ``null_safe`` a NULL group is a group."""
+    tmp = {k: f"_ns_{i}" for i, k in enumerate(by)}
+    g = groups.select(*[F.col(c).alias(tmp[c]) if c in tmp else F.col(c) for c in groups.columns])
+    cond, extra = F.lit(True), list(tmp.values())
+    if n_groups <= MAX_BROADCAST_GROUPS:
+        g = F.broadcast(g)
+    else:
+        rows = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(spread)))
+        g = g.withColumn("_gsalt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).cast("bigint"))
+        cond, extra = rows["_salt"] == g["_gsalt"], [*extra, "_salt", "_gsalt"]
+    for k in by:
+        cond = cond & (rows[k].eqNullSafe(g[tmp[k]]) if null_safe else rows[k] == g[tmp[k]])
+    return rows.join(g, cond, how).drop(*extra)
 
 
-def _join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Inner join on ``keys`` where NULL matches NULL (a NULL group is a group)."""
-    tmp = {k: f"_ns_{i}" for i, k in enumerate(keys)}
-    r = right.select(*[F.col(c).alias(tmp[c]) if c in tmp else F.col(c) for c in right.columns])
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & left[k].eqNullSafe(r[tmp[k]])
-    return left.join(r, cond).drop(*tmp.values())
+def count_groups(df: DataFrame, by: Sequence[str]) -> int:
+    return df.select(*by).distinct().count()
 
 
 def positions_quantiles(pos: DataFrame, value: str, by: Sequence[str], probs: Sequence[float],
                         names: Sequence[str], bounds: DataFrame | None = None,
-                        with_min_max_count: bool = False) -> DataFrame:
+                        with_min_max_count: bool = False, n_groups: int | None = None) -> DataFrame:
     """Exact linear-interpolated quantiles from ``value_positions``, over all
     values of each group or, with ``bounds`` (by..., _lo, _hi), over the values
     inside [_lo, _hi] only -- a contiguous run of the sorted order, so no new
-    sort is needed. Groups with no value inside drop out."""
+    sort is needed. Groups with no value inside drop out. ``n_groups`` (counted
+    if not given) is the number of groups."""
     by = list(by)
+    n_groups = count_groups(pos, by) if n_groups is None else n_groups
     v = F.col(value)
     if bounds is None:
         level = pos.groupBy(*by).agg(F.lit(0).cast("bigint").alias("_below"), F.max("_n").alias("_m"))
     else:
-        j = _join_null_safe(pos, bounds, by)
+        j = join_groups(pos, bounds, by, n_groups)
         inside = (v >= F.col("_lo")) & (v <= F.col("_hi"))
         level = j.groupBy(*by).agg(F.coalesce(F.sum(F.when(v < F.col("_lo"), F.col("_w"))), F.lit(0)).alias("_below"),
                                    F.coalesce(F.sum(F.when(inside, F.col("_w"))), F.lit(0)).alias("_m"))
     level = level.where(F.col("_m") > 0)
-    p = _join_null_safe(pos, level, by)
+    p = join_groups(pos, level, by, n_groups)
     m, below = F.col("_m"), F.col("_below")
 
     def at(position):
@@ -237,7 +263,7 @@ def group_quantiles(df: DataFrame, value: str, by: Sequence[str], probs: Sequenc
 
 
 def row_quantiles(df: DataFrame, value: str, by: Sequence[str], probs: Sequence[float], names: Sequence[str],
-                  tiebreak: Sequence[str]) -> DataFrame:
+                  tiebreak: Sequence[str], materialised: bool = False) -> DataFrame:
     """``group_quantiles`` for values that rarely repeat (e.g. residuals of a
     fit) and carry a unique key: rows are numbered directly by (value,
     tiebreak), which splits any run of equal values, and only the rows at the
@@ -245,7 +271,7 @@ def row_quantiles(df: DataFrame, value: str, by: Sequence[str], probs: Sequence[
     by = list(by)
     x = df.where(F.col(value).isNotNull()).select(*by, value, *tiebreak)
     numbered = global_row_number(x, [F.asc(value)], by, out="_q_rn", tiebreak=list(tiebreak),
-                                 with_group_size="_q_n")
+                                 with_group_size="_q_n", materialised=materialised)
     rn, n, v = F.col("_q_rn"), F.col("_q_n"), F.col(value)
     spots = [(F.floor((n - 1) * F.lit(float(q))) + 1, F.ceil((n - 1) * F.lit(float(q))) + 1) for q in probs]
     wanted = F.lit(False)

@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bazaar.functions.numeric import r4
 from bazaar.functions.timeutil import day_number, in_half_open, month_label
 from bazaar.operators.ranking import global_row_number
 
@@ -87,17 +86,20 @@ def ordered_categories(products: DataFrame, items: DataFrame, translation: DataF
                     F.col("category_count").cast("bigint").alias("category_count"))
 
 
-def categories_by_median(weights: DataFrame, weight: str = "weight", category: str = "category") -> DataFrame:
+def categories_by_median(weights: DataFrame, weight: str = "weight", category: str = "category",
+                         count: str | None = None) -> DataFrame:
     """Categories ordered by the median weight of their items, where NULL
     weights take part in the positions (sorted first) like the row-number form.
 
     Exact and cheap: items are reduced to a (category, weight) -> count
     histogram first; running counts over the distinct weights locate the one
     or two middle positions. The window runs per category over its distinct
-    weights, which the product dimension bounds (not the item count).
+    weights, which the product dimension bounds (not the item count). ``count``
+    names a column with the number of items that a row stands for.
     -> (category, median_weight)
     """
-    h = weights.groupBy(F.col(category).alias("category"), F.col(weight).alias("w")).agg(F.count(F.lit(1)).alias("c"))
+    h = weights.groupBy(F.col(category).alias("category"), F.col(weight).alias("w")).agg(
+        (F.count(F.lit(1)) if count is None else F.sum(count)).alias("c"))
     wc = Window.partitionBy("category").orderBy(F.asc_nulls_first("w")).rowsBetween(Window.unboundedPreceding, 0)
     h = (h.withColumn("hi", F.sum("c").over(wc)).withColumn("lo", F.col("hi") - F.col("c") + 1)
          .withColumn("n", F.sum("c").over(Window.partitionBy("category"))))
@@ -107,7 +109,7 @@ def categories_by_median(weights: DataFrame, weight: str = "weight", category: s
          .agg(F.max(F.when((F.col("lo") <= m1) & (m1 <= F.col("hi")), F.col("w"))).alias("v1"),
               F.max(F.when((F.col("lo") <= m2) & (m2 <= F.col("hi")), F.col("w"))).alias("v2")))
     med = (F.coalesce("v1", "v2") + F.coalesce("v2", "v1")) / 2
-    return g.select("category", r4(med).alias("median_weight")).orderBy(F.asc_nulls_first("median_weight"), "category")
+    return g.select("category", med.alias("median_weight")).orderBy(F.asc_nulls_first("median_weight"), "category")
 
 
 def _category_sales_rows(orders: DataFrame, items: DataFrame, products: DataFrame, translation: DataFrame,

@@ -11,22 +11,24 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bazaar.functions.numeric import r4
-from bazaar.functions.timeutil import US_PER_DAY, micros_between
+from bazaar.functions.timeutil import days_between
+from bazaar.session import reliable_checkpoint
 
 TS = "order_purchase_timestamp"
 
 
 def seller_review_scores_and_sales(items: DataFrame, reviews: DataFrame, min_orders: int = 0) -> DataFrame:
     """Per seller, total sales, mean review score of its orders and number
-    of orders. Items are first reduced to (seller, order) and reviews to one
-    mean per order, so the join is order-to-order (no items x reviews fan-out).
+    of orders. Reviews are first reduced to one mean per order, so there is no
+    items x reviews fan-out.
     -> (seller_id, total_sales, avg_review_score, num_orders)"""
-    so = items.groupBy("seller_id", "order_id").agg(F.sum("price").alias("sales"))
     rv = reviews.groupBy("order_id").agg(F.avg("review_score").alias("order_score"))
-    g = (so.join(rv, "order_id", "left").groupBy("seller_id")
+    # joined first: rows dealt out by order also satisfy the grouping by (seller, order)
+    so = (items.join(rv, "order_id", "left").groupBy("seller_id", "order_id")
+          .agg(F.sum("price").alias("sales"), F.max("order_score").alias("order_score")))
+    g = (so.groupBy("seller_id")
          .agg(F.sum("sales").cast("double").alias("total_sales"),
-              r4(F.avg("order_score")).alias("avg_review_score"),
+              F.avg("order_score").alias("avg_review_score"),
               F.count(F.lit(1)).alias("num_orders")))
     return g.where(F.col("num_orders") >= min_orders) if min_orders else g
 
@@ -62,10 +64,17 @@ def sellers_per_bucket(items: DataFrame, edges: Sequence[int] = (1, 10, 100, 100
             .select("bucket", "bucket_lo", F.coalesce("seller_count", F.lit(0)).cast("bigint").alias("seller_count")))
 
 
-def seller_shipping_times(shipments: DataFrame, items: DataFrame, edges: Sequence[int] = (1, 10, 100, 1000),
+def seller_shipping_times(shipments: DataFrame, edges: Sequence[int] = (1, 10, 100, 1000),
                           delivered: str = "order_delivered_customer_date") -> DataFrame:
     """One row per (seller, order) shipment with the seller's bucket and the
-    days from purchase to delivery. -> (seller_id, order_id, bucket, delivery_time)"""
-    sb = seller_order_counts(items, edges).select("seller_id", "bucket")
-    days = micros_between(F.col(TS), F.col(delivered)) / F.lit(float(US_PER_DAY))
-    return shipments.join(sb, "seller_id").select("seller_id", "order_id", "bucket", days.alias("delivery_time"))
+    days from purchase to delivery. -> (seller_id, order_id, bucket, delivery_time)
+
+    ``shipments`` has one row per (seller, order) of the items; ``has_order``
+    is false where the order is unknown: such rows count for the bucket only.
+    They are checkpointed, so counts and rows come from one pass over the items."""
+    shipments = reliable_checkpoint(shipments.select("seller_id", "order_id", "has_order", TS, delivered))
+    n = shipments.groupBy("seller_id").agg(F.count(F.lit(1)).alias("n_orders"))
+    sb = n.select("seller_id", _bucket_of(F.col("n_orders"), edges).alias("bucket"))
+    days = days_between(TS, delivered)
+    return (shipments.where("has_order").join(sb, "seller_id")
+            .select("seller_id", "order_id", "bucket", days.alias("delivery_time")))

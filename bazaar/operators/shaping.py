@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bazaar.functions.numeric import r4
 from bazaar.operators.ranking import group_quantiles
 
 
@@ -40,22 +39,21 @@ def histogram(df: DataFrame, col: str, lo: float, hi: float, n_bins: int) -> Dat
     g = df.where(x.isNotNull()).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
     edge_lo = F.when(F.col("bin") == 0, F.lit(None)).otherwise(F.lit(lo_) + (F.col("bin") - 1) * F.lit(width))
     edge_hi = F.when(F.col("bin") == n + 1, F.lit(None)).otherwise(F.lit(lo_) + F.col("bin") * F.lit(width))
-    return g.select("bin", r4(edge_lo).alias("bin_lo"), r4(edge_hi).alias("bin_hi"), "count")
+    return g.select("bin", edge_lo.cast("double").alias("bin_lo"), edge_hi.cast("double").alias("bin_hi"), "count")
 
 
 def box_summary(df: DataFrame, col: str, by: Sequence[str]) -> DataFrame:
     """The five numbers of a box plot per group (exact, linear quantiles)
     and the group size. -> (by..., min, q1, median, q3, max, n)"""
     q = group_quantiles(df, col, by, [0.25, 0.5, 0.75], names=["q1", "median", "q3"], with_min_max_count=True)
-    return q.select(*by, r4(F.col("min")).alias("min"), r4(F.col("q1")).alias("q1"),
-                    r4(F.col("median")).alias("median"), r4(F.col("q3")).alias("q3"),
-                    r4(F.col("max")).alias("max"), F.col("n").cast("bigint").alias("n"))
+    d = lambda c: F.col(c).cast("double").alias(c)
+    return q.select(*by, d("min"), d("q1"), d("median"), d("q3"), d("max"), F.col("n").cast("bigint").alias("n"))
 
 
 def category_share(summary: DataFrame, value: str = "sales", key: str = "category") -> DataFrame:
     """Each row's share of the total (treemap area). -> (category, sales, share)"""
     total = summary.select(F.sum(value)).scalar()
-    return summary.select(key, value, r4(F.try_divide(F.col(value), total)).alias("share"))
+    return summary.select(key, value, F.try_divide(F.col(value), total).alias("share"))
 
 
 def parse_dates(df: DataFrame, col: str, fmt: str = "yyyy-MM", out: str = "period_start") -> DataFrame:

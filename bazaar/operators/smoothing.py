@@ -238,7 +238,7 @@ def lowess(df: DataFrame, x: str, y: str, frac: float = 2.0 / 3.0, iters: int =
             break
         res = F.zip_with("y", "f", lambda u, v: F.abs(u - v))
         rows = fitted.select(*by, "b", F.posexplode(res).alias("_at", "_r"))
-        med = row_quantiles(rows, "_r", by, [0.5], ["_m"], tiebreak=["b", "_at"])
+        med = row_quantiles(rows, "_r", by, [0.5], ["_m"], tiebreak=["b", "_at"], materialised=True)
         m, g = fitted.withColumn("_res", res).alias("m"), med.alias("g")
         scaled = lambda r: F.when(F.col("g._m") == 0, F.when(r > 0, 1.0).otherwise(0.0)).otherwise(
             F.least(r / (6.0 * F.col("g._m")), F.lit(1.0)))

@@ -28,14 +28,23 @@ from bazaar.operators import sellers as SL
 from bazaar.operators import shaping as SH
 from bazaar.operators import smoothing as SM
 from bazaar.plans.params import TEST, Params
+from bazaar.session import reliable_checkpoint
 from bazaar.sources.roles import Roles
 
 ANALYSES: dict[str, Callable] = {}
 
 
-def register(name: str):
+def register(name: str, rounded: tuple[str, ...] = (), digits: int = 4):
+    """Register an analysis. Operators return unrounded values; ``rounded``
+    columns are rounded in the registered query's last select only, so other
+    analyses build on the exact ones."""
     def deco(fn):
-        ANALYSES[name] = fn
+        def last(t, P):
+            df = fn(t, P)
+            return df.select(*[F.round(F.col(c).cast("double"), digits).alias(c) if c in rounded else F.col(c)
+                               for c in df.columns])
+        last.__name__, last.__doc__ = fn.__name__, fn.__doc__
+        ANALYSES[name] = last if rounded else fn
         return fn
     return deco
 
@@ -133,7 +142,7 @@ def _top_weights(t, P):
     return S.sold_item_weights(t.products, t.order_items, t.translation, _top(t, P))
 
 
-@register("categories_by_median")
+@register("categories_by_median", ("median_weight",))
 def q_categories_by_median(t, P):
     return S.categories_by_median(_top_weights(t, P))
 
@@ -155,50 +164,47 @@ def q_daily_sales(t, P):
 
 
 # ---------------------------------------------------------------- forecast
-@register("lm_per_category")
+@register("lm_per_category", ("slope", "intercept"))
 def q_lm_per_category(t, P):
-    return FC.lm_per_category(_daily(t, P), digits=4)
+    return FC.lm_per_category(_daily(t, P))
 
 
 def _forecast(t, P):
-    daily = _daily(t, P)
-    return FC.forecasted_sales(daily, FC.lm_per_category(daily), P.sales_start, P.forecast_month)
+    return FC.forecasted_sales(_daily(t, P), P.sales_start, P.forecast_month)
 
 
-@register("forecasted_sales")
+@register("forecasted_sales", ("moving_avg_sales",))
 def q_forecasted_sales(t, P):
     return _forecast(t, P)
 
 
-@register("regression_line")
+@register("regression_line", ("predicted",))
 def q_regression_line(t, P):
     days = P.regression_days or days_between_dates(P.sales_start, P.sales_end)
     return FC.regression_line(FC.lm_per_category(_daily(t, P)), days)
 
 
-@register("series_split")
+@register("series_split", ("moving_avg_sales",))
 def q_series_split(t, P):
     return FC.series_split(_forecast(t, P), list(P.selected[:2]))
 
 
 # ---------------------------------------------------------------- logistics, reviews
-@register("order_stage_times")
+@register("order_stage_times", tuple(n for n, _, _ in L.STAGES))
 def q_order_stage_times(t, P):
-    st = t.stages
-    cities = O.top_cities(O.orders_per_city(st, k=P.top_k_cities, key=t.stage_key))
-    return L.order_stage_times(st, cities=cities)
+    return L.order_stage_times(t.stages, top_k=P.top_k_cities, key=t.stage_key)
 
 
 def _daily_ship(t, P):
-    return L.daily_avg_shipping_time(t.shipments, P.ship_start, P.ship_end)
+    return L.daily_avg_shipping_time(t.deliveries, P.ship_start, P.ship_end)
 
 
-@register("daily_avg_shipping_time")
+@register("daily_avg_shipping_time", ("avg_delivery_time",))
 def q_daily_avg_shipping_time(t, P):
     return _daily_ship(t, P)
 
 
-@register("overall_mean_line")
+@register("overall_mean_line", ("avg_delivery_time", "overall_mean"))
 def q_overall_mean_line(t, P):
     return L.overall_mean_line(_daily_ship(t, P))
 
@@ -209,7 +215,7 @@ def q_review_score_count(t, P):
 
 
 # ---------------------------------------------------------------- customers, geo
-@register("rfm_buckets")
+@register("rfm_buckets", ("avg_days_since_purchase", "avg_sales_per_customer"))
 def q_rfm_buckets(t, P):
     o = t.delivered_orders()
     as_of = P.rfm_as_of
@@ -227,22 +233,22 @@ def _per_zip(t, P):
     return C.avg_clv_per_zip(C.clv(t.customers, t.orders, t.order_payments), t.geolocation)
 
 
-@register("avg_clv_per_zip")
+@register("avg_clv_per_zip", ("avg_CLV",), 2)
 def q_avg_clv_per_zip(t, P):
     return _per_zip(t, P)
 
 
-@register("geo_markers")
+@register("geo_markers", ("radius", "opacity"))
 def q_geo_markers(t, P):
     return G.geo_markers(_per_zip(t, P))
 
 
-@register("geo_density")
+@register("geo_density", ("weight",))
 def q_geo_density(t, P):
     return G.geo_density(_per_zip(t, P), "customer_count", P.grid_deg)
 
 
-@register("geo_density_clv")
+@register("geo_density_clv", ("weight",), 2)
 def q_geo_density_clv(t, P):
     return G.geo_density(_per_zip(t, P), "avg_CLV", P.grid_deg)
 
@@ -253,7 +259,7 @@ def q_hover_label(t, P):
 
 
 # ---------------------------------------------------------------- sellers, leads
-@register("seller_review_scores_and_sales")
+@register("seller_review_scores_and_sales", ("avg_review_score",))
 def q_seller_scores(t, P):
     return SL.seller_review_scores_and_sales(t.order_items, t.order_reviews)
 
@@ -264,7 +270,7 @@ def q_sellers_per_bucket(t, P):
 
 
 def _ship_times(t, P):
-    return SL.seller_shipping_times(t.shipments, t.order_items, P.seller_edges)
+    return SL.seller_shipping_times(t.shipments, P.seller_edges)
 
 
 @register("seller_shipping_times")
@@ -272,7 +278,7 @@ def q_seller_shipping_times(t, P):
     return _ship_times(t, P)
 
 
-@register("lead_conversion")
+@register("lead_conversion", ("conversion_rate",))
 def q_lead_conversion(t, P):
     return LD.lead_conversion(t.leads, t.deals)
 
@@ -283,12 +289,12 @@ def q_matrix_vs_mean(t, P):
     return SH.matrix_vs_mean(O.orders_by_weekday_hour(t.order_times))
 
 
-@register("histogram")
+@register("histogram", ("bin_lo", "bin_hi"))
 def q_histogram(t, P):
     return SH.histogram(_costs(t), "product_cost", *P.product_cost_bins)
 
 
-@register("histogram_shipping_cost")
+@register("histogram_shipping_cost", ("bin_lo", "bin_hi"))
 def q_histogram_shipping(t, P):
     return SH.histogram(_costs(t), "shipping_cost", *P.shipping_cost_bins)
 
@@ -303,7 +309,7 @@ def q_truncate_int(t, P):
     return CL.truncate_int(_summary(t, P), "sales")
 
 
-@register("category_share")
+@register("category_share", ("share",))
 def q_category_share(t, P):
     return SH.category_share(_summary(t, P))
 
@@ -318,23 +324,27 @@ def q_remove_outliers_iqr(t, P):
     return CL.remove_outliers_iqr(_ship_times(t, P), "delivery_time", ["bucket"], 1.5, passes=2)
 
 
-@register("box_summary")
+_BOX = ("min", "q1", "median", "q3", "max")
+
+
+@register("box_summary", _BOX)
 def q_box_summary(t, P):
     """Delivery-time boxes per seller bucket after the two-pass IQR filter."""
     return CL.iqr_box_summary(_ship_times(t, P), "delivery_time", ["bucket"], 1.5, passes=2)
 
 
-@register("explicit_order")
+@register("explicit_order", _BOX)
 def q_explicit_order(t, P):
-    """Weight boxes per top category (sigma-filtered) in median order. The boxes
-    need the sold items' weights only, not O10's row numbers: same rows, no sort."""
-    w = _top_weights(t, P).select("weight", "category")
-    boxes = SH.box_summary(CL.remove_outliers_sigma(w, "weight", ["category"], 3.0), "weight", ["category"])
-    return SH.explicit_order(boxes, "category", q_categories_by_median(t, P), "category",
+    """Weight boxes per top category (sigma-filtered) in median order. One
+    (category, weight, count) histogram of the sold items feeds the bounds, the
+    boxes and the medians; it is small and checkpointed."""
+    w = reliable_checkpoint(_top_weights(t, P).groupBy("category", "weight").agg(F.count(F.lit(1)).alias("items")))
+    boxes = CL.sigma_box_summary(w, "weight", "items", ["category"], 3.0)
+    return SH.explicit_order(boxes, "category", S.categories_by_median(w, count="items"), "category",
                              order_by=[F.asc_nulls_first("median_weight")])
 
 
-@register("unpivot_series")
+@register("unpivot_series", ("days",))
 def q_unpivot_series(t, P):
     return SH.unpivot_series(q_order_stage_times(t, P), ["city"], [n for n, _, _ in L.STAGES], "stage", "days")
 
@@ -344,21 +354,21 @@ def q_parse_dates(t, P):
     return SH.parse_dates(q_monthly_sales(t, P), "year_month", "yyyy-MM")
 
 
-@register("lowess")
+@register("lowess", ("avg_delivery_time", "trend"))
 def q_lowess(t, P):
     """Delivery-time trend over the daily means; x = day number."""
     epoch = F.lit("1970-01-01").cast("date")
     daily = _daily_ship(t, P).withColumn("x", F.datediff("purchase_date", epoch))
     fit = SM.lowess(daily, "x", "avg_delivery_time", frac=P.delivery_trend_frac)
     return fit.select(F.date_add(epoch, F.col("x").cast("int")).alias("purchase_date"),
-                      "avg_delivery_time", F.round("fit", 6).alias("trend"))
+                      "avg_delivery_time", F.col("fit").alias("trend"))
 
 
-@register("lowess_seller_scores")
+@register("lowess_seller_scores", ("avg_review_score", "trend"))
 def q_lowess_sellers(t, P):
     """Review score vs total sales trend per seller."""
     fit = SM.lowess(q_seller_scores(t, P), "total_sales", "avg_review_score", frac=P.seller_trend_frac)
-    return fit.select("total_sales", "avg_review_score", F.round("fit", 6).alias("trend"))
+    return fit.select("total_sales", "avg_review_score", F.col("fit").alias("trend"))
 
 
 # ---------------------------------------------------------------- driver binding

@@ -102,10 +102,16 @@ class CommerceTables:
 
     @cached_property
     def shipments(self) -> DataFrame:
-        """One row per (order, seller): purchase and delivery time (O17, O24 input)."""
+        """One row per (order, seller): purchase and delivery time (O24 input)."""
         pairs = self.order_items.select("order_id", "seller_id").distinct()
-        return pairs.join(self.orders.select("order_id", "order_purchase_timestamp",
-                                             "order_delivered_customer_date"), "order_id")
+        times = self.orders.select("order_id", "order_purchase_timestamp", "order_delivered_customer_date",
+                                   F.lit(True).alias("known"))
+        return pairs.join(times, "order_id", "left").withColumn("has_order", F.col("known").isNotNull()).drop("known")
+
+    @cached_property
+    def deliveries(self) -> DataFrame:
+        """One row per order: purchase and delivery time (O17 input)."""
+        return self.orders.select("order_id", "order_purchase_timestamp", "order_delivered_customer_date")
 
     @cached_property
     def leads(self) -> DataFrame:

@@ -122,10 +122,21 @@ class Roles:
     @cached_property
     def shipments(self) -> DataFrame:
         li, o = self.table("lineitem"), self.table("orders")
-        return (li.join(o, li.l_orderkey == o.o_orderkey)
-                .groupBy(li.l_orderkey.alias("order_id"), li.l_suppkey.alias("seller_id"))
-                .agg(F.min(o.o_orderdate).alias("order_purchase_timestamp"),
-                     F.max(li.l_shipdate).alias("order_delivered_customer_date")))
+        # o_orderdate is one value per order: as a group key, its filters reach the scan
+        return (li.join(o, li.l_orderkey == o.o_orderkey, "left")
+                .groupBy(li.l_orderkey.alias("order_id"), li.l_suppkey.alias("seller_id"),
+                         o.o_orderdate.alias("order_purchase_timestamp"),
+                         o.o_orderkey.isNotNull().alias("has_order"))
+                .agg(F.max(li.l_shipdate).alias("order_delivered_customer_date")))
+
+    @cached_property
+    def deliveries(self) -> DataFrame:
+        """One row per order: purchase and delivery time (NULL without lines)."""
+        li, o = self.table("lineitem"), self.table("orders")
+        shipped = li.groupBy(li.l_orderkey).agg(F.max(li.l_shipdate).alias("shipped"))
+        return (o.join(shipped, o.o_orderkey == shipped.l_orderkey, "left")
+                .select(o.o_orderkey.alias("order_id"), o.o_orderdate.alias("order_purchase_timestamp"),
+                        shipped.shipped.alias("order_delivered_customer_date")))
 
     @cached_property
     def leads(self) -> DataFrame:
