@@ -3,8 +3,9 @@
 ``CommerceTables`` offers the same roles as ``Roles`` (which maps the test
 tables), so every analysis of ``bazaar.plans.catalog`` runs unchanged on an
 export of the original database: ``analyses(CommerceTables(spark, dir), REFERENCE)``.
-Timestamps stored as text are parsed (NULL when they do not parse), money is
-DECIMAL(18,2), weights and coordinates DOUBLE.
+Every table is checked for its required columns and their types. Timestamps
+stored as text are parsed (NULL when they do not parse; ``unparsed_times`` counts
+those), money is DECIMAL(18,2), weights and coordinates DOUBLE.
 """
 
 from __future__ import annotations
@@ -14,17 +15,53 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bazaar.functions.numeric import MONEY
 
+# Required columns of each table with their declared types ("time": TIMESTAMP_NTZ,
+# TIMESTAMP, DATE or text that is parsed; "key": any type; "number": numeric or text of numbers).
+SCHEMAS = {
+    "orders": {"order_id": "key", "customer_id": "key", "order_status": "string", "order_purchase_timestamp": "time",
+               "order_approved_at": "time", "order_delivered_carrier_date": "time",
+               "order_delivered_customer_date": "time", "order_estimated_delivery_date": "time"},
+    "order_items": {"order_id": "key", "order_item_id": "key", "product_id": "key", "seller_id": "key",
+                    "price": "number", "freight_value": "number"},
+    "customers": {"customer_id": "key", "customer_unique_id": "key", "customer_city": "key",
+                  "customer_zip_code_prefix": "key"},
+    "products": {"product_id": "key", "product_category_name": "string", "product_weight_g": "number"},
+    "product_category_name_translation": {"product_category_name": "string",
+                                          "product_category_name_english": "string"},
+    "order_reviews": {"order_id": "key", "review_score": "number"},
+    "order_payments": {"order_id": "key", "payment_value": "number"},
+    "geolocation": {"geolocation_zip_code_prefix": "key", "geolocation_lat": "number", "geolocation_lng": "number"},
+}
+_ALLOWED = {"string": (T.StringType,), "time": (T.StringType, T.TimestampNTZType, T.TimestampType, T.DateType),
+            "number": (T.NumericType, T.StringType), "key": (T.DataType,)}
+
 TS_COLUMNS = ("order_purchase_timestamp", "order_approved_at", "order_delivered_carrier_date",
               "order_delivered_customer_date", "order_estimated_delivery_date")
 
 
 def _ts(df: DataFrame, c: str):
-    if c not in df.columns:
-        return F.lit(None).cast("timestamp_ntz").alias(c)
-    return F.col(c).try_cast("timestamp_ntz").alias(c)
+    """Declared times as they are, so that range filters reach the scan; only text is parsed."""
+    kind = df.schema[c].dataType
+    if isinstance(kind, T.TimestampNTZType):
+        return F.col(c)
+    if isinstance(kind, T.StringType):
+        return F.col(c).try_cast("timestamp_ntz").alias(c)
+    return F.col(c).cast("timestamp_ntz").alias(c)
+
+
+def check_columns(df: DataFrame, table: str, wanted: dict[str, str]) -> DataFrame:
+    """``df`` if it has every required column with a fitting type, else ValueError."""
+    have = {f.name: f.dataType for f in df.schema}
+    wrong = [f"{c} is missing" for c in wanted if c not in have]
+    wrong += [f"{c} is {have[c].simpleString()}, not a {k}" for c, k in wanted.items()
+              if c in have and not isinstance(have[c], _ALLOWED[k])]
+    if wrong:
+        raise ValueError(f"table {table}: " + "; ".join(wrong))
+    return df
 
 
 class CommerceTables:
@@ -41,7 +78,16 @@ class CommerceTables:
         self.leads_table, self.deals_table, self.lead_key = leads, deals, lead_key
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(os.path.join(self.base_dir, name))
+        wanted = SCHEMAS.get(name) or (
+            {self.lead_key: "key", "origin": "string"} if name == self.leads_table else {self.lead_key: "key"})
+        return check_columns(self.spark.read.parquet(os.path.join(self.base_dir, name)), name, wanted)
+
+    def unparsed_times(self) -> DataFrame:
+        """-> one row: for each text time column of ``orders``, the values that are set but do not parse."""
+        o = self.table("orders")
+        text = [c for c in TS_COLUMNS if isinstance(o.schema[c].dataType, T.StringType)]
+        bad = lambda c: F.col(c).isNotNull() & F.col(c).try_cast("timestamp_ntz").isNull()
+        return o.agg(F.count(F.lit(1)).alias("orders"), *[F.count_if(bad(c)).alias(c) for c in text])
 
     @cached_property
     def orders(self) -> DataFrame:

@@ -1,17 +1,33 @@
-"""The panel job writes every figure dataset."""
+"""The panel job writes every figure dataset, and each one equals its query."""
 
-import os
 import tempfile
 
+import pytest
+
+from bazaar.plans.catalog import QUERIES
 from bazaar.plans.panels import PANELS, write_panels
+from tools.oracle_check import bag
 
 from .conftest import SF_SMALL
 
 
-def test_write_panels(spark):
-    out = tempfile.mkdtemp(prefix="bazaar-panels-")
-    paths = write_panels(spark, SF_SMALL, out)
-    assert len(paths) == sum(len(f) for f in PANELS.values())
-    for name, path in paths.items():
-        assert os.path.exists(os.path.join(path, "_SUCCESS")), name
-        assert spark.read.parquet(path).count() >= 0
+@pytest.fixture(scope="module")
+def paths(spark):
+    return write_panels(spark, SF_SMALL, tempfile.mkdtemp(prefix="bazaar-panels-"))
+
+
+def test_every_figure_is_written(paths):
+    assert set(paths) == {f"{p}/{f}" for p, figs in PANELS.items() for f in figs}
+
+
+@pytest.mark.parametrize("query", sorted({q for figs in PANELS.values() for q in figs.values()}))
+def test_datasets_equal_their_queries(spark, paths, query):
+    want = QUERIES[query](spark, SF_SMALL)
+    expected = bag(want.columns, [tuple(r) for r in want.collect()], 6)
+    assert expected
+    for panel, figs in PANELS.items():
+        for fig, q in figs.items():
+            if q == query:
+                got = spark.read.parquet(paths[f"{panel}/{fig}"])
+                assert got.columns == want.columns
+                assert bag(got.columns, [tuple(r) for r in got.collect()], 6) == expected
