@@ -182,7 +182,7 @@ def join_groups(rows: DataFrame, groups: DataFrame, by: Sequence[str], n_groups:
         g = F.broadcast(g)
     else:
         rows = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(spread)))
-        g = g.withColumn("_gsalt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).cast("bigint"))
+        g = g.withColumn("_gsalt", F.explode(F.expr(f"sequence(0L, {spread - 1}L)")))
         cond, extra = rows["_salt"] == g["_gsalt"], [*extra, "_salt", "_gsalt"]
     for k in by:
         cond = cond & (rows[k].eqNullSafe(g[tmp[k]]) if null_safe else rows[k] == g[tmp[k]])
