@@ -126,7 +126,7 @@ def test_one_point_regression_is_null(spark):
     daily = spark.createDataFrame([(dt.date(2000, 12, 5), 0, "a", 10.0)], "date date, day bigint, category string, sales double")
     coefs = FC.lm_per_category(daily).collect()
     assert coefs[0].slope is None and coefs[0].intercept is None
-    f = FC.forecasted_sales(daily, FC.lm_per_category(daily), "2000-12-05", "2001-12")
+    f = FC.forecasted_sales(daily, "2000-12-05", "2001-12")
     assert [r.moving_avg_sales for r in f.collect()] == [None]
 
 
@@ -134,12 +134,12 @@ def test_moving_average_over_rows_not_days(spark):
     days = [1, 2, 5, 6, 30]  # gaps are not filled
     daily = spark.createDataFrame([(dt.date(2000, 12, d), d - 1, "a", float(d)) for d in days],
                                   "date date, day bigint, category string, sales double")
-    coefs = spark.createDataFrame([("a", 0.0, 1.0)], "category string, slope double, intercept double")
     got = {r.day_of_month: r.moving_avg_sales
-           for r in FC.forecasted_sales(daily, coefs, "2000-12-01", "2001-12").collect()}
+           for r in FC.forecasted_sales(daily, "2000-12-01", "2001-12").collect()}
+    # sales lie on the line day + 1, so the forecast of a day is its value a year on: 365 more
     exp = {1: (1 + 2 + 5) / 3, 2: (1 + 2 + 5 + 6) / 4, 5: 44 / 5, 6: (2 + 5 + 6 + 30) / 4, 30: 41 / 3}
     assert got.keys() == exp.keys()
-    assert all(got[d] == pytest.approx(v, abs=1e-4) for d, v in exp.items())  # output has 4 places
+    assert all(got[d] == pytest.approx(v + 365) for d, v in exp.items())
 
 
 def test_end_day_is_exclusive(spark):
@@ -173,3 +173,45 @@ def test_empty_inputs(spark, two_level):
     assert C.rfm_buckets(e_orders, e_items, customers, "2019-01-01").count() == 0
     assert SH.histogram(e_orders, "order_id", 0, 10, 5).count() == 0
     assert CL.remove_outliers_iqr(e_items, "price", ["seller_id"]).count() == 0
+
+
+# recency tile -> segment of each frequency + monetary sum from 2 to 10
+RFM_GRID = {
+    1: ["Champions"] * 3 + ["Potential Loyalists"] * 2 + ["Recent Users"] * 2 + ["Price Sensitive"] * 2,
+    2: ["Loyal Customers"] * 3 + ["Potential Loyalists"] * 4 + ["Promising"] * 2,
+    3: ["Loyal Customers"] * 3 + ["Needs Attention"] * 2 + ["About to Sleep"] * 4,
+    4: ["Can't Lose Them"] + ["Hibernating"] * 4 + ["Lost"] * 4,
+    5: ["Can't Lose Them"] + ["Hibernating"] * 4 + ["Lost"] * 4,
+}
+
+
+def test_all_45_rfm_cells(spark):
+    from bazaar.operators.customers import rfm_segment
+    cells = [(r, min(5, s - 1), s - min(5, s - 1)) for r in RFM_GRID for s in range(2, 11)]
+    got = spark.createDataFrame(cells, "recency int, frequency int, monetary int").withColumn("seg", rfm_segment()).collect()
+    assert len(got) == 45
+    assert {(r.recency, r.frequency + r.monetary): r.seg for r in got} == {
+        (r, s): RFM_GRID[r][s - 2] for r in RFM_GRID for s in range(2, 11)}
+
+
+def test_weekday_rows_are_in_order(spark):
+    from bazaar.plans.catalog import QUERIES
+
+    from .conftest import SF_SMALL
+    got = [r.day_of_week_int for r in QUERIES["orders_by_weekday_hour"](spark, SF_SMALL).collect()]
+    assert got == sorted(got) and len(got) == 7
+
+
+def test_operators_do_not_round(spark):
+    from bazaar.operators.customers import avg_clv_per_zip, clv
+    from bazaar.operators.logistics import daily_avg_shipping_time
+    from bazaar.operators.sellers import seller_review_scores_and_sales
+    from bazaar.sources.roles import Roles
+
+    from .conftest import SF_SMALL
+    t = Roles(spark, SF_SMALL)
+    rows = [r.avg_CLV for r in avg_clv_per_zip(clv(t.customers, t.orders, t.order_payments), t.geolocation).collect()]
+    rows += [r.avg_delivery_time for r in daily_avg_shipping_time(t.deliveries, "1997-06-01", "1998-07-01").collect()
+             if r.avg_delivery_time is not None]
+    scores = [r.avg_review_score for r in seller_review_scores_and_sales(t.order_items, t.order_reviews).collect()]
+    assert any(x != round(x, 2) for x in rows) and any(x != round(x, 4) for x in scores)
