@@ -171,13 +171,12 @@ def _round(blocks: DataFrame, by: list[str]) -> DataFrame:
     columns = [*by, "b", "size", "k", "x", "y", "L", "w"]
     ddl = ", ".join(f"`{c}` {types[c]}" for c in columns)
     summed = blocks.select(*columns).mapInArrow(_sums, f"{ddl}, sums array<double>")
-    summed = reliable_checkpoint(summed)
     # raw: the own block and those of the window ends; whole: everything between
     ends = F.array_distinct(F.concat(
         F.array("b"), F.transform("L", lambda v: F.floor(v / F.col("size")).cast("bigint")),
         F.transform("L", lambda v: F.floor((v + F.col("k") - 1) / F.col("size")).cast("bigint"))))
     span = F.sequence(F.array_min("ends"), F.array_max("ends"))
-    want = (summed.select(*by, "b", ends.alias("ends")).withColumn("nb", F.explode(span))
+    want = (blocks.select(*by, "b", ends.alias("ends")).withColumn("nb", F.explode(span))
             .withColumn("raw", F.array_contains("ends", F.col("nb"))).drop("ends"))
     other = summed.select(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(by)], F.col("b").alias("nb"),
                           "size", "k", "x", "y", "L", "w", "sums")
