@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bazaar.session import reliable_checkpoint
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -57,6 +59,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     else:
         shared = (lines.groupBy("h1", "h2").agg(F.min("id").alias("low"), F.count_distinct("id").alias("held"))
                   .where(F.col("held") >= min_docs))
+    # checkpointed, so that the join below has plain shuffles on both sides and a
+    # hot line's holders can be split
+    shared = reliable_checkpoint(shared)
     surplus = (lines.join(shared.select("h1", "h2", "low"), ["h1", "h2"]).where("id != low")
                .groupBy("id").agg(F.collect_set("pos").alias("gone")))
     both = src.withColumn("lines", split).join(surplus, "id", "left")
