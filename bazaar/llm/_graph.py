@@ -42,10 +42,13 @@ def _contract(batches):
 def _stars(e: DataFrame) -> DataFrame:
     """One large-star and one small-star step over links (u, v) with u > v."""
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    # minima are checkpointed, so that the joins have plain shuffles on both sides,
+    # which adaptive execution splits where a node has very many links
+    low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
+    low = reliable_checkpoint(low)
     large = (both.join(low, "u").where(F.col("v") > F.col("u"))
              .select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct())
-    low = large.groupBy("u").agg(F.min("v").alias("m"))
+    low = reliable_checkpoint(large.groupBy("u").agg(F.min("v").alias("m")))
     return (large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
             .unionByName(low.select("u", F.col("m").alias("v"))).distinct())
 
