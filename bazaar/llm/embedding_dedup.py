@@ -22,7 +22,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +34,7 @@ def unit_rows(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """Unit vectors of the usable rows, and which rows those are."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    n = pa.compute.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+    n = pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False)
     right = n == dim
     flat = column.filter(pa.array(right)).flatten().cast(pa.float64()).fill_null(math.nan)
     x = flat.to_numpy(zero_copy_only=False).reshape(-1, dim)

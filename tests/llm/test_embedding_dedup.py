@@ -1,6 +1,6 @@
 import numpy as np
 
-from bazaar.llm.embedding_dedup import Grid, near_vectors, unit_rows
+from bazaar.llm.embedding_dedup import Grid, near_vectors
 
 SCHEMA = "vec_id bigint, embedding array<float>, label int, rep string, key int, n_links string"
 
