@@ -9,9 +9,9 @@ words) until one of them is settled, and the next document takes its place, so
 both totals of the source stay exact. Flights run in blocks of about ``block``
 documents of one source, drawn by a hash, so a hot source is many blocks. A
 block ends with at most a few undecided documents, which form the blocks of
-the next round (a thousandth of the rows). Long documents fly first, so the
-ones left are mostly short. The last round lands what is left of a source and
-its few shortest documents on the nearest total of words.
+the next round (a thousandth of the rows). The last round lands what is left of
+a source, at most a few documents, and evens out the words that this leaves
+missing by one exchange.
 """
 
 from __future__ import annotations
@@ -60,15 +60,28 @@ def flight(p: list[float], size: list[float], rng: random.Random) -> list[float]
 
 
 def land(p: list[float], size: list[float]) -> list[float]:
-    """Settle the last few entries: the 0/1 choice nearest to the words, then the
-    number of documents, that they stand for."""
+    """Settle the last few entries: the 0/1 choice nearest to the number of
+    documents, then the words, that they stand for. What is then missing in
+    words (a long document is often the last one open) is made up by the one
+    exchange of a taken document for another that comes nearest."""
     open_ = [i for i, x in enumerate(p) if 0 < x < 1]
     words, count = sum(p[i] * size[i] for i in open_), sum(p[i] for i in open_)
     best = min(itertools.product((0.0, 1.0), repeat=len(open_)),
-               key=lambda t: (abs(sum(x * size[i] for x, i in zip(t, open_)) - words), abs(sum(t) - count)))
+               key=lambda t: (abs(sum(t) - count), abs(sum(x * size[i] for x, i in zip(t, open_)) - words)))
     p = list(p)
     for i, x in zip(open_, best):
         p[i] = x
+    missing = words - sum(x * size[i] for x, i in zip(best, open_))
+    taken, left = (np.array([i for i, x in enumerate(p) if x == v], np.int64) for v in (1.0, 0.0))
+    if len(taken) and len(left) and missing:
+        s = np.array(size, np.float64)
+        taken = taken[np.argsort(s[taken], kind="stable")]
+        near = np.searchsorted(s[taken], s[left] - missing)
+        near = np.clip(np.stack([near - 1, near]), 0, len(taken) - 1)
+        off = np.abs(s[left] - s[taken[near]] - missing)
+        k, j = np.unravel_index(off.argmin(), off.shape)
+        if off[k, j] < abs(missing):
+            p[left[j]], p[taken[near[k, j]]] = 1.0, 0.0
     return p
 
 
@@ -78,8 +91,7 @@ def _fly(level: int):
     def settle(t: pa.Table) -> pa.Table:
         p, size = t.column("p").to_pylist(), t.column("size").to_pylist()
         rank, block, blocks = (t.column(c)[0].as_py() for c in ("rank", "block", "blocks"))
-        back = min(len(p), 8) if blocks == 1 else 0  # the smallest documents: they come last
-        p = flight(p[:len(p) - back], size, random.Random(f"{level}:{rank}:{block}")) + p[len(p) - back:]
+        p = flight(p, size, random.Random(f"{level}:{rank}:{block}"))
         if blocks == 1:
             p = land(p, size)
         return t.set_column(t.schema.get_field_index("p"), "p", pa.array(p, pa.float64()))
