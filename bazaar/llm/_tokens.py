@@ -21,6 +21,17 @@ WORD = "word"          # digits, letters a-z (after lower-casing) and everything
 NONSPACE = "nonspace"  # anything but ASCII white space
 
 
+def small_batches(spark) -> None:
+    """Whole texts go to Python in Arrow batches of about 1,000 rows or 4 MB instead
+    of 10,000 or 64 MB: buffers on both sides stay small beside an executor's memory.
+    A session setting, because plans read it when they run; smaller ones stay."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1000),
+                      ("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)):
+        now = spark.conf.get(key, "0")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of uint64 (a copy; wraps modulo 2^64)."""
     x = x ^ (x >> U64(30))

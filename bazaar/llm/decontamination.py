@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bazaar.llm._tokens import U64, WORD, Words, slices
+from bazaar.llm._tokens import U64, WORD, Words, slices, small_batches
 from bazaar.session import reliable_checkpoint
 
 
@@ -142,6 +142,7 @@ def phrase_hits(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, i
                 size: int = 10, block_words: int = 1_000_000) -> DataFrame:
     """-> (id, item_id, start, width): every occurrence of an item window in a text."""
     spark = docs.sparkSession
+    small_batches(spark)
     src = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     cut = items.select(F.col(item_col).cast("string").alias("id"), F.col(item_text_col).cast("string").alias("text"))
     cut = cut.where("id IS NOT NULL").mapInArrow(_terms, "id string, terms array<bigint>").where("size(terms) > 0")
@@ -184,6 +185,7 @@ def proximity_hits(docs: DataFrame, items: DataFrame, id_col: str, text_col: str
     stand within ``within`` words of each other, in any order, around an
     occurrence of its rarest word (every such place has one)."""
     spark = docs.sparkSession
+    small_batches(spark)
     src = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     cut = items.select(F.col(item_col).cast("string").alias("id"), F.col(item_text_col).cast("string").alias("text"))
     cut = reliable_checkpoint(cut.where("id IS NOT NULL").mapInArrow(_terms, "id string, terms array<bigint>")

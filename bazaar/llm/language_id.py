@@ -11,7 +11,8 @@ weights, at most ``max_types`` 4-grams a language (the most frequent).
 A text goes to the language with the lowest cross-entropy per letter. It is
 rejected when even that is too high for the language: over the entropy of the
 language's own training text by ``min_excess`` bits and by ``z`` standard
-errors, both measured from the training counts.
+errors, both measured from the training counts. ``z`` is large because letters
+come in bursts: one random key of twenty letters must not reject a short text.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from bazaar.llm._tokens import U64, mix64, slices
+from bazaar.llm._tokens import U64, mix64, slices, small_batches
 from bazaar.session import reliable_checkpoint
 
 ORDER = 4
@@ -76,7 +77,7 @@ def text_grams(codes: np.ndarray, data: np.ndarray, offs: np.ndarray):
     return key, at, np.diff(at) > 0
 
 
-def _count(flush: int = 1_500_000):
+def _count(flush: int = 400_000):
     """(lang, gram, n) rows of labelled texts, merged inside the task while they fit."""
     def merged(parts):
         return pa.concat_tables(parts).group_by(["lang", "gram"]).aggregate([("n", "sum")]).rename_columns(
@@ -86,7 +87,7 @@ def _count(flush: int = 1_500_000):
         codes, parts, held = letter_codes(), [], 0
         for b in batches:
             langs = np.array(b.column("lang").to_pylist(), object)
-            for lo, hi, data, offs in slices(b.column("text"), 4 << 20):
+            for lo, hi, data, offs in slices(b.column("text")):
                 key, at, _ = text_grams(codes, data, offs)
                 names, which = np.unique(langs[lo:hi].astype(str), return_inverse=True)
                 row = np.repeat(which, np.diff(at))
@@ -161,16 +162,19 @@ def _score(models: dict[str, Model], z: float, min_excess: float, cap: int):
         known = np.zeros(0, U64)
         bits = np.zeros((len(names), 0))
         for b in batches:
-            for lo, hi, data, offs in slices(b.column("text"), 4 << 20):
+            for lo, hi, data, offs in slices(b.column("text")):
                 key, at, some = text_grams(codes, data, offs)
                 pred, score, entropy = np.full(hi - lo, "und", object), np.zeros(hi - lo), np.full(hi - lo, np.nan)
                 rejected = np.ones(hi - lo, bool)
                 if some.any() and names:
                     enc = pc.dictionary_encode(pa.array(key.view(np.int64)))
                     u = enc.dictionary.to_numpy().view(U64)
-                    if len(known) > 2_000_000:
+                    if len(known) > 1_000_000:
                         known, bits = np.zeros(0, U64), np.zeros((len(names), 0))
-                    new = np.setdiff1d(u, known)
+                    if len(known):
+                        new = u[known[np.minimum(np.searchsorted(known, u), len(known) - 1)] != u]
+                    else:
+                        new = u
                     if len(new):
                         more = np.stack([-np.log2(models[m].probability(new)) for m in names])
                         known, bits = np.concatenate([known, new]), np.concatenate([bits, more], axis=1)
@@ -202,23 +206,28 @@ def held_out(id_col: str) -> Column:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
           max_types: int = 1_000_000) -> dict[str, Model]:
     """One model per language of the documents that are not held out. The 4-grams
-    of all their texts are counted; a model keeps its ``max_types`` most
-    frequent ones, which bounds what reaches the driver and the tasks."""
+    of all their texts are counted; a model keeps its most frequent ones, at most
+    ``max_types`` (equal counts are kept or dropped together), which bounds
+    what reaches the driver and the tasks."""
     some = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     some = some.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     grams = some.mapInArrow(_count(), "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(
         F.sum("n").alias("n"))
-    top = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    grams = reliable_checkpoint(grams.withColumn("r", top).where(F.col("r") <= max_types).drop("r"))
+    grams = reliable_checkpoint(grams)
+    # the least count that keeps at most max_types 4-grams, from the histogram of counts
+    hist = grams.groupBy("lang", "n").agg(F.count(F.lit(1)).alias("types"))
+    hist = hist.withColumn("kept", F.sum("types").over(W.partitionBy("lang").orderBy(F.desc("n"))))
+    least = hist.where(F.col("kept") <= max_types).groupBy("lang").agg(F.min("n").alias("least"))
+    grams = grams.join(F.broadcast(least), "lang").where(F.col("n") >= F.col("least"))  # one row per language
     models = {}
-    for (lang,) in sorted(grams.select("lang").distinct().toLocalIterator()):
+    for (lang,) in sorted(least.select("lang").toLocalIterator()):
         t = grams.where(F.col("lang") == lang).select("gram", "n").toArrow()
         models[lang] = Model(t.column("gram").to_numpy(), t.column("n").to_numpy())
     return models
 
 
 def identify_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-                      max_types: int = 1_000_000, z: float = 6.0, min_excess: float = 1.0,
+                      max_types: int = 1_000_000, z: float = 12.0, min_excess: float = 1.0,
                       cap: int = 32) -> DataFrame:
     """-> (doc_id, held_out, lang_pred, score, entropy, rejected), one row per input row.
 
@@ -233,6 +242,7 @@ def identify_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     texts. A NULL id is neither held out nor learned from. With no training
     text everything is `und` with score 0. Other columns are not looked at.
     """
+    small_batches(docs.sparkSession)
     models = train(docs, id_col, text_col, lang_col, max_types)
     src = docs.select(F.col(id_col).alias("id"), F.coalesce(held_out(id_col), F.lit(False)).alias("held_out"),
                       F.col(text_col).cast("string").alias("text"))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from bazaar.llm._tokens import NONSPACE, Words, slices
+from bazaar.llm._tokens import NONSPACE, Words, slices, small_batches
 from bazaar.session import reliable_checkpoint
 
 _EPS = 1e-9
@@ -158,6 +158,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     target 0 and none of its documents is taken. Rows that repeat an id are
     separate documents. No rows give no rows. Other columns are not looked at.
     """
+    small_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(source_col).cast("string").alias("source"),
                       F.col(text_col).cast("string").alias("text"))
     sized = reliable_checkpoint(src.mapInArrow(_sizes, "id bigint, source string, size bigint"))

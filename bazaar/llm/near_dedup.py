@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bazaar.llm._graph import connected_components, find, union
-from bazaar.llm._tokens import NONSPACE, U64, Words, add_at, mix64, slices, windows
+from bazaar.llm._tokens import NONSPACE, U64, Words, add_at, mix64, slices, small_batches, windows
 from bazaar.session import reliable_checkpoint
 
 
@@ -165,6 +165,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     NULL id links with nothing: its component is NULL and it is kept. Other
     columns of ``docs`` are not looked at. No rows give no rows.
     """
+    small_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     told = reliable_checkpoint(src.mapInArrow(
         _describe(shingle, bands, rows), "id bigint, n bigint, hid binary, bands array<bigint>"))

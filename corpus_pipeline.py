@@ -20,30 +20,38 @@ from bazaar.llm.sharding import shard_by_bytes
 from bazaar.session import ensure_checkpoint_dir, reliable_checkpoint
 
 
+#: Ids up to which a list of them is sent to every task; a longer one is joined by a shuffle.
+BROADCAST_IDS = 200_000
+
+
+def _listed(ids: DataFrame) -> DataFrame:
+    """One column of ids, written out and counted, so that a short list spares the texts a shuffle."""
+    ids = reliable_checkpoint(ids.toDF("__id"))
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def _only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """Rows of docs whose id is (left_semi) or is not (left_anti) among ``ids`` (column the_id)."""
-    marked = ids.select(F.col("the_id").alias("__id"))
-    return docs.join(marked, docs["doc_id"].eqNullSafe(marked["__id"]), how)
+    """Rows of docs whose id is (left_semi) or is not (left_anti) among ``ids``."""
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["__id"]), how)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that read like one of the languages; rows that share an id go together."""
-    told = identify_language(docs).where("rejected").select(F.col("doc_id").alias("the_id"))
-    return _only(docs, reliable_checkpoint(told), "left_anti")
+    return _only(docs, _listed(identify_language(docs).where("rejected").select("doc_id")), "left_anti")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates; of rows that repeat an id, one."""
-    gone = near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("the_id"))
-    left = _only(docs, reliable_checkpoint(gone), "left_anti")
-    return left.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id IS NULL"))
+    left = _only(docs, _listed(near_duplicates(docs).where("NOT kept").select("doc_id")), "left_anti")
+    again = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    again = _listed(again)
+    return _only(left, again, "left_anti").unionByName(_only(left, again, "left_semi").dropDuplicates(["doc_id"]))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any benchmark window."""
     told = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    gone = told.where("contaminated").select(F.col("doc_id").alias("the_id"))
-    return _only(docs, reliable_checkpoint(gone), "left_anti")
+    return _only(docs, _listed(told.where("contaminated").select("doc_id")), "left_anti")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
