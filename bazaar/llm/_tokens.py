@@ -27,8 +27,8 @@ def small_batches(spark) -> None:
     A session setting, because plans read it when they run; smaller ones stay."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1000),
                       ("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)):
-        now = spark.conf.get(key, "0")
-        if not now.isdigit() or not 0 < int(now) <= most:
+        now = spark.conf.get(key)
+        if not now.isdigit() or not 0 < int(now) <= most:  # other spellings ("64MB") are larger defaults
             spark.conf.set(key, str(most))
 
 
