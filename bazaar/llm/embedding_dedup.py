@@ -6,9 +6,11 @@
    node is stored in the cell of its two nearest codes.
 3. A vector visits cells in the order of the sum of its two squared code
    distances (multi-sequence order). How many cells it visits is calibrated:
-   up to ``probes`` query vectors are compared with all rows by brute force,
-   and the traversal goes on until ``recall`` of the links found that way lie
-   in visited cells.
+   ``probes`` vectors chosen by hash are compared with all others by brute
+   force, more of the sample while they have under ``min_links`` links, and
+   the traversal goes on until ``recall`` of the links found that way lie in
+   visited cells. Where the whole sample has next to no links, neighbours made
+   at the threshold are counted as well.
 4. In each cell, visitors meet the stored nodes and cosines are taken in
    double precision. A cell of over ``block`` nodes is cut into blocks, each a
    group of its own. Groups write one count per visitor and a spanning forest
@@ -88,6 +90,21 @@ class Grid:
         first = total.argsort(axis=1, kind="stable")[:, :cells]
         return np.take_along_axis(o1, i[first], 1) * len(self.b) + np.take_along_axis(o2, j[first], 1)
 
+    def rank(self, x: np.ndarray, row: np.ndarray, cell: np.ndarray) -> np.ndarray:
+        """How many cells row ``row`` of x visits before ``cell`` (of equally far ones: all)."""
+        half = self.a.shape[1]
+        out = np.zeros(len(row), np.int64)
+        order = np.argsort(row, kind="stable")
+        which, first = np.unique(row[order], return_index=True)
+        for lo in range(0, len(which), 256):
+            some = which[lo:lo + 256]
+            d1, d2 = distances(x[some, :half], self.a), distances(x[some, half:], self.b)
+            for k, at in enumerate(np.split(order, first[1:])[lo:lo + 256]):
+                near = np.sort(d2[k])
+                far = d1[k][cell[at] // len(self.b)] + d2[k][cell[at] % len(self.b)] + 1e-12
+                out[at] = [np.searchsorted(near, f - d1[k], "right").sum() - 1 for f in far]
+        return out
+
 
 def _vectors(flat: np.ndarray) -> pa.Array:
     n, dim = flat.shape
@@ -111,26 +128,51 @@ def _keys(dim: int):
     return run
 
 
-def _probe(grid: Grid, probes: np.ndarray, least: float, depth: int):
-    """Rank, in the probe's traversal, of the cell of every vector linked with a probe."""
-    order = grid.visits(probes, depth)
-    rank = np.full((len(probes), len(grid.a) * len(grid.b)), order.shape[1], np.int32)
-    np.put_along_axis(rank, order, np.broadcast_to(np.arange(order.shape[1], dtype=np.int32), order.shape), 1)
+def _probe(grid: Grid, reps: np.ndarray, probes: np.ndarray, least: float, depth: int, held: int = 500_000):
+    """Rank, in the probe's traversal, of the cell of every other vector linked with a probe."""
+    cells = len(grid.a) * len(grid.b)
 
     def run(batches):
         total = np.zeros(depth + 1, np.int64)
+        pairs, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+        def ranked():
+            if len(pairs):
+                rank = grid.rank(probes, pairs // cells, pairs % cells)
+                np.add.at(total, np.minimum(rank, depth), n)
+
+        step = max(1, 4_000_000 // len(probes))
         for b in batches:
             x = b.column("unit").flatten().to_numpy().reshape(b.num_rows, -1)
-            for lo in range(0, len(x), 4096):
-                part = x[lo:lo + 4096]
-                i, j = np.nonzero(probes @ part.T >= least)
+            rep = b.column("rep").to_numpy()
+            for lo in range(0, len(x), step):
+                part = x[lo:lo + step]
+                hit = probes @ part.T >= least
+                hit &= reps[:, None] != rep[lo:lo + step][None, :]
+                i, j = np.nonzero(hit)
+                if not len(i):
+                    continue
                 cell = grid.visits(part, 1)[:, 0]
-                total += np.bincount(np.minimum(rank[i, cell[j]], depth), minlength=depth + 1)
+                more, count = np.unique(i * cells + cell[j], return_counts=True)
+                pairs, where = np.unique(np.concatenate([pairs, more]), return_inverse=True)
+                n = np.bincount(where, np.concatenate([n, count])).astype(np.int64)
+                if len(pairs) > held:
+                    ranked()
+                    pairs, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        ranked()
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["rank", "n"])
     return run
 
 
+def made_neighbours(x: np.ndarray, least: float, seed: int = 2) -> np.ndarray:
+    """For each unit vector one at a cosine of ``least``, in a random direction."""
+    r = np.random.default_rng(seed).normal(size=x.shape)
+    r -= (r * x).sum(1)[:, None] * x
+    r /= np.maximum(np.sqrt((r * r).sum(1)), 1e-300)[:, None]
+    return least * x + math.sqrt(max(0.0, 1 - least * least)) * r
+
+
 def _visit(grid: Grid, cells: int):
     """(cell, rep, m, own cell, unit, stored, visits): each node once as stored and once per visit."""
     def run(batches):
@@ -215,7 +257,8 @@ def pc_flat(column) -> np.ndarray:
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", least: float = 0.95,
                  recall: float = 0.99, probes: int = 1000, sample: int = 65_536, per_cell: int = 256,
-                 block: int = 2048, on_calibration: Callable[[int, float], None] | None = None) -> DataFrame:
+                 block: int = 2048, min_links: int = 1000,
+                 on_calibration: Callable[[int, float], None] | None = None) -> DataFrame:
     """-> (vec_id, n_links, component_id, kept), one row per input row.
 
     Vectors with a cosine of at least ``least`` are linked; a component is
@@ -241,10 +284,11 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
         F.min("id").alias("rep"), F.count(F.lit(1)).alias("m"), F.any_value("unit").alias("unit")))
     n = nodes.count()
 
-    # a bounded sample fits the codebooks: about ``sample`` rows, chosen by hash
+    # a bounded sample fits the codebooks: about ``sample`` rows, chosen by hash and in the order of another
     u = F.pmod(F.xxhash64(F.lit("fit"), "rep"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    fit = nodes.where(u < F.lit(min(1.0, sample / max(n, 1)))).select("rep", "unit").limit(2 * sample).toArrow()
-    fit = fit.sort_by("rep")
+    fit = nodes.where(u < F.lit(min(1.0, sample / max(n, 1)))).select(
+        "rep", "unit", F.xxhash64(F.lit("probe"), "rep").alias("u")).limit(2 * sample).toArrow()
+    fit = fit.sort_by([("u", "ascending"), ("rep", "ascending")])
     x = pc_flat(fit.column("unit")).reshape(-1, top.d) if len(fit) else np.zeros((0, top.d))
     k = int(np.clip(math.ceil(math.sqrt(n / per_cell)), 1, 1024))
     half = top.d // 2
@@ -253,13 +297,22 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
         links = spark.createDataFrame([], "rep bigint, credit bigint, mate bigint")
     else:
         depth = min(len(grid.a) * len(grid.b), 512)
-        ranks = dict(nodes.mapInArrow(_probe(grid, x[:probes], least, depth), "rank bigint, n bigint")
-                     .groupBy("rank").agg(F.sum("n")).collect())  # at most depth + 1 rows
-        found = np.cumsum([ranks.get(r, 0) for r in range(depth)])
-        total = max(1, sum(ranks.values()))
+        reps = fit.column("rep").to_numpy()
+        found, lo, hi = np.zeros(depth + 1, np.int64), 0, min(probes, len(x))
+        while lo < hi and found.sum() < min_links:  # rare links: more probes, up to the whole sample
+            for r in (nodes.mapInArrow(_probe(grid, reps[lo:hi], x[lo:hi], least, depth), "rank bigint, n bigint")
+                      .groupBy("rank").agg(F.sum("n").alias("n")).collect()):  # at most depth + 1 rows
+                found[r["rank"]] += r["n"]
+            lo, hi = hi, min(4 * hi, len(x))
+        total = int(found.sum())
+        found = np.cumsum(found)
         cells = int(min(depth, np.searchsorted(found, recall * total) + 1))
+        if total < 100 and len(x) < n:  # too few links to measure on: neighbours made at the threshold as well
+            y = made_neighbours(x[:probes], least)
+            rank = np.sort(grid.rank(x[:probes], np.arange(len(y)), grid.visits(y, 1)[:, 0]))
+            cells = max(cells, int(min(depth, rank[math.ceil(recall * len(y)) - 1] + 1)))
         if on_calibration:
-            on_calibration(cells, float(found[cells - 1] / total))
+            on_calibration(cells, float(found[cells - 1] / total) if total else 1.0)
         placed = nodes.mapInArrow(
             _visit(grid, cells), "cell int, rep bigint, m bigint, own int, unit array<double>, stored boolean, "
             "visits array<int>")

@@ -75,3 +75,33 @@ def test_empty_and_unusable(spark):
     got = near_vectors(table(spark, [(1, None), (2, [0.0, 0.0]), (None, [1.0, 2.0]), (3, [1.0, 2.0])])).collect()
     assert sorted((tuple(r) for r in got), key=str) == sorted(
         [(1, 0, 1, True), (2, 0, 2, True), (None, 0, None, True), (3, 0, 3, True)], key=str)
+
+
+def rare(n=6000, pairs=150, dim=16):
+    """Spread vectors; ``pairs`` of the later ids have a near copy (0.05 links a vector)."""
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=dim)) for i in range(n)]
+    for k in range(pairs):
+        i = n - 1 - 2 * k
+        r = rng.normal(size=dim)
+        v = rows[i][1] / np.linalg.norm(rows[i][1])
+        r -= (r @ v) * v
+        rows[i - 1] = (i - 1, .957 * v + (1 - .957 ** 2) ** .5 * r / np.linalg.norm(r))
+    return rows
+
+
+def test_rare_links_are_found(spark):
+    rows, seen = rare(), []
+    want = sum(n for n, _ in brute(rows).values())
+    got = near_vectors(table(spark, rows), per_cell=8, on_calibration=lambda *x: seen.append(x)).collect()
+    assert want >= 300 and sum(r.n_links for r in got) >= .99 * want
+    assert seen[0][1] >= .99
+
+
+def test_rank_is_the_place_in_the_traversal():
+    rng = np.random.default_rng(3)
+    g = Grid(rng.normal(size=(7, 3)), rng.normal(size=(5, 3)))
+    x = rng.normal(size=(20, 6))
+    order = g.visits(x, 35)
+    row, place = np.repeat(np.arange(20), 35), np.tile(np.arange(35), 20)
+    assert (g.rank(x, row, order.ravel()) == place).all()
