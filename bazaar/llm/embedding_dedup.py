@@ -9,8 +9,10 @@
    ``probes`` vectors chosen by hash are compared with all others by brute
    force, more of the sample while they have under ``min_links`` links, and
    the traversal goes on until ``recall`` of the links found that way lie in
-   visited cells. Where the whole sample has next to no links, neighbours made
-   at the threshold are counted as well.
+   visited cells. If that takes over ``most_cells`` cells, a coarser grid is
+   taken; the coarsest is one cell, where all vectors meet in blocks. Where
+   the whole sample has next to no links, neighbours made at the threshold
+   are counted as well.
 4. In each cell, visitors meet the stored nodes and cosines are taken in
    double precision. A cell of over ``block`` nodes is cut into blocks, each a
    group of its own. Groups write one count per visitor and a spanning forest
@@ -128,18 +130,20 @@ def _keys(dim: int):
     return run
 
 
-def _probe(grid: Grid, reps: np.ndarray, probes: np.ndarray, least: float, depth: int, held: int = 500_000):
-    """Rank, in the probe's traversal, of the cell of every other vector linked with a probe."""
-    cells = len(grid.a) * len(grid.b)
+def _probe(grids: list[Grid], reps: np.ndarray, probes: np.ndarray, least: float, depth: int, held: int = 500_000):
+    """(grid, rank, n): rank, in the probe's traversal, of the cell of every other vector linked with a probe."""
+    cells = [len(grid.a) * len(grid.b) for grid in grids]
 
     def run(batches):
-        total = np.zeros(depth + 1, np.int64)
-        pairs, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        total = np.zeros((len(grids), depth + 1), np.int64)
+        pairs = [np.zeros(0, np.int64) for _ in grids]  # probe and cell as one number, for each grid
+        n = [np.zeros(0, np.int64) for _ in grids]
 
-        def ranked():
-            if len(pairs):
-                rank = grid.rank(probes, pairs // cells, pairs % cells)
-                np.add.at(total, np.minimum(rank, depth), n)
+        def ranked(g):
+            if len(pairs[g]):
+                rank = grids[g].rank(probes, pairs[g] // cells[g], pairs[g] % cells[g])
+                np.add.at(total[g], np.minimum(rank, depth), n[g])
+            pairs[g], n[g] = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
         step = max(1, 4_000_000 // len(probes))
         for b in batches:
@@ -152,16 +156,18 @@ def _probe(grid: Grid, reps: np.ndarray, probes: np.ndarray, least: float, depth
                 i, j = np.nonzero(hit)
                 if not len(i):
                     continue
-                cell = grid.visits(part, 1)[:, 0]
-                more, count = np.unique(i * cells + cell[j], return_counts=True)
-                pairs, where = np.unique(np.concatenate([pairs, more]), return_inverse=True)
-                n = np.bincount(where, np.concatenate([n, count])).astype(np.int64)
-                if len(pairs) > held:
-                    ranked()
-                    pairs, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        ranked()
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["rank", "n"])
+                for g, grid in enumerate(grids):
+                    cell = grid.visits(part, 1)[:, 0].astype(np.int64)
+                    more, count = np.unique(i * cells[g] + cell[j], return_counts=True)
+                    pairs[g], where = np.unique(np.concatenate([pairs[g], more]), return_inverse=True)
+                    n[g] = np.bincount(where, np.concatenate([n[g], count])).astype(np.int64)
+                    if len(pairs[g]) > held:
+                        ranked(g)
+        for g in range(len(grids)):
+            ranked(g)
+        some, rank = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(rank), pa.array(total[some, rank])],
+                                         ["grid", "rank", "n"])
     return run
 
 
@@ -257,7 +263,7 @@ def pc_flat(column) -> np.ndarray:
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", least: float = 0.95,
                  recall: float = 0.99, probes: int = 1000, sample: int = 65_536, per_cell: int = 256,
-                 block: int = 2048, min_links: int = 1000,
+                 block: int = 2048, min_links: int = 1000, most_cells: int = 512,
                  on_calibration: Callable[[int, float], None] | None = None) -> DataFrame:
     """-> (vec_id, n_links, component_id, kept), one row per input row.
 
@@ -292,27 +298,32 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     x = pc_flat(fit.column("unit")).reshape(-1, top.d) if len(fit) else np.zeros((0, top.d))
     k = int(np.clip(math.ceil(math.sqrt(n / per_cell)), 1, 1024))
     half = top.d // 2
-    grid = Grid(kmeans(x[:, :half], k), kmeans(x[:, half:], k)) if len(x) else None
-    if grid is None:
+    # the grid, and coarser ones for links that lie in too many of its cells; the last has one cell
+    grids = [Grid(kmeans(x[:, :half], max(1, k >> c)), kmeans(x[:, half:], max(1, k >> c)))
+             for c in range(k.bit_length())] if len(x) else []
+    if not grids:
         links = spark.createDataFrame([], "rep bigint, credit bigint, mate bigint")
     else:
-        depth = min(len(grid.a) * len(grid.b), 512)
         reps = fit.column("rep").to_numpy()
-        found, lo, hi = np.zeros(depth + 1, np.int64), 0, min(probes, len(x))
-        while lo < hi and found.sum() < min_links:  # rare links: more probes, up to the whole sample
-            for r in (nodes.mapInArrow(_probe(grid, reps[lo:hi], x[lo:hi], least, depth), "rank bigint, n bigint")
-                      .groupBy("rank").agg(F.sum("n").alias("n")).collect()):  # at most depth + 1 rows
-                found[r["rank"]] += r["n"]
+        found, lo, hi = np.zeros((len(grids), most_cells + 1), np.int64), 0, min(probes, len(x))
+        while lo < hi and found[0].sum() < min_links:  # rare links: more probes, up to the whole sample
+            for r in (nodes.mapInArrow(_probe(grids, reps[lo:hi], x[lo:hi], least, most_cells),
+                                       "grid bigint, rank bigint, n bigint")
+                      .groupBy("grid", "rank").agg(F.sum("n").alias("n")).collect()):  # most_cells + 1 rows a grid
+                found[r["grid"], r["rank"]] += r["n"]
             lo, hi = hi, min(4 * hi, len(x))
-        total = int(found.sum())
-        found = np.cumsum(found)
-        cells = int(min(depth, np.searchsorted(found, recall * total) + 1))
-        if total < 100 and len(x) < n:  # too few links to measure on: neighbours made at the threshold as well
-            y = made_neighbours(x[:probes], least)
-            rank = np.sort(grid.rank(x[:probes], np.arange(len(y)), grid.visits(y, 1)[:, 0]))
-            cells = max(cells, int(min(depth, rank[math.ceil(recall * len(y)) - 1] + 1)))
+        total = int(found[0].sum())
+        found = np.cumsum(found, axis=1)
+        for grid, got in zip(grids, found, strict=True):
+            cells = int(np.searchsorted(got, recall * total) + 1)
+            if total < 100 and len(x) < n:  # too few links to measure on: neighbours made at the threshold as well
+                y = made_neighbours(x[:probes], least)
+                rank = np.sort(grid.rank(x[:probes], np.arange(len(y)), grid.visits(y, 1)[:, 0]))
+                cells = max(cells, int(rank[math.ceil(recall * len(y)) - 1] + 1))
+            if cells <= most_cells:
+                break
         if on_calibration:
-            on_calibration(cells, float(found[cells - 1] / total) if total else 1.0)
+            on_calibration(cells, float(got[cells - 1] / total) if total else 1.0)
         placed = nodes.mapInArrow(
             _visit(grid, cells), "cell int, rep bigint, m bigint, own int, unit array<double>, stored boolean, "
             "visits array<int>")

@@ -105,3 +105,12 @@ def test_rank_is_the_place_in_the_traversal():
     order = g.visits(x, 35)
     row, place = np.repeat(np.arange(20), 35), np.tile(np.arange(35), 20)
     assert (g.rank(x, row, order.ravel()) == place).all()
+
+
+def test_links_in_more_cells_than_a_vector_may_visit(spark):
+    rng, seen = np.random.default_rng(8), []
+    rows = [(i, rng.normal(size=16)) for i in range(1500)]
+    want = sum(n for n, _ in brute(rows, .5).values())
+    got = near_vectors(table(spark, rows), least=.5, per_cell=.6, on_calibration=lambda *x: seen.append(x)).collect()
+    assert sum(r.n_links for r in got) >= .985 * want
+    assert seen[0][0] <= 512 and seen[0][1] >= .99
