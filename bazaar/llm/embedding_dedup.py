@@ -14,8 +14,9 @@
    the whole sample has next to no links, neighbours made at the threshold
    are counted as well.
 4. In each cell, visitors meet the stored nodes and cosines are taken in
-   double precision. A cell of over ``block`` nodes is cut into blocks, each a
-   group of its own. Groups write one count per visitor and a spanning forest
+   double precision. A cell of over ``block`` nodes or visitors is cut into
+   blocks of either; every pair of a block of nodes and a block of visitors is
+   a group of its own. Groups write one count per visitor and a spanning forest
    of their links, never pairs.
 """
 
@@ -205,27 +206,28 @@ def _visit(grid: Grid, cells: int):
 
 
 def _meet(least: float):
-    """Groups (cell, block) in sorted batches -> (kind 0: rep, credit) and (kind 1: rep, linked rep)."""
+    """Groups (cell, block, visitors' block) in sorted batches -> (kind 0: rep, credit) and (kind 1: rep, linked rep)."""
     def group(t: pa.Table):
         rep, m, own = (t.column(c).to_numpy() for c in ("rep", "m", "own"))
-        here = t.column("here").to_numpy(zero_copy_only=False)
+        here, comes = (t.column(c).to_numpy(zero_copy_only=False) for c in ("here", "comes"))
         dim = len(t.column("unit")[0])
         x = pc_flat(t.column("unit")).reshape(-1, dim)
-        y = np.flatnonzero(here)
-        if not len(y):
+        y, z = np.flatnonzero(here), np.flatnonzero(comes)
+        if not len(y) or not len(z):
             return
         known = [np.asarray(v, np.int64) for v in t.column("visits").take(pa.array(y)).to_pylist()]
         visits = np.sort(np.array(known), axis=1)
         credit = np.zeros(len(rep), np.int64)
         parent: dict = {}
         edges = []
-        for lo in range(0, len(x), 2048):
-            hit = x[lo:lo + 2048] @ x[y].T >= least
-            hit &= rep[lo:lo + 2048, None] != rep[y][None, :]
-            credit[lo:lo + 2048] += hit @ m[y]
+        for lo in range(0, len(z), 2048):
+            some = z[lo:lo + 2048]
+            hit = x[some] @ x[y].T >= least
+            hit &= rep[some][:, None] != rep[y][None, :]
+            credit[some] += hit @ m[y]
             for i in np.flatnonzero(hit.any(axis=1)):
                 mates = np.flatnonzero(hit[i])
-                a, ra = lo + i, int(rep[lo + i])
+                a, ra = some[i], int(rep[some[i]])
                 # a stored node that does not visit this one's cell would miss the link
                 back = visits[mates]
                 sees = (back == own[a]).any(axis=1)
@@ -245,8 +247,8 @@ def _meet(least: float):
             t = pa.Table.from_batches([b])
             held = t if held is None else pa.concat_tables([held, t]).combine_chunks()
             while held.num_rows:
-                cell, block = held.column("cell").to_numpy(), held.column("block").to_numpy()
-                other = np.flatnonzero((cell != cell[0]) | (block != block[0]))
+                key = [held.column(c).to_numpy() for c in ("cell", "block", "turn")]
+                other = np.flatnonzero(np.any([c != c[0] for c in key], axis=0))
                 if not len(other):
                     break
                 yield from group(held.slice(0, other[0]).combine_chunks())
@@ -327,15 +329,28 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
         placed = nodes.mapInArrow(
             _visit(grid, cells), "cell int, rep bigint, m bigint, own int, unit array<double>, stored boolean, "
             "visits array<int>")
-        sizes = reliable_checkpoint(nodes.select("unit").mapInArrow(_cell_sizes(grid), "cell int, s bigint")
-                                    .groupBy("cell").agg(F.ceil(F.sum("s") / F.lit(block)).cast("int").alias("g")))
+        sizes = nodes.select("unit").mapInArrow(_cell_sizes(grid, cells), "cell int, s bigint, v bigint")
+        sizes = reliable_checkpoint(sizes.groupBy("cell").agg(
+            *(F.ceil(F.sum(c) / F.lit(block)).cast("int").alias(g) for c, g in (("s", "g"), ("v", "gv"))))
+            .where("g > 0"))
+        # a visitor meets every block of the nodes, a node every block of the visitors
         mine = F.pmod(F.xxhash64("rep"), F.col("g")).cast("int")
-        met = (placed.join(sizes, "cell").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-               .withColumn("here", F.col("stored") & (F.col("block") == mine))
-               .select("cell", "block", "rep", "m", "own", "unit", "here",
+        turn = F.pmod(F.xxhash64(F.lit("turn"), "rep"), F.col("gv")).cast("int")
+
+        def met_in(block, turn):
+            return F.struct(block.alias("block"), turn.alias("turn"))
+        every = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda b: met_in(b, F.col("mine_turn")))
+        every = F.when(F.col("stored"), F.array_union(every, F.transform(
+            F.sequence(F.lit(0), F.col("gv") - 1), lambda v: met_in(F.col("mine"), v)))).otherwise(every)
+        met = (placed.join(sizes, "cell").withColumn("mine", mine).withColumn("mine_turn", turn)
+               .withColumn("at", F.explode(every)).withColumns({"block": F.col("at.block"), "turn": F.col("at.turn")})
+               .withColumns({"here": F.col("stored") & (F.col("block") == F.col("mine")),
+                             "comes": F.col("turn") == F.col("mine_turn")})
+               .select("cell", "block", "turn", "rep", "m", "own", "unit", "here", "comes",
                        F.when(F.col("here"), F.col("visits")).alias("visits")))
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        links = reliable_checkpoint(met.repartition(parts, "cell", "block").sortWithinPartitions("cell", "block")
+        links = reliable_checkpoint(met.repartition(parts, "cell", "block", "turn")
+                                    .sortWithinPartitions("cell", "block", "turn")
                                     .mapInArrow(_meet(least), "rep bigint, credit bigint, mate bigint"))
     comp = connected_components(links.where("mate IS NOT NULL"), "rep", "mate")
     credit = links.groupBy("rep").agg(F.sum("credit").alias("credit"))
@@ -349,13 +364,17 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
-def _cell_sizes(grid: Grid):
+def _cell_sizes(grid: Grid, cells: int):
+    """(cell, s, v): the nodes stored in a cell and those that visit it."""
     def run(batches):
-        total = np.zeros(len(grid.a) * len(grid.b), np.int64)
+        total = np.zeros((2, len(grid.a) * len(grid.b)), np.int64)
         for b in batches:
             x = b.column("unit").flatten().to_numpy().reshape(b.num_rows, -1)
-            for lo in range(0, len(x), 4096):
-                total += np.bincount(grid.visits(x[lo:lo + 4096], 1)[:, 0], minlength=len(total))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["cell", "s"])
+            for lo in range(0, len(x), 1024):
+                seen = grid.visits(x[lo:lo + 1024], cells)
+                for k, v in enumerate((seen[:, 0], seen.ravel())):
+                    total[k] += np.bincount(v, minlength=total.shape[1])
+        some = np.flatnonzero(total[1])
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.array(t[some]) for t in total)],
+                                         ["cell", "s", "v"])
     return run

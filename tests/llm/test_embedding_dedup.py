@@ -1,5 +1,6 @@
 import numpy as np
 
+from bazaar.llm import embedding_dedup
 from bazaar.llm.embedding_dedup import Grid, near_vectors
 
 SCHEMA = "vec_id bigint, embedding array<float>, label int, rep string, key int, n_links string"
@@ -114,3 +115,26 @@ def test_links_in_more_cells_than_a_vector_may_visit(spark):
     got = near_vectors(table(spark, rows), least=.5, per_cell=.6, on_calibration=lambda *x: seen.append(x)).collect()
     assert sum(r.n_links for r in got) >= .985 * want
     assert seen[0][0] <= 512 and seen[0][1] >= .99
+
+
+def test_groups_hold_a_block_of_nodes_and_one_of_visitors(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=16)
+    rows = [(i, base + rng.normal(size=16) * .1) for i in range(600)] + [(1000 + i, rng.normal(size=16)) for i in range(200)]
+    want, meet = brute(rows), embedding_dedup._meet
+
+    def noted(least):
+        def run(batches):
+            import collections
+            import uuid
+            batches = list(batches)
+            n = collections.Counter(k for b in batches for k in zip(*(b.column(c).to_pylist() for c in (
+                "cell", "block", *(["turn"] if "turn" in b.schema.names else [])))))
+            (tmp_path / uuid.uuid4().hex).write_text(str(max(n.values(), default=0)))
+            yield from meet(least)(iter(batches))
+        return run
+    monkeypatch.setattr(embedding_dedup, "_meet", noted)
+    got = near_vectors(table(spark, rows), per_cell=100, block=32).collect()
+    assert max(int(p.read_text()) for p in tmp_path.iterdir()) <= 3 * 32
+    assert sum(r.n_links for r in got) >= .99 * sum(n for n, _ in want.values())
+    assert all(r.n_links <= want[r.vec_id][0] for r in got)
