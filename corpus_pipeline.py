@@ -42,7 +42,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates; of rows that repeat an id, one."""
-    left = _only(docs, _listed(near_duplicates(docs).where("NOT kept").select("doc_id")), "left_anti")
+    left = _only(docs, _listed(near_duplicates(docs, percent=80).where("NOT kept").select("doc_id")), "left_anti")
     again = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
     again = _listed(again)
     return _only(left, again, "left_anti").unionByName(_only(left, again, "left_semi").dropDuplicates(["doc_id"]))

@@ -70,3 +70,18 @@ def test_registered():
     q = E.queries()
     assert {n.split("_")[0] for n in q if n.startswith("op")} == {f"op{i}" for i in range(1, 11)}
     assert "pipeline" in q and "pipeline" not in E.oracle_sql()
+
+
+def test_near_dedup_from_a_similarity_of_80_percent(spark):
+    rng = random.Random(12)
+    rows = [row(i, prose(rng, rng.randint(5, 60))) for i in range(30)]
+    for i in range(10):
+        base = prose(rng, 150)  # 14 of 146 shingles change: similarity 0.825
+        words = base.split(" ")
+        for place in (40, 80):
+            words[place] = f"edit{i}"
+        words[-4:] = [f"end{i}"] * 4
+        rows += [row(100 + i, base), row(200 + i, " ".join(words))]
+    want = {r[0] for r in test_near_dedup.brute(rows, 80) if r[3]}
+    assert len(want) < len({r[0] for r in test_near_dedup.brute(rows) if r[3]})
+    assert {r.doc_id for r in C.near_dedup(spark, table(spark, rows), "").collect()} == want
