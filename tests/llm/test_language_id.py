@@ -79,3 +79,25 @@ def test_empty_and_unlabelled(spark):
     assert identify_language(table(spark, [])).count() == 0
     got = identify_language(table(spark, [row(1, "the water", None)])).collect()
     assert [(r.lang_pred, r.score) for r in got] == [("und", 0.0)]
+
+
+def test_large_models_keep_every_gram(spark):
+    """About 560 texts of 2,000 letters out of 20,000 to learn from: 1.1 million different 4-grams of one language."""
+    rng = np.random.default_rng(4)
+    rows = [row(i, "".join(map(chr, rng.integers(0x4E00, 0x4E00 + 20_000, 2000))), "zh") for i in range(700)]
+    rows += [row(1000 + i, prose(random.Random(i), 40), "en") for i in range(50)]
+    got = {r.doc_id: r for r in identify_language(table(spark, rows)).collect()}
+    learned = [got[i] for i in range(700) if not got[i].held_out]
+    assert all(r.lang_pred == "zh" and not r.rejected for r in learned) and len(learned) > 520
+    assert all(got[1000 + i].lang_pred == "en" for i in range(50))
+
+
+def test_models_as_tables_give_the_same(spark):
+    rng = random.Random(5)
+    rows = [row(i, prose(rng, rng.randint(3, 60), lang), lang) for i in range(300)
+            for lang in [rng.choice(list(LANGS))]]
+    rows += [row(5000, "qxzj wvkq zzxq jjqx " * 30, None), row(5001, "日本語 ☃ 漢字", None)] + odd_rows()
+    one, two = ({(str(r.doc_id), r.lang_pred, r.held_out, r.rejected, round(r.score, 8),
+                  None if r.entropy != r.entropy else round(r.entropy, 8)) for r in identify_language(
+                      table(spark, rows), at_once=most).collect()} for most in (2_000_000, 0))
+    assert one == two
