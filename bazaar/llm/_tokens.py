@@ -19,6 +19,7 @@ _INV = pow(_BASE, -1, 1 << 64)
 
 WORD = "word"          # digits, letters a-z (after lower-casing) and everything beyond ASCII
 NONSPACE = "nonspace"  # anything but ASCII white space
+LETTERS = "letters"    # letters a-z and everything beyond ASCII
 
 
 def small_batches(spark) -> None:
@@ -62,14 +63,17 @@ def slices(column: pa.Array, max_bytes: int = 1 << 20):
 
 
 class Words:
-    """Hashes words of one kind; keeps the tables of powers between calls."""
+    """Hashes words of one kind; keeps the tables of powers between calls.
+    Without ``fold`` words that differ in case are different."""
 
-    def __init__(self, kind: str):
+    def __init__(self, kind: str, fold: bool = True):
         b = np.arange(256)
-        self.lower = np.where((b >= 65) & (b <= 90), b + 32, b).astype(np.uint8)
-        low = self.lower
+        low = np.where((b >= 65) & (b <= 90), b + 32, b).astype(np.uint8)
+        self.lower = low if fold else b.astype(np.uint8)
         if kind == WORD:
             self.inside = ((low >= 48) & (low <= 57)) | ((low >= 97) & (low <= 122)) | (low >= 128)
+        elif kind == LETTERS:
+            self.inside = ((low >= 97) & (low <= 122)) | (low >= 128)
         else:
             self.inside = ~((b == 32) | ((b >= 9) & (b <= 13)))
         self.pw = self.inv = np.ones(1, U64)
@@ -102,11 +106,19 @@ class Words:
         starts, ends, at = self.spans(data, offs)
         if not len(starts):
             return np.zeros(0, U64), at
-        self._powers(len(data))
+        return self.of_spans(self.running(data), starts, ends), at
+
+    def running(self, data: np.ndarray) -> np.ndarray:
+        """Running sums over the bytes, from which the hash of any span follows."""
+        self._powers(len(data) + 1)
         run = np.zeros(len(data) + 1, U64)
         np.cumsum((self.lower[data].astype(U64) + U64(1)) * self.pw[:len(data)], out=run[1:])
+        return run
+
+    def of_spans(self, run: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hash of the bytes from each start to its end."""
         h = (run[ends] - run[starts]) * self.inv[starts]
-        return mix64(h + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93)), at
+        return mix64(h + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
 def windows(h: np.ndarray, at: np.ndarray, size: int):

@@ -9,12 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bazaar.llm.decontamination import decontaminate
+from bazaar.llm.divergence import divergence_audit
 from bazaar.llm.embedding_dedup import near_vectors
+from bazaar.llm.hard_negatives import hard_negatives
 from bazaar.llm.language_id import identify_language
 from bazaar.llm.license_scan import scan_licenses
 from bazaar.llm.line_dedup import line_dedup
 from bazaar.llm.mixing import mix_sources
 from bazaar.llm.near_dedup import near_duplicates
+from bazaar.llm.quality_rules import quality_rules
 from bazaar.llm.sharding import shard_by_bytes
 from bazaar.llm.suffix_dedup import repeated_passages
 from bazaar.llm.url_filter import filter_urls
@@ -67,6 +70,21 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents")).drop("dropped_lines")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("bigint") + 1) % 10).otherwise(F.col("label"))
+    out = hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", moved))
+    return out.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+
+def op13_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence_audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_line_dedup, op2_decontamination, op3_license_scan, op4_source_mix, op5_url_filter, op6_suffix_dedup,
-    op7_language_id, op8_minhash_near_dedup, op9_sharding, op10_embedding_near_dedup)}
+    op7_language_id, op8_minhash_near_dedup, op9_sharding, op10_embedding_near_dedup,
+    op11_quality_rules, op12_hard_negatives, op13_divergence_audit)}
