@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bazaar.operators.ranking import count_groups, join_groups, positions_quantiles, value_positions
+from bazaar.operators.ranking import join_groups, positions_quantiles, value_positions
+from bazaar.operators.selection import Fences, counted_checkpoint
 from bazaar.session import reliable_checkpoint
 
 
@@ -18,8 +19,9 @@ def min_max_scale(df: DataFrame, col: str, out: str | None = None, by: Sequence[
     bounds come from one scalar subquery."""
     out = out or f"scaled_{col}"
     if by:
-        b = df.groupBy(*by).agg(F.min(col).alias("_mn"), F.max(col).alias("_mx"))
-        j = df.join(b, list(by), "left")
+        b, seen = counted_checkpoint(df.groupBy(*by).agg(F.min(col).alias("_mn"), F.max(col).alias("_mx")),
+                                     n=F.count(F.lit(1)))
+        j = join_groups(df, b, list(by), seen["n"], "left")
         val = F.try_divide(F.col(col) - F.col("_mn"), F.col("_mx") - F.col("_mn"))
         return j.withColumn(out, _round_even(val, digits)).drop("_mn", "_mx")
     # one scalar subquery returning both bounds
@@ -38,20 +40,39 @@ def truncate_int(df: DataFrame, col: str) -> DataFrame:
 
 
 def remove_outliers_sigma(df: DataFrame, col: str, by: Sequence[str], n_std: float = 3.0,
-                          materialize: bool = True) -> DataFrame:
+                          counts: DataFrame | None = None, count: str = "items") -> DataFrame:
     """Drop rows outside mean +- n_std * sample std of their group.
     NULL values, one-row groups and NULL groups are kept (no bounds apply).
-    With ``materialize`` the input is checkpointed, since it is read twice
-    (statistics, filter)."""
+
+    ``counts`` is a histogram (by..., col, ``count`` of rows) of the same rows where
+    the caller has one; without it, it is taken from ``df``. Only the histogram
+    is written; the filter, a value range per group, runs on ``df`` itself."""
     by = list(by)
-    if materialize:
-        df = reliable_checkpoint(df)
-    s = reliable_checkpoint(df.groupBy(*by).agg(F.avg(col).alias("_mu"), F.stddev_samp(col).alias("_sd")))
-    lo = F.col("_mu") - F.lit(n_std) * F.col("_sd")
-    hi = F.col("_mu") + F.lit(n_std) * F.col("_sd")
-    j = join_groups(df, s, by, s.count(), "left", null_safe=False)
+    if counts is None:
+        counts = reliable_checkpoint(df.where(F.col(col).isNotNull()).groupBy(*by, col).agg(
+            F.count(F.lit(1)).alias("_rows")))
+        count = "_rows"
+    bounds, n = _sigma_bounds(counts, col, count, by, n_std)
+    j = join_groups(df, bounds, by, n, "left", null_safe=False)
     x = F.col(col)
-    return j.where(F.coalesce(~((x < lo) | (x > hi)), F.lit(True))).drop("_mu", "_sd")
+    return j.where(F.coalesce(~((x < F.col("_lo")) | (x > F.col("_hi"))), F.lit(True))).drop("_lo", "_hi")
+
+
+def _sigma_bounds(hist: DataFrame, col: str, count: str, by: list[str], n_std: float) -> tuple[DataFrame, int]:
+    """(by..., _lo, _hi), checkpointed, and the number of groups: mean and deviation merged from counts."""
+    h = hist.where(F.col(col).isNotNull())
+    c, x = F.col(count), F.col(col).cast("double")
+    mean, seen = counted_checkpoint(h.groupBy(*by).agg((F.sum(c * x) / F.sum(c)).alias("_mu"), F.sum(c).alias("_c")),
+                                    n=F.count(F.lit(1)))
+    off = x - F.col("_mu")
+    spread = (join_groups(h, mean, by, seen["n"]).groupBy(*by)
+              .agg(F.max("_mu").alias("_mu"), F.try_divide(F.sum(c * off * off), F.max("_c") - 1).alias("_var")))
+    none = F.lit(False)
+    for b in by:
+        none = none | F.col(b).isNull()
+    half = F.when(none | F.col("_var").isNull(), F.lit(float("inf"))).otherwise(F.lit(n_std) * F.sqrt("_var"))
+    return reliable_checkpoint(spread.select(*by, (F.col("_mu") - half).alias("_lo"),
+                                             (F.col("_mu") + half).alias("_hi"))), seen["n"]
 
 
 def sigma_box_summary(hist: DataFrame, col: str, count: str, by: Sequence[str], n_std: float = 3.0) -> DataFrame:
@@ -60,19 +81,8 @@ def sigma_box_summary(hist: DataFrame, col: str, count: str, by: Sequence[str],
     from the same counts, and the kept rows are a value range of their group.
     -> (by..., min, q1, median, q3, max, n)"""
     by = list(by)
-    pos = value_positions(hist, col, by, count)
-    n_groups = count_groups(pos, by)
-    c, x = F.col("_w"), F.col(col)
-    mean = pos.groupBy(*by).agg((F.sum(c * x) / F.sum(c)).alias("_mu"), F.sum(c).alias("_c"))
-    spread = (join_groups(pos, mean, by, n_groups).groupBy(*by)
-              .agg(F.max("_mu").alias("_mu"), F.try_divide(F.sum(c * (x - F.col("_mu")) * (x - F.col("_mu"))),
-                                                           F.max("_c") - 1).alias("_var")))
-    none = F.lit(False)
-    for b in by:
-        none = none | F.col(b).isNull()
-    half = F.when(none | F.col("_var").isNull(), F.lit(float("inf"))).otherwise(F.lit(n_std) * F.sqrt("_var"))
-    bounds = spread.select(*by, (F.col("_mu") - half).alias("_lo"), (F.col("_mu") + half).alias("_hi"))
-    return _box(pos, col, by, reliable_checkpoint(bounds), n_groups)
+    bounds, n_groups = _sigma_bounds(hist, col, count, by, n_std)
+    return _box(value_positions(hist, col, by, count), col, by, bounds, n_groups)
 
 
 def _box(pos: DataFrame, col: str, by: list[str], bounds: DataFrame | None, n_groups: int) -> DataFrame:
@@ -81,46 +91,26 @@ def _box(pos: DataFrame, col: str, by: list[str], bounds: DataFrame | None, n_gr
     return b.select(*by, d("min"), d("q1"), d("median"), d("q3"), d("max"), F.col("n").cast("bigint").alias("n"))
 
 
-def _iqr_bounds(pos: DataFrame, col: str, by: list[str], k: float, passes: int, n_groups: int) -> DataFrame | None:
-    """Fences after ``passes`` rounds; each round's quantiles are taken over the
-    values the previous fences kept (a contiguous value range per group).
-    One row per group, checkpointed after each round."""
-    bounds = None
-    for _ in range(passes):
-        q = positions_quantiles(pos, col, by, [0.25, 0.75], ["_q1", "_q3"], bounds, n_groups=n_groups)
-        iqr = F.col("_q3") - F.col("_q1")
-        bounds = reliable_checkpoint(q.select(*by, (F.col("_q1") - F.lit(k) * iqr).alias("_lo"),
-                                              (F.col("_q3") + F.lit(k) * iqr).alias("_hi")))
-    return bounds
-
-
-def remove_outliers_iqr(df: DataFrame, col: str, by: Sequence[str], k: float = 1.5, passes: int = 1,
-                        materialize: bool = True) -> DataFrame:
+def remove_outliers_iqr(df: DataFrame, col: str, by: Sequence[str], k: float = 1.5, passes: int = 1) -> DataFrame:
     """Keep rows with Q1 - k*IQR <= x <= Q3 + k*IQR in their group. NULL
     values and NULL groups are dropped. Each pass recomputes the fences on
     the rows the previous pass kept (the reference applied it twice).
 
-    The kept rows of a pass are a contiguous value range of their group, so
-    all passes read one sorted value histogram (``value_positions``): one
-    sort, whatever the number of passes. With ``materialize`` the input is
-    checkpointed once, since it is read twice (histogram, final filter)."""
+    The quartiles of all passes come from one selection (``Fences``): ``df`` is
+    read for a sketch, for counts and for the filter, and neither its rows nor
+    their distinct values are sorted or written."""
     by = list(by)
     if passes <= 0:
         return df
-    if materialize:
-        df = reliable_checkpoint(df)
-    pos = value_positions(df, col, by)
-    n_groups = count_groups(pos, by)
-    f = _iqr_bounds(pos, col, by, k, passes, n_groups)
-    j = join_groups(df, f, by, n_groups, null_safe=False)
+    f = Fences(df, col, by, k, passes)
+    j = join_groups(df, f.bounds, by, f.n_groups, null_safe=False)
     return j.where((F.col(col) >= F.col("_lo")) & (F.col(col) <= F.col("_hi"))).select(*df.columns)
 
 
 def iqr_box_summary(df: DataFrame, col: str, by: Sequence[str], k: float = 1.5, passes: int = 1) -> DataFrame:
     """D06 + D07 in one: the box-plot numbers of the rows ``remove_outliers_iqr``
-    keeps, read from the same value histogram (no second sort).
+    keeps, selected by the same pass as the fences.
     -> (by..., min, q1, median, q3, max, n)"""
-    by = list(by)
-    pos = value_positions(df, col, by)
-    n_groups = count_groups(pos, by)
-    return _box(pos, col, by, _iqr_bounds(pos, col, by, k, passes, n_groups), n_groups)
+    q = Fences(df, col, by, k, passes, {"q1": 0.25, "median": 0.5, "q3": 0.75}).bounds
+    d = lambda c: F.col(c).cast("double").alias(c)
+    return q.select(*by, d("min"), d("q1"), d("median"), d("q3"), d("max"), F.col("n").cast("bigint").alias("n"))

@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bazaar.functions.timeutil import days_between, ts_lit
-from bazaar.operators.ranking import global_ntile
-from bazaar.session import reliable_checkpoint
+from bazaar.operators.selection import counted_checkpoint, tile_cuts, tile_number
 
 TS = "order_purchase_timestamp"
 CUID = "customer_unique_id"
@@ -45,23 +44,31 @@ def rfm_scores(orders: DataFrame, items: DataFrame, customers: DataFrame,
     """Per person: last purchase, order count, spend and their quintiles.
 
     Recency and frequency are tiled over all customers with an order of
-    ``status``; monetary over those with items; the inner join then drops
-    customers without items (as the reference's join did). Ties are broken by
-    the person key. Tiles use ``global_ntile``: no single-partition window.
+    ``status``; monetary over those with items, and customers without items
+    are left out (as the reference's join did). Ties are broken by the person
+    key. The last (value, key) of each tile is found by selection
+    (``tile_cuts``), and a row's tile by comparing it with these few rows:
+    nothing is sorted, numbered or joined per score.
     """
     o = orders if status is None else orders.where(F.col("order_status") == status)
     o = o.select("order_id", "customer_id", TS).join(customers.select("customer_id", CUID), "customer_id")
     paid = items.groupBy("order_id").agg(F.sum("price").alias("paid"), F.lit(True).alias("_sold"))
     # one pass: all three scores come from one row per person
-    rf = reliable_checkpoint(o.join(paid, "order_id", "left").groupBy(CUID).agg(
+    rf, n = counted_checkpoint(o.join(paid, "order_id", "left").groupBy(CUID).agg(
         F.max(TS).alias("last_purchase"), F.count("order_id").alias("total_orders"),
-        F.sum("paid").alias("total_spent"), F.max("_sold").alias("_sold")))
-    spent = rf.where("_sold").select(CUID, "total_spent")
-    rf = rf.select(CUID, "last_purchase", "total_orders")
-    rf = global_ntile(rf, tiles, [F.desc("last_purchase")], "recency", tiebreak=[CUID])
-    rf = global_ntile(rf, tiles, [F.desc("total_orders")], "frequency", tiebreak=[CUID])
-    m = global_ntile(spent, tiles, [F.desc("total_spent")], "monetary", tiebreak=[CUID])
-    return rf.join(m, CUID)
+        F.sum("paid").alias("total_spent"), F.coalesce(F.max("_sold"), F.lit(False)).alias("_sold")),
+        every=F.count(F.lit(1)), sold=F.count_if("_sold"))
+    since = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("last_purchase"))
+
+    def highest_first(value, where=F.lit(True)):
+        return F.struct(value.isNull().alias("none"), (-value).alias("value"), F.col(CUID).alias("key")), where
+
+    scores = {"recency": highest_first(since), "frequency": highest_first(F.col("total_orders")),
+              "monetary": highest_first(F.col("total_spent"), F.col("_sold"))}
+    sizes = {"recency": n["every"], "frequency": n["every"], "monetary": n["sold"]}
+    cuts = tile_cuts(rf, tiles, scores, F.col(CUID), sizes)
+    return rf.where("_sold").select(CUID, "last_purchase", "total_orders", "total_spent",
+                                    *[tile_number(rf, scores[s], cuts[s]).alias(s) for s in scores])
 
 
 def rfm_buckets(orders: DataFrame, items: DataFrame, customers: DataFrame, as_of,

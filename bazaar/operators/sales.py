@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bazaar.functions.timeutil import day_number, in_half_open, month_label
-from bazaar.operators.ranking import global_row_number
 
 TS = "order_purchase_timestamp"
 CAT_EN = "product_category_name_english"
@@ -67,23 +66,42 @@ def sold_item_weights(products: DataFrame, items: DataFrame, translation: DataFr
     return items.select("order_id", "order_item_id", "product_id", "seller_id").join(pc, "product_id")
 
 
-def ordered_categories(products: DataFrame, items: DataFrame, translation: DataFrame,
-                       categories: DataFrame) -> DataFrame:
-    """Per sold item of the given categories, its weight, ROW_NUMBER within
-    the category by weight (NULL first) and the category's item count.
+def category_weights(products: DataFrame, items: DataFrame, translation: DataFrame,
+                     categories: DataFrame) -> DataFrame:
+    """Sold items of the given categories as counts: (category, weight, items)."""
+    w = sold_item_weights(products, items, translation, categories)
+    return w.groupBy("category", "weight").agg(F.count(F.lit(1)).alias("items"))
+
+
+#: Consecutive row numbers generated at a time.
+NUMBERS = 1 << 16
+
 
-    Numbered by ``global_row_number``: a category holding a third of all items
-    is spread over many range partitions instead of one window task. Items of
-    equal weight are interchangeable in the output; a hash of the item keys
-    only serves to split such runs between partitions.
+def numbered_weights(counts: DataFrame) -> DataFrame:
+    """O10 from ``category_weights``: a row per item with its weight, ROW_NUMBER within the
+    category by weight (NULL first) and the category's item count.
+
+    Items of equal weight are interchangeable, so numbers are not given to
+    items by sorting them: a weight's items hold the numbers after those of
+    the smaller weights, and running counts over a category's distinct
+    weights (which the product dimension bounds) say which. The numbers are
+    then generated, in runs of ``NUMBERS`` dealt over all tasks, so a category
+    or weight that holds a third of all items is no task of its own.
     """
-    w = sold_item_weights(products, items, translation, categories)
-    w = w.select("weight", "category",
-                 F.xxhash64("order_id", "order_item_id", "product_id", "seller_id").alias("_h"))
-    n = global_row_number(w, [F.asc_nulls_first("weight")], ["category"], out="category_row_n",
-                          tiebreak=["_h"], with_group_size="category_count")
-    return n.select("weight", "category", F.col("category_row_n").cast("bigint").alias("category_row_n"),
-                    F.col("category_count").cast("bigint").alias("category_count"))
+    w = Window.partitionBy("category")
+    upto = F.sum("items").over(w.orderBy(F.asc_nulls_first("weight")).rowsBetween(Window.unboundedPreceding, 0))
+    placed = counts.select("weight", "category", (upto - F.col("items") + 1).alias("first"), upto.alias("last"),
+                           F.sum("items").over(w).alias("category_count"))
+    runs = placed.withColumn("first", F.explode(F.sequence("first", "last", F.lit(NUMBERS).cast("bigint"))))
+    runs = runs.withColumn("last", F.least(F.col("first") + NUMBERS - 1, "last")).repartition("category", "first")
+    return runs.select("weight", "category", F.explode(F.sequence("first", "last")).alias("category_row_n"),
+                       F.col("category_count").cast("bigint").alias("category_count"))
+
+
+def ordered_categories(products: DataFrame, items: DataFrame, translation: DataFrame,
+                       categories: DataFrame) -> DataFrame:
+    """``numbered_weights`` of the sold items: one pass of counts, one of numbering."""
+    return numbered_weights(category_weights(products, items, translation, categories))
 
 
 def categories_by_median(weights: DataFrame, weight: str = "weight", category: str = "category",

@@ -316,7 +316,9 @@ def q_category_share(t, P):
 
 @register("remove_outliers_sigma")
 def q_remove_outliers_sigma(t, P):
-    return CL.remove_outliers_sigma(q_ordered_categories(t, P), "weight", ["category"], 3.0)
+    """One histogram of the sold items feeds the row numbers and the bounds."""
+    w = reliable_checkpoint(S.category_weights(t.products, t.order_items, t.translation, _top(t, P)))
+    return CL.remove_outliers_sigma(S.numbered_weights(w), "weight", ["category"], 3.0, counts=w)
 
 
 @register("remove_outliers_iqr")
@@ -338,7 +340,7 @@ def q_explicit_order(t, P):
     """Weight boxes per top category (sigma-filtered) in median order. One
     (category, weight, count) histogram of the sold items feeds the bounds, the
     boxes and the medians; it is small and checkpointed."""
-    w = reliable_checkpoint(_top_weights(t, P).groupBy("category", "weight").agg(F.count(F.lit(1)).alias("items")))
+    w = reliable_checkpoint(S.category_weights(t.products, t.order_items, t.translation, _top(t, P)))
     boxes = CL.sigma_box_summary(w, "weight", "items", ["category"], 3.0)
     return SH.explicit_order(boxes, "category", S.categories_by_median(w, count="items"), "category",
                              order_by=[F.asc_nulls_first("median_weight")])
