@@ -49,6 +49,8 @@ _P = np.arange(POWERS)
 #: _SHIFT[m, q, r] = binomial(m, q) where q + r = m: (a + b)^m as a sum of a^q b^r
 _SHIFT = np.array([[[float(math.comb(m, q)) if q + r == m else 0.0 for r in range(POWERS)] for q in range(POWERS)]
                    for m in range(POWERS)])
+#: The tricube weight v^3 (3 - 3 v + v^2)^3 in powers 3..9 of v = 1 - t.
+_END = np.polynomial.polynomial.polypow([3.0, -3.0, 1.0], 3)
 
 
 # ---------------------------------------------------------------- rows of one key, as numpy arrays
@@ -179,15 +181,29 @@ def nodes_part(x: np.ndarray, h: np.ndarray, left: bool, lo: np.ndarray, hi: np.
     live = np.abs(near - x[:, None]) / s < 1
     edge = np.abs(far - x[:, None]) / s >= 1
     count = np.where(edge, v[:, -2 if left else -1], v[:, -3])
-    a = (r / s)[..., None] ** _P * live[..., None]       # (points, nodes, q)
-    d = ((c - x[:, None]) / s)[..., None] ** _P          # (points, nodes, r)
-    out, sign = [np.where(flat, v[:, -3].sum(), (count * live).sum(1))], -1.0 if left else 1.0
-    for part, most in ((v[:, :POWERS], 3), (v[:, POWERS:2 * POWERS], 2)):
-        g = np.matmul((a * part).transpose(0, 2, 1), d)  # (points, q, r)
-        m = np.einsum("pqr,mqr->mp", g, _SHIFT)
-        sums = [m[i] - 3 * sign * m[i + 3] + 3 * m[i + 6] - sign * m[i + 9] for i in range(most)]
-        sums[0] = np.where(flat, part[:, 0].sum(), sums[0])
-        out += [np.where(flat, 0.0, e) if i else e for i, e in enumerate(sums)]
+    sign = -1.0 if left else 1.0
+    out = [np.where(flat, v[:, -3].sum(), (count * live).sum(1)), *np.zeros((5, len(x)))]
+    # near the point in powers of u = (x - x_i) / h; near the window's end, where the weight vanishes, of 1 - |u|
+    outer = np.abs(near - x[:, None]) / s > 0.5
+    for some, middle, scale in ((live & ~outer, (c - x[:, None]) / s, r / s),
+                                (live & outer, 1 - np.abs(c - x[:, None]) / s, -sign * r / s)):
+        if not some.any():
+            continue
+        a = scale[..., None] ** _P * some[..., None]       # (points, nodes, q)
+        d = middle[..., None] ** _P                        # (points, nodes, r)
+        m, my = (np.einsum("pqr,mqr->mp", np.matmul((a * part).transpose(0, 2, 1), d), _SHIFT)
+                 for part in (v[:, :POWERS], v[:, POWERS:2 * POWERS]))
+        if (some & outer).any():
+            w, wy = (np.stack([_END @ e[3 + i:10 + i] for i in range(n)]) for e, n in ((m, 3), (my, 2)))
+            w = np.stack([w[0], sign * (w[0] - w[1]), w[0] - 2 * w[1] + w[2]])
+            wy = np.stack([wy[0], sign * (wy[0] - wy[1])])
+        else:
+            w, wy = (np.stack([e[i] - 3 * sign * e[i + 3] + 3 * e[i + 6] - sign * e[i + 9] for i in range(n)])
+                     for e, n in ((m, 3), (my, 2)))
+        for i, e in enumerate((*w, *wy)):
+            out[1 + i] = out[1 + i] + e
+    for i, e in enumerate((v[:, 0].sum(), 0.0, 0.0, v[:, POWERS].sum(), 0.0)):
+        out[1 + i] = np.where(flat, e, out[1 + i])
     return np.stack(out)
 
 
@@ -350,14 +366,14 @@ def lowess(df: DataFrame, x: str, y: str, frac: float = 2.0 / 3.0, iters: int =
     k = f"bigint(greatest(least(floor({float(frac)}D * n + 1e-10D), n), least(2, n)))"
     blocks = _windows(num.selectExpr(*own, "_x", "_y", "_rn - 1 AS _i", "n", f"{k} AS k"), own)
     blocks, seen = counted_checkpoint(blocks.selectExpr("*", "transform(x, v -> 1D) AS w"),
-                                      series=F.count_if(F.col("b") == 0))
+                                      series=F.count_if(F.col("b") == 0), largest=F.max("n"))
     for rnd in range(iters + 1):
         fitted = _round(blocks, own)
         if rnd == iters:
             break
         fitted = reliable_checkpoint(fitted)
         rows = fitted.selectExpr(*own, "explode(zip_with(y, f, (u, v) -> abs(u - v))) AS _r")
-        med = selected_quantiles(rows, "_r", own, {"_m": 0.5}, seen["series"])
+        med = selected_quantiles(rows, "_r", own, {"_m": 0.5}, seen["series"], seen["largest"])
         scaled = "least(abs(u - v) / (6 * _m), 1D)"
         scaled = f"IF(_m = 0, IF(u = v, 0D, 1D), {scaled})"
         # one median per series meets whole blocks, not points

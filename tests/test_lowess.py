@@ -76,6 +76,26 @@ def test_lowess_5000_points(spark):
     assert max(abs(g[2] - e[2]) for g, e in zip(got, exp)) < 1e-9
 
 
+def test_series_beyond_one_buffer_select_their_medians(spark, monkeypatch):
+    monkeypatch.setattr("bazaar.operators.selection.BUFFERED", 0)
+    rng = np.random.default_rng(8)
+    x, y = rng.uniform(0, 90, 700), rng.normal(0, 1, 700)
+    y[::50] += 9.0
+    df = spark.createDataFrame(list(zip(x.tolist(), y.tolist())), "x double, y double")
+    got = sorted((r.x, r.y, r.fit) for r in lowess(df, "x", "y", 0.3).collect())
+    assert max(abs(g[2] - e[2]) for g, e in zip(got, brute_lowess(x, y, 0.3))) < 1e-9
+
+
+def test_gaps_in_x_over_many_blocks(spark):
+    # window starts jump at a gap: one block's windows end in many blocks, and chunks of midpoints are skipped
+    rng = np.random.default_rng(9)
+    x = np.round(np.concatenate([rng.uniform(0, 1, 3000), rng.uniform(500, 501, 3500), [9e4, 9e4 + 1, 9e5]]), 4)
+    y = np.sin(x * 9) + rng.normal(0, 0.1, len(x))
+    df = spark.createDataFrame(list(zip(x.tolist(), y.tolist())), "x double, y double")
+    got = sorted((r.x, r.y, r.fit) for r in lowess(df, "x", "y", 0.3).collect())
+    assert max(abs(g[2] - e[2]) for g, e in zip(got, brute_lowess(x, y, 0.3))) < 1e-9
+
+
 def test_hot_x_values_and_large_offsets(spark):
     rng = np.random.default_rng(6)
     x = np.concatenate([np.full(120, 1e6 + 3.0), 1e6 + np.round(rng.uniform(0, 9, 150), 0)])
