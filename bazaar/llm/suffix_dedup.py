@@ -8,22 +8,24 @@
 3. Suffixes whose first ``gram`` words no other document has are dropped
    (a count per hash, combined before the shuffle).
 4. The others get their words up to ``window`` before and ``min_words`` after
-   the place, and are sorted over the cluster by (first words, words after,
-   words before): the sparse suffix array.
-5. Each entry is compared with the nearest entries of other documents above
-   and below it, in the order of the words after and once more in the order
-   of the words before, and the match is extended right and left. Matches of
-   ``min_words`` words or more are kept, and merged within a document. An entry
-   whose longest matches on both sides would do together, but which no one
-   neighbour has together, is compared with all entries of its first words.
-   The borders between partitions (two entries each) are compared as well.
+   the place, and are sorted by (first words, words after): the sparse suffix
+   array, a task holding whole runs of equal first words.
+5. An entry must match one other document in L words to the left and at least
+   min_words - L to the right. For every L the entries that agree in the L
+   words before them are neighbours in the order of the words after: the
+   nearest ones of other documents above and below have the longest match to
+   the right, and no other entry can do better. So all L together give the
+   exact union of the matches, extended left and right.
+6. First words of more than ``hot`` entries are not brought together: their
+   entries' windows of ``min_words`` words, one for each L, are counted by hash
+   (smallest and largest document, combined before the shuffle), which gives
+   the same spans.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -106,8 +108,8 @@ def _sequence_hash(h: np.ndarray, at: np.ndarray) -> list[bytes]:
     return [r.tobytes() for r in raw]
 
 
-def _suffixes(gram: int, before: int, after: int):
-    """(id, words, [(pos, gram, hot)]) -> one row per suffix with its words on both
+def _suffixes(before: int, after: int):
+    """(id, words, [(pos, gram)]) -> one row per suffix with its words on both
     sides as bytes: those before in reverse order; shorter at the text's ends."""
     def run(batches):
         for b in batches:
@@ -116,10 +118,32 @@ def _suffixes(gram: int, before: int, after: int):
                 pos = [f["pos"] for f in found]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([rid] * len(pos), pa.int64()), pa.array(pos, pa.int32()),
-                     pa.array([f["gram"] for f in found], pa.int64()), pa.array([f["hot"] for f in found], pa.bool_()),
+                     pa.array([f["gram"] for f in found], pa.int64()),
                      pa.array([w[p:p + after].tobytes() for p in pos], pa.binary()),
                      pa.array([w[max(0, p - before):p][::-1].tobytes() for p in pos], pa.binary())],
-                    ["id", "pos", "gram", "hot", "after", "before"])
+                    ["id", "pos", "gram", "after", "before"])
+    return run
+
+
+def _windows_of(before: int, size: int):
+    """(id, words, [(pos, gram)]) -> (id, start, k1, k2): the windows of ``size`` words
+    that begin at most ``before`` words before a suffix, hashed to 128 bits."""
+    def run(batches):
+        for b in batches:
+            for rid, raw, found in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                w = np.frombuffer(raw, np.uint32).astype(U64)
+                starts = np.unique(np.concatenate([np.arange(f["pos"] - before, f["pos"] + 1) for f in found]))
+                starts = starts[(starts >= 0) & (starts + size <= len(w))]
+                if not len(starts):
+                    continue
+                keys = []
+                for seed in (3, 1 << 40):
+                    k = np.full(len(starts), seed, U64)
+                    for i in range(size):
+                        k = mix64(k * U64(0x9E3779B97F4A7C15) + w[starts + i])
+                    keys.append(pa.array(k.view(np.int64)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(starts), rid)), pa.array(starts), *keys], ["id", "start", "k1", "k2"])
     return run
 
 
@@ -136,95 +160,62 @@ def _common(m: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.nd
 
 
 def _spans(ids, pos, gram, after, before, widths, min_words: int):
-    """Matches of neighbours, for sorted entries: (id, start, end) arrays."""
+    """Matches of entries sorted by (gram, after), whole grams: (id, start, end) arrays."""
     a, na = _matrix(after, widths[1])
     b, nb = _matrix(before, widths[0])
-    out = []
-    best = np.zeros((2, len(ids)), np.int64)  # longest match to the right, to the left
-    found = np.zeros(len(ids), bool)
-    orders = [np.arange(len(ids))]
-    # the same entries by the words before them, inside each run of equal first words
-    orders.append(np.array(sorted(range(len(ids)), key=lambda k: (gram[k], before[k])), np.int64))
-    for o in orders:
-        g, d = gram[o], ids[o]
+    left, right = np.full(len(ids), -1), np.full(len(ids), -1)
+    # the entries by the words before them; how many words each shares with the one above
+    by_before = np.lexsort((*b.T[::-1], gram))
+    x, y = by_before[1:], by_before[:-1]
+    shared = np.concatenate([[-1], np.where(gram[x] == gram[y], _common(b, nb, x, y), -1)])
+    agree = np.empty(len(ids), np.int64)
+    for words in range(widths[0] + 1):
+        agree[by_before] = np.cumsum(shared < words)  # entries that agree in so many words before them
+        many = np.bincount(agree)[agree] > 1
+        o = np.flatnonzero(many)
+        if not len(o):
+            break
+        o = o[np.argsort(agree[o], kind="stable")]
+        g, d = agree[o], ids[o]
         new = np.concatenate([[True], (g[1:] != g[:-1]) | (d[1:] != d[:-1])])
         first = np.flatnonzero(new)
         run = np.cumsum(new) - 1
         for near in (first[run] - 1, np.append(first, len(o))[run + 1]):  # the entry above / below this document's run
-            ok = (near >= 0) & (near < len(o))
-            i = np.flatnonzero(ok)
+            i = np.flatnonzero((near >= 0) & (near < len(o)))
             i = i[g[near[i]] == g[i]]
-            x, y = o[i], o[near[i]]
-            right, left = _common(a, na, x, y), _common(b, nb, x, y)
-            hit = right + left >= min_words
-            found[x[hit]] = True
-            np.maximum.at(best[0], x, right)
-            np.maximum.at(best[1], x, left)
-            out.append((ids[x[hit]], pos[x[hit]] - left[hit], pos[x[hit]] + right[hit]))
-    # the longest matches to both sides would do, but no neighbour has them together:
-    # such an entry is compared with all entries of its first words
-    for i in np.flatnonzero(~found & (best.sum(axis=0) >= min_words)):
-        j = np.flatnonzero((gram == gram[i]) & (ids != ids[i]))
-        x = np.full(len(j), i)
-        right, left = _common(a, na, x, j), _common(b, nb, x, j)
-        hit = right + left >= min_words
-        out.append((ids[x[hit]], pos[x[hit]] - left[hit], pos[x[hit]] + right[hit]))
-    return [np.concatenate(c) for c in zip(*out)]
-
-
-def _neighbours(widths, min_words: int, max_rows: int = 200_000):
-    """Sorted entries -> spans (kind 0), and the partition's first and last entry (kind 1)."""
-    def table(t):
-        return (t.column("id").to_numpy(), t.column("pos").to_numpy().astype(np.int64), t.column("gram").to_numpy(),
-                t.column("after").to_pylist(), t.column("before").to_pylist())
+            reach = _common(a, na, o[i], o[near[i]])
+            hit = words + reach >= min_words
+            e = o[i[hit]]
+            left[e] = words
+            right[e] = np.maximum(right[e], reach[hit])
+    e = np.flatnonzero(left >= 0)
+    return ids[e], pos[e] - left[e], pos[e] + right[e]
+
 
+def _neighbours(widths, min_words: int):
+    """Sorted entries -> spans (id, start, end)."""
     def spans(t):
-        if not t.num_rows:
-            return
-        i, s, e = _spans(*table(t), widths, min_words)
-        none = pa.nulls(len(i), pa.binary())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.zeros(len(i), np.int32)), pa.array(i), pa.array(s), pa.array(e),
-             pa.nulls(len(i), pa.int64()), none, none], NAMES)
-
-    def edge(t, place):
-        r = t.slice(place, 1)
-        part = TaskContext.get().partitionId()
-        return pa.RecordBatch.from_arrays(
-            [pa.array([2 * part + 1 + (place > 0)], pa.int32()), pa.array(r.column("id").to_numpy()),
-             pa.array(r.column("pos").to_numpy().astype(np.int64)), pa.nulls(1, pa.int64()),
-             pa.array(r.column("gram").to_numpy()), pa.array(r.column("after").to_pylist(), pa.binary()),
-             pa.array(r.column("before").to_pylist(), pa.binary())], NAMES)
+        found = _spans(t.column("id").to_numpy(), t.column("pos").to_numpy().astype(np.int64), t.column("gram").to_numpy(),
+                       t.column("after").to_pylist(), t.column("before").to_pylist(), widths, min_words)
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["id", "start", "end"])
 
     def run(batches):
-        held, begun = None, False
+        held = None
         for b in batches:
             if not b.num_rows:
                 continue
             t = pa.Table.from_batches([b])
-            if not begun:
-                yield edge(t, 0)
-                begun = True
             held = t if held is None else pa.concat_tables([held, t]).combine_chunks()
             gram = held.column("gram").to_numpy()
             cut = np.flatnonzero(gram != gram[-1])
-            end = cut[-1] + 1 if len(cut) else 0
-            if not end and held.num_rows > max_rows:
-                # one long run of equal first words: go on with its last entries, which the next ones follow
-                yield from spans(held)
-                held = held.slice(held.num_rows - max_rows // 10).combine_chunks()
-            elif end:
-                yield from spans(held.slice(0, end))
-                held = held.slice(end)
-        if held is not None and held.num_rows:
-            yield from spans(held)
-            yield edge(held, held.num_rows - 1) if held.num_rows > 1 else edge(pa.concat_tables([held, held]), 1)
+            if len(cut):
+                yield from spans(held.slice(0, cut[-1] + 1).combine_chunks())
+                held = held.slice(cut[-1] + 1)
+        if held is not None:
+            yield from spans(held.combine_chunks())
     return run
 
 
-NAMES = ["kind", "id", "start", "end", "gram", "after", "before"]
-
-
 def _merge(batches):
     """(id, sorted spans) -> the union of the spans."""
     for b in batches:
@@ -243,22 +234,20 @@ def _merge(batches):
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50,
-                      gram: int = 20, window: int = 30, hot: int = 20_000) -> DataFrame:
+                      gram: int = 20, window: int = 30, hot: int = 5_000) -> DataFrame:
     """-> (doc_id, n_words, n_repeated, spans): the documents with passages of at
     least ``min_words`` words that another document has too; ``spans`` are word
     ranges [start, end), in order and apart; n_repeated is their total length.
 
     Words are runs of anything but ASCII white space, A-Z lower-cased. A
     document whose whole text (of ``min_words`` words or more) another one has
-    is one span. Equal first words of up to ``hot`` suffixes are one task's; more
-    of them are split by the words that follow, and then a span can miss a few
-    words at its ends that only an entry of another task shares.
+    is one span. ``hot`` bounds the entries of one task; results do not depend on it.
 
     Defined cases: NULL, empty and shorter texts have no passages. Rows that
     repeat an id are one document, so a text does not repeat itself that way;
     their spans are joined and returned with every row. Rows with a NULL id
     are left out. Repeats inside one document do not count. Other columns are
-    not looked at. No rows give no rows.
+    not looked at. Texts of any length are taken whole. No rows give no rows.
     """
     if window + gram - 1 > min_words:
         raise ValueError("window + gram - 1 must not be over min_words")
@@ -279,32 +268,26 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     shared = reliable_checkpoint(places.groupBy("gram").agg(F.min("id").alias("a"), F.max("id").alias("b"),
                                                              F.count(F.lit(1)).alias("m"))
                                  .where("a != b").select("gram", (F.col("m") > hot).alias("hot")))
-    found = (places.join(shared, "gram").groupBy("id", "hid")
-             .agg(F.collect_set(F.struct("pos", "gram", "hot")).alias("found")))
     # the texts of those documents are read again: their words travel once, as hashes
     texts = src.mapInArrow(_words, "id bigint, hid binary, words binary")
-    entries = (texts.join(found, ["id", "hid"]).dropDuplicates(["id", "hid"]).select("id", "words", "found")
-               .mapInArrow(_suffixes(gram, window, min_words),
-                           "id bigint, pos int, gram bigint, hot boolean, after binary, before binary"))
+
+    def words_of(grams: DataFrame) -> DataFrame:
+        """(id, words, found) of the documents with places of these grams."""
+        found = places.join(grams, "gram").groupBy("id", "hid").agg(F.collect_set(F.struct("pos", "gram")).alias("found"))
+        return texts.join(found, ["id", "hid"]).dropDuplicates(["id", "hid"]).select("id", "words", "found")
+
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    widths = (window, min_words)
-    array = (entries.repartitionByRange(parts, "gram", F.when(F.col("hot"), F.col("after")),
-                                        F.when(F.col("hot"), F.col("before")), F.when(F.col("hot"), F.col("id")))
-             .sortWithinPartitions("gram", "after", "before", "id"))
-    matched = reliable_checkpoint(array.mapInArrow(
-        _neighbours(widths, min_words),
-        "kind int, id bigint, start bigint, end bigint, gram bigint, after binary, before binary"))
-    # two rows per partition
-    edges = sorted(matched.where("kind > 0").collect(), key=lambda r: r.kind)
-    extra = []
-    for x, y in zip(edges, edges[1:]):
-        if x.kind % 2 == 0 and x.gram == y.gram:
-            i, s, e = _spans(np.array([x.id, y.id]), np.array([x.start, y.start]), np.array([x.gram, y.gram]),
-                             [bytes(x.after), bytes(y.after)], [bytes(x.before), bytes(y.before)], widths, min_words)
-            extra += [(int(a), int(b), int(c)) for a, b, c in zip(i, s, e)]
-    spans = matched.where("kind = 0").select("id", "start", "end")
-    if extra:
-        spans = spans.unionByName(docs.sparkSession.createDataFrame(extra, "id bigint, start bigint, end bigint"))
+    entries = words_of(shared.where("NOT hot").select("gram")).mapInArrow(
+        _suffixes(window, min_words), "id bigint, pos int, gram bigint, after binary, before binary")
+    spans = (entries.repartition(parts, "gram").sortWithinPartitions("gram", "after")
+             .mapInArrow(_neighbours((window, min_words), min_words), "id bigint, start bigint, end bigint"))
+    if not shared.where("hot").isEmpty():
+        seen = reliable_checkpoint(words_of(shared.where("hot").select("gram")).mapInArrow(
+            _windows_of(min_words - gram, min_words), "id bigint, start bigint, k1 bigint, k2 bigint"))
+        twice = reliable_checkpoint(seen.groupBy("k1", "k2").agg(F.min("id").alias("a"), F.max("id").alias("b"))
+                                    .where("a != b").select("k1", "k2"))
+        spans = spans.unionByName(seen.join(twice, ["k1", "k2"]).select(
+            "id", "start", (F.col("start") + min_words).alias("end")))
     merged = (spans.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
               .mapInArrow(_merge, "id bigint, spans array<struct<start:bigint,end:bigint>>"))
 

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from bazaar.llm.suffix_dedup import repeated_passages
 
 from .data import odd_rows, prose, row, table
@@ -47,19 +49,40 @@ def test_against_brute_force(spark):
     check(repeated_passages(table(spark, rows)).collect(), brute(rows))
 
 
-def test_many_partitions_and_hot_grams(spark):
+@pytest.mark.parametrize("hot", [0, 2, 5_000])
+def test_many_partitions_and_hot_grams(spark, hot):
     rows = made()
-    want = brute(rows)
     spark.conf.set("spark.sql.shuffle.partitions", "61")
     try:
-        check(repeated_passages(table(spark, rows)).collect(), want)
-        got = repeated_passages(table(spark, rows), hot=2).collect()
+        check(repeated_passages(table(spark, rows), hot=hot).collect(), brute(rows))
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
-    assert {r.doc_id for r in got} == set(want)
-    for r in got:
-        words = {p for s in r.spans for p in range(s.start, s.end)}
-        assert words <= want[r.doc_id] and len(words) >= len(want[r.doc_id]) - 6
+
+
+@pytest.mark.parametrize("hot", [0, 100, 5_000])
+def test_pairs_that_share_ten_words_before_a_footer_of_many(spark, hot):
+    rng = random.Random(7)
+    footer = prose(rng, 40)
+    rows = [row(1000 + i, prose(rng, 60) + " " + footer + " " + prose(rng, 20)) for i in range(300)]
+    for i in range(30):
+        both = prose(rng, 10)
+        rows += [row(2 * i + j, prose(rng, 30) + " " + both + " " + footer + " " + prose(rng, 30)) for j in (0, 1)]
+    want = brute(rows)
+    assert set(range(60)) <= set(want)
+    check(repeated_passages(table(spark, rows), hot=hot).collect(), want)
+
+
+def test_a_middle_match_beside_longer_ones_on_either_side(spark):
+    # entry's best neighbour to the right, to the left, and a third document with some of both
+    rng = random.Random(8)
+    gram, left, right = prose(rng, 20), prose(rng, 30), prose(rng, 30)
+    lw, rw = left.split(), right.split()
+    other = lambda n: prose(rng, n)
+    rows = [row(1, other(9) + " " + left + " " + gram + " " + right + " " + other(9)),
+            row(2, other(40) + " " + gram + " " + " ".join(rw[:25]) + " " + other(9)),
+            row(3, other(9) + " " + left + " " + gram + " " + other(40)),
+            row(4, other(9) + " " + " ".join(lw[15:]) + " " + gram + " " + " ".join(rw[:20]) + " " + other(9))]
+    check(repeated_passages(table(spark, rows)).collect(), brute(rows))
 
 
 def test_empty_table(spark):
