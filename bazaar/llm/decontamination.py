@@ -83,7 +83,8 @@ def _word_counts(batches):
     for b in batches:
         for lo, hi, data, offs in slices(b.column("text")):
             yield pa.RecordBatch.from_arrays(
-                [b.column("id").slice(lo, hi - lo), pa.array(np.diff(words.spans(data, offs)[2]))], ["id", "n"])
+                [*(b.column(c).slice(lo, hi - lo) for c in ("doc_id", "id")),
+                 pa.array(np.diff(words.spans(data, offs)[2]))], ["doc_id", "id", "n"])
 
 
 class _Items:
@@ -233,20 +234,23 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     sorted as strings.
 
     Defined cases: NULL or empty texts and items have no words and hit nothing.
-    Rows that repeat an id share their hits. A row with a NULL id has no hits.
+    Texts of any length are read whole. Rows that repeat an id share their
+    hits. A row with a NULL id is a document of its own, named by its text.
     Items that repeat an item id are one item with several texts. NULL item
     ids are ignored. Other columns are not looked at.
     """
-    hits = phrase_hits(docs, items, id_col, text_col, item_col, item_text_col, size, block_words)
+    text = F.col(text_col).cast("string")
+    src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text.alias("text"),
+                      F.coalesce(F.col(id_col).cast("bigint"), F.xxhash64(F.lit("no id"), text)).alias("id"))
+    hits = phrase_hits(src.select("id", "text"), items, "id", "text", item_col, item_text_col, size, block_words)
     per = hits.where("id IS NOT NULL").groupBy("id").agg(
         F.collect_set(F.struct("start", "width")).alias("spans"), F.array_sort(F.collect_set("item_id")).alias("items"))
     words = F.array_distinct(F.flatten(F.transform(
         "spans", lambda s: F.sequence(s["start"], s["start"] + s["width"] - 1))))
     per = per.select("id", F.size(words).cast("bigint").alias("n_hit"), "items")
-    src = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sized = src.mapInArrow(_word_counts, "id bigint, n bigint")
+    sized = src.mapInArrow(_word_counts, "doc_id bigint, id bigint, n bigint")
     return sized.join(per, "id", "left").select(
-        F.col("id").alias("doc_id"), F.col("n").alias("n_words"), F.coalesce("n_hit", F.lit(0)).alias("n_hit"),
+        "doc_id", F.col("n").alias("n_words"), F.coalesce("n_hit", F.lit(0)).alias("n_hit"),
         F.coalesce(F.size("items"), F.lit(0)).cast("bigint").alias("n_items"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))

@@ -187,9 +187,10 @@ def _judge(names: list[str], mean: np.ndarray, sd: np.ndarray, z: float, min_exc
     return run
 
 
-def _score(models: dict[str, Model], z: float, min_excess: float, cap: int):
+def _score(models: dict[str, Model], few: set[str], z: float, min_excess: float, cap: int):
     names = list(models)
-    mean, sd = (np.array([getattr(models[m], a) for m in names]) for a in ("mean", "sd"))
+    mean = np.array([models[m].mean for m in names])
+    sd = np.array([np.inf if m in few else models[m].sd for m in names])
 
     def run(batches):
         known, bits = np.zeros(0, U64), np.zeros((len(names), 0))
@@ -286,7 +287,7 @@ def _run_grams(batches):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), r)), pa.array(u)], ["run", "gram"])
 
 
-def _by_joins(src: DataFrame, grams: DataFrame, names: list[str], z: float, min_excess: float, cap: int,
+def _by_joins(src: DataFrame, grams: DataFrame, names: list[str], few: set[str], z: float, min_excess: float, cap: int,
               max_bytes: int = 8 << 20) -> DataFrame:
     """Judged texts where the models are too large for a task."""
     kind = src.schema["id"].dataType.simpleString()
@@ -301,7 +302,8 @@ def _by_joins(src: DataFrame, grams: DataFrame, names: list[str], z: float, min_
     off = (F.col("bits") - F.col("mean")) * (F.col("bits") - F.col("mean"))
     spread = {r.lang: r for r in seen.join(F.broadcast(mean), "lang").groupBy("lang").agg(
         F.first("mean").alias("mean"), F.sqrt(F.sum(off * F.col("n")) / F.sum("n")).alias("sd")).collect()}
-    means, sds = (np.array([spread[n][a] for n in names]) for a in ("mean", "sd"))
+    means = np.array([spread[n]["mean"] for n in names])
+    sds = np.array([np.inf if n in few else spread[n]["sd"] for n in names])
     row = bits.groupBy("gram").agg(F.array_sort(F.collect_list(F.struct("lang", "bits"))).getField("bits").alias("bits"))
     sent = held.join(row, "gram").select("run", "gram", "bits")
 
@@ -345,14 +347,16 @@ def train(grams: DataFrame, names: list[str]) -> dict[str, Model]:
 
 def identify_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
                       at_once: int = 2_000_000, z: float = 12.0, min_excess: float = 1.0,
-                      cap: int = 32) -> DataFrame:
+                      cap: int = 32, least_letters: int = 5_000) -> DataFrame:
     """-> (doc_id, held_out, lang_pred, score, entropy, rejected), one row per input row.
 
     ``lang_pred`` is the language of lowest cross-entropy, `und` if the text
     is NULL or has no letter. ``score`` is that language's share among all, at
     equal priors, of the likelihood of the text counted as at most ``cap``
     letters. ``rejected`` texts read like none of the languages (see the
-    module text), or are `und`.
+    module text), or are `und`. A language learned from fewer than
+    ``least_letters`` letters says too little about texts it has not seen: a
+    text that is nearest to it is not rejected.
 
     Defined cases: labels equal to '' or any other text are languages of their
     own; NULL labels are not learned from. Rows that repeat an id are separate
@@ -361,13 +365,14 @@ def identify_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     small_batches(docs.sparkSession)
     grams = counted(docs, id_col, text_col, lang_col)
-    types = {r.lang: r["count"] for r in grams.groupBy("lang").count().collect()}  # one row per language
-    names = sorted(types)
+    told = grams.groupBy("lang").agg(F.count(F.lit(1)).alias("types"), F.sum("n").alias("n")).collect()
+    types = {r.lang: r.types for r in told}  # one row per language
+    names, few = sorted(types), {r.lang for r in told if r.n < least_letters}
     src = docs.select(F.col(id_col).alias("id"), F.coalesce(held_out(id_col), F.lit(False)).alias("held_out"),
                       F.col(text_col).cast("string").alias("text"))
     if sum(types.values()) > at_once:
-        out = _by_joins(src, grams, names, z, min_excess, cap)
+        out = _by_joins(src, grams, names, few, z, min_excess, cap)
     else:
         kind = src.schema["id"].dataType.simpleString()
-        out = src.mapInArrow(_score(train(grams, names), z, min_excess, cap), _schema(kind))
+        out = src.mapInArrow(_score(train(grams, names), few, z, min_excess, cap), _schema(kind))
     return out.withColumnRenamed("id", "doc_id")

@@ -39,20 +39,22 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     documents or more hold are dropped everywhere but in the smallest id.
 
     Defined cases: NULL or empty text is one empty line, and kept_text is then
-    ''. Rows that repeat an id are the same document: they count once, and
-    each is cleaned and returned. A row with a NULL id neither counts nor
+    ''. Texts of any length are split whole. Rows that repeat an id are the
+    same document: they count once, and each is cleaned, by its own text, and
+    returned. A row with a NULL id neither counts nor
     loses lines. Lines of a text with all lines dropped join to ''. Other
     columns are not looked at.
     """
     src = docs.select(F.col(id_col).cast("bigint").alias("id"),
                       F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    src = src.withColumn("t", F.xxhash64("text"))  # rows that repeat an id may hold different texts
     split = F.split("text", "\n", -1)
     keyed = F.transform(
         line_keys(split), lambda k, i: F.struct(
             i.alias("pos"), F.when(F.length(k) >= min_chars, F.xxhash64(k)).alias("h1"),
             F.xxhash64(F.lit("line"), k).alias("h2")))
-    lines = (src.where("id IS NOT NULL").select("id", F.explode(keyed).alias("l"))
-             .select("id", "l.pos", "l.h1", "l.h2").where("h1 IS NOT NULL"))
+    lines = (src.where("id IS NOT NULL").select("id", "t", F.explode(keyed).alias("l"))
+             .select("id", "t", "l.pos", "l.h1", "l.h2").where("h1 IS NOT NULL"))
     if min_docs <= 2:  # two holders differ: smallest and largest id do
         shared = lines.groupBy("h1", "h2").agg(F.min("id").alias("low"), F.max("id").alias("high")) \
             .where("low != high" if min_docs == 2 else "true")
@@ -63,8 +65,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # hot line's holders can be split
     shared = reliable_checkpoint(shared)
     surplus = (lines.join(shared.select("h1", "h2", "low"), ["h1", "h2"]).where("id != low")
-               .groupBy("id").agg(F.collect_set("pos").alias("gone")))
-    both = src.withColumn("lines", split).join(surplus, "id", "left")
+               .groupBy("id", "t").agg(F.collect_set("pos").alias("gone")))
+    both = src.withColumn("lines", split).join(surplus, ["id", "t"], "left")
     left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.coalesce("gone", F.array().cast("array<int>")))
     return both.select(
         F.col("id").alias("doc_id"), F.size("lines").cast("bigint").alias("n_lines"),

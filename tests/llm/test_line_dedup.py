@@ -35,6 +35,15 @@ def test_against_brute_force(spark):
         assert sorted((tuple(r) for r in got), key=str) == brute(rows, min_docs=least)
 
 
+def test_texts_of_one_id_lose_their_own_lines_only(spark):
+    rows = [row(0, "a line of many\nzero zero zero"), row(1, "a line of many\nonly in this text"),
+            row(1, "unique text of the same id"), row(1, "another unique text\na line of many")]
+    got = line_dedup(table(spark, rows)).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute(rows)
+    assert {r.kept_text for r in got if r.doc_id == 1} == {"only in this text", "unique text of the same id",
+                                                           "another unique text"}
+
+
 def test_empty_table(spark):
     out = line_dedup(table(spark, []))
     assert out.columns == ["doc_id", "n_lines", "n_dropped", "kept_text"] and out.count() == 0

@@ -68,10 +68,43 @@ def test_mixing_repeats_documents(spark):
 
 def test_registered():
     q = E.queries()
-    assert {n.split("_")[0] for n in q if n.startswith("op")} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in q if n.startswith("op")} == {f"op{i}" for i in range(1, 14)}
     assert "pipeline" in q and "pipeline" not in E.oracle_sql()
 
 
+def test_rows_without_or_with_a_shared_id_are_judged_alone(spark, tmp_path):
+    rng = random.Random(13)
+    rows = [row(i, prose(rng, 60, lang), lang) for i in range(60) for lang in ["en", "fr"]][::2] + [
+        row(1000 + i, prose(rng, 60, "fr"), "fr") for i in range(30)]
+    passage, twin = prose(rng, 14), prose(rng, 70)
+    extra = [row(None, "12 34 -- !!"), row(None, prose(rng, 70)), row(None, prose(rng, 70) + " " + passage),
+             row(7, prose(rng, 70)), row(7, twin), row(2000, twin), row(8, prose(rng, 50) + " " + passage)]
+    spark.createDataFrame([(0, passage)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = table(spark, rows + extra)
+    texts = lambda df: sorted(r.text for r in df.collect())
+    every = sorted(r[1] for r in rows + extra)
+
+    def without(*gone):
+        left = list(every)
+        for g in gone:
+            left.remove(g)
+        return left
+
+    assert texts(C.language(spark, docs, str(tmp_path))) == without("12 34 -- !!")
+    assert texts(C.decontamination(spark, docs, str(tmp_path))) == without(extra[2][1], extra[6][1])
+    assert texts(C.near_dedup(spark, docs, str(tmp_path))) == without(twin)
+    assert set(texts(C.mixing(spark, docs, str(tmp_path)))) <= set(every)
+
+
+def test_few_texts_of_a_language_are_kept(spark):
+    rng = random.Random(14)
+    for labelled in (2, 5):
+        rows = [row(i, prose(rng, 60, "en"), "en") for i in range(60)]
+        rows += [row(100 + i, prose(rng, 60, "fr"), "fr" if i < labelled else None) for i in range(40)]
+        kept = {r.doc_id for r in C.language(spark, table(spark, rows), "").collect()}
+        assert kept == {r[0] for r in rows}
+
+
 def test_near_dedup_from_a_similarity_of_80_percent(spark):
     rng = random.Random(12)
     rows = [row(i, prose(rng, rng.randint(5, 60))) for i in range(30)]
