@@ -30,39 +30,69 @@ def _listed(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
-def _only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """Rows of docs whose id is (left_semi) or is not (left_anti) among ``ids``."""
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["__id"]), how)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key that names one text: the doc_id where no other row has
+    it, else (NULL or repeated ids) a hash of id and text. Equal rows share it."""
+    again = _listed(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    marked = docs.join(again, docs["doc_id"] == again["__id"], "left")
+    named = F.when(F.col("doc_id").isNull() | F.col("__id").isNotNull(),
+                   F.xxhash64(F.lit("row"), "doc_id", "text")).otherwise(F.col("doc_id"))
+    return marked.withColumn("__key", named).withColumn("__shared", F.col("__id").isNotNull() | F.col("doc_id").isNull())
+
+
+def _only(keyed: DataFrame, keys: DataFrame, how: str, columns: list[str]) -> DataFrame:
+    """Rows whose key is (left_semi) or is not (left_anti) among ``keys``."""
+    keys = keys.withColumnRenamed("__id", "__of")
+    return keyed.join(keys, keyed["__key"] == keys["__of"], how).select(*columns)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that read like one of the languages; rows that share an id go together."""
-    return _only(docs, _listed(identify_language(docs).where("rejected").select("doc_id")), "left_anti")
+    """Documents that read like one of the languages.
+
+    NULL, empty and letterless texts go. Rows are judged one by one by their
+    text, whatever ids they share or lack; rows with a NULL lang are judged like
+    others. Learned from the labelled rows that op7 learns from. No rows give no rows."""
+    keyed = _keyed(docs)
+    told = identify_language(keyed, id_col="__key").where("rejected")
+    return _only(keyed, _listed(told.select("doc_id").distinct()), "left_anti", docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates; of rows that repeat an id, one."""
-    left = _only(docs, _listed(near_duplicates(docs, percent=80).where("NOT kept").select("doc_id")), "left_anti")
-    again = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    again = _listed(again)
-    return _only(left, again, "left_anti").unionByName(_only(left, again, "left_semi").dropDuplicates(["doc_id"]))
+    """One document of each group of near-duplicates, the one of the smallest key.
+
+    Texts without words stay. Rows that share an id with another text, or have
+    none, are documents of their own; of rows equal in id and text one stays.
+    No rows give no rows."""
+    keyed = _keyed(docs)
+    told = near_duplicates(keyed, id_col="__key", percent=80).where("NOT kept")
+    left = keyed.join(_listed(told.select("doc_id").distinct()).withColumnRenamed("__id", "__of"),
+                      F.col("__key") == F.col("__of"), "left_anti")
+    one = left.where("__shared").dropDuplicates(["__key"])
+    return left.where("NOT __shared").unionByName(one).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any benchmark window."""
-    told = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _only(docs, _listed(told.where("contaminated").select("doc_id")), "left_anti")
+    """Documents without any benchmark window.
+
+    Rows are judged by their own text, also those that share an id or have
+    none; NULL and empty texts stay. No rows give no rows."""
+    keyed = _keyed(docs)
+    told = decontaminate(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="__key").where("contaminated")
+    return _only(keyed, _listed(told.select("doc_id").distinct()), "left_anti", docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it (0 to 3 times); rows that
-    repeat an id are taken as often as the most taken of them."""
-    taken = (mix_sources(docs).where("copies > 0").groupBy(F.col("doc_id").alias("__id"))
+    """Every document as often as the mix takes it (0 to 3 times).
+
+    Rows that share an id or have none are taken by their own key; rows equal
+    in id and text are taken as often as the most taken of them. No rows give no rows."""
+    keyed = _keyed(docs)
+    taken = (mix_sources(keyed, id_col="__key").where("copies > 0").groupBy(F.col("doc_id").alias("__of"))
              .agg(F.max("copies").alias("__copies")))
     taken = reliable_checkpoint(taken)
     again = F.explode(F.array_repeat(F.lit(0), F.col("__copies")))
-    return (docs.join(taken, docs["doc_id"].eqNullSafe(taken["__id"]))
-            .withColumn("__again", again).drop("__id", "__copies", "__again"))
+    return (keyed.join(taken, F.col("__key") == F.col("__of"))
+            .withColumn("__again", again).select(*docs.columns))
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
