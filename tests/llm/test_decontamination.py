@@ -21,7 +21,7 @@ def brute(rows, items, size=10):
             k = min(size, len(b))
             for s in range(len(b) - k + 1 if k else 0):
                 for p in range(len(w) - k + 1):
-                    if r[0] is not None and item is not None and w[p:p + k] == b[s:s + k]:
+                    if item is not None and w[p:p + k] == b[s:s + k]:
                         hit |= set(range(p, p + k))
                         found.add(str(item))
         out.append((r[0], len(w), len(hit), len(found), sorted(found), bool(hit)))
