@@ -197,7 +197,7 @@ def _score(models: dict[str, Model], few: set[str], z: float, min_excess: float,
 
         def look(u):
             nonlocal known, bits
-            if len(known) > 1_000_000:
+            if len(known) > 300_000:
                 known, bits = np.zeros(0, U64), np.zeros((len(names), 0))
             if len(known):
                 new = u[known[np.minimum(np.searchsorted(known, u), len(known) - 1)] != u]
