@@ -30,14 +30,18 @@ def _listed(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with a key that names one text: the doc_id where no other row has
-    it, else (NULL or repeated ids) a hash of id and text. Equal rows share it."""
-    again = _listed(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    marked = docs.join(again, docs["doc_id"] == again["__id"], "left")
-    named = F.when(F.col("doc_id").isNull() | F.col("__id").isNotNull(),
-                   F.xxhash64(F.lit("row"), "doc_id", "text")).otherwise(F.col("doc_id"))
-    return marked.withColumn("__key", named).withColumn("__shared", F.col("__id").isNotNull() | F.col("doc_id").isNull())
+def _keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """``docs`` with a key that names one text, and whether any row shares or lacks an id:
+    the doc_id where no other row has it, else a hash of id and text. Equal rows share it."""
+    again = reliable_checkpoint(docs.groupBy(F.col("doc_id").alias("__id")).count()
+                                .where("count > 1 OR __id IS NULL").select("__id", F.lit(True).alias("__shared")))
+    n = again.count()
+    if not n:
+        return docs.withColumns({"__key": F.col("doc_id"), "__shared": F.lit(False)}), False
+    again = F.broadcast(again) if n <= BROADCAST_IDS else again
+    marked = docs.join(again, docs["doc_id"].eqNullSafe(again["__id"]), "left")
+    named = F.when(F.col("__shared"), F.xxhash64(F.lit("row"), "doc_id", "text")).otherwise(F.col("doc_id"))
+    return marked.withColumns({"__key": named, "__shared": F.coalesce("__shared", F.lit(False))}), True
 
 
 def _only(keyed: DataFrame, keys: DataFrame, how: str, columns: list[str]) -> DataFrame:
@@ -52,9 +56,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     NULL, empty and letterless texts go. Rows are judged one by one by their
     text, whatever ids they share or lack; rows with a NULL lang are judged like
     others. Learned from the labelled rows that op7 learns from. No rows give no rows."""
-    keyed = _keyed(docs)
+    keyed, _ = _keyed(docs)
     told = identify_language(keyed, id_col="__key").where("rejected")
-    return _only(keyed, _listed(told.select("doc_id").distinct()), "left_anti", docs.columns)
+    return _only(keyed, _listed(told.select("doc_id")), "left_anti", docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,12 +67,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Texts without words stay. Rows that share an id with another text, or have
     none, are documents of their own; of rows equal in id and text one stays.
     No rows give no rows."""
-    keyed = _keyed(docs)
+    keyed, shared = _keyed(docs)
     told = near_duplicates(keyed, id_col="__key", percent=80).where("NOT kept")
-    left = keyed.join(_listed(told.select("doc_id").distinct()).withColumnRenamed("__id", "__of"),
+    left = keyed.join(_listed(told.select("doc_id")).withColumnRenamed("__id", "__of"),
                       F.col("__key") == F.col("__of"), "left_anti")
-    one = left.where("__shared").dropDuplicates(["__key"])
-    return left.where("NOT __shared").unionByName(one).select(*docs.columns)
+    if shared:
+        left = left.where("NOT __shared").unionByName(left.where("__shared").dropDuplicates(["__key"]))
+    return left.select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -76,9 +81,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows are judged by their own text, also those that share an id or have
     none; NULL and empty texts stay. No rows give no rows."""
-    keyed = _keyed(docs)
+    keyed, _ = _keyed(docs)
     told = decontaminate(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="__key").where("contaminated")
-    return _only(keyed, _listed(told.select("doc_id").distinct()), "left_anti", docs.columns)
+    return _only(keyed, _listed(told.select("doc_id")), "left_anti", docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -86,7 +91,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows that share an id or have none are taken by their own key; rows equal
     in id and text are taken as often as the most taken of them. No rows give no rows."""
-    keyed = _keyed(docs)
+    keyed, _ = _keyed(docs)
     taken = (mix_sources(keyed, id_col="__key").where("copies > 0").groupBy(F.col("doc_id").alias("__of"))
              .agg(F.max("copies").alias("__copies")))
     taken = reliable_checkpoint(taken)
