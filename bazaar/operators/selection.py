@@ -273,7 +273,9 @@ def tile_cuts(df: DataFrame, tiles: int, orders: dict[str, tuple[Column, Column]
         for s in spots:
             lo, hi, rows = s.narrowed()
             near.setdefault((s.name, lo, hi), []).append((s, rows))
-        few = sum(about[0][1] for about in near.values()) <= FETCH
+        # a sample of a few rows narrows nothing any more: its bracket is small
+        few = (sum(about[0][1] for about in near.values()) <= FETCH
+               or all(s.rows and rows > 0.8 * s.inside for about in near.values() for s, rows in about))
         told = _fetch(df, made, list(near)) if few else _sample(df, made, key, list(near))
         spots = []
         for ((_, lo, hi), about), (before, inside, rows) in zip(near.items(), told):
