@@ -96,7 +96,8 @@ def q_order_price_stats(t, P):
 
 
 def _costs(t):
-    return O.order_product_and_shipping_costs(t.delivered_orders(), t.order_items, status=None)
+    return t.once("order_costs", lambda: O.order_product_and_shipping_costs(
+        t.delivered_orders(), t.order_items, status=None))
 
 
 @register("order_product_and_shipping_costs")
@@ -106,8 +107,9 @@ def q_order_costs(t, P):
 
 # ---------------------------------------------------------------- sales
 def _ranked(t, exact: bool = False):
-    return S.ranked_categories(t.order_items, t.delivered_orders(), t.products, t.translation,
-                               status=None, exact=exact)
+    ranked = t.once("ranked_categories", lambda: S.ranked_categories(
+        t.order_items, t.delivered_orders(), t.products, t.translation, status=None, exact=True))
+    return ranked if exact else ranked.withColumn("sales", F.col("sales").cast("double"))
 
 
 def _summary(t, P):
@@ -149,13 +151,14 @@ def q_categories_by_median(t, P):
 
 @register("monthly_sales_selected_categories")
 def q_monthly_sales(t, P):
-    return S.monthly_sales_selected_categories(t.orders, t.order_items, t.products, t.translation,
+    return S.monthly_sales_selected_categories(t.orders_between(P.sales_start, None), t.order_items, t.products, t.translation,
                                                list(P.selected), start=P.sales_start)
 
 
 def _daily(t, P):
-    return S.daily_sales_per_category(t.orders, t.order_items, t.products, t.translation,
-                                      list(P.selected), P.sales_start, P.sales_end)
+    return t.once("daily_sales", lambda: S.daily_sales_per_category(
+        t.orders_between(P.sales_start, P.sales_end), t.order_items, t.products, t.translation,
+        list(P.selected), P.sales_start, P.sales_end))
 
 
 @register("daily_sales_per_category")
@@ -196,7 +199,8 @@ def q_order_stage_times(t, P):
 
 
 def _daily_ship(t, P):
-    return L.daily_avg_shipping_time(t.deliveries, P.ship_start, P.ship_end)
+    return t.once("daily_shipping", lambda: L.daily_avg_shipping_time(
+        t.deliveries_between(P.ship_start, P.ship_end), P.ship_start, P.ship_end))
 
 
 @register("daily_avg_shipping_time", ("avg_delivery_time",))
@@ -230,7 +234,8 @@ def q_clv(t, P):
 
 
 def _per_zip(t, P):
-    return C.avg_clv_per_zip(C.clv(t.customers, t.orders, t.order_payments), t.geolocation)
+    return t.once("clv_per_zip", lambda: C.avg_clv_per_zip(
+        C.clv(t.customers, t.orders, t.order_payments), t.geolocation))
 
 
 @register("avg_clv_per_zip", ("avg_CLV",), 2)
@@ -261,7 +266,7 @@ def q_hover_label(t, P):
 # ---------------------------------------------------------------- sellers, leads
 @register("seller_review_scores_and_sales", ("avg_review_score",))
 def q_seller_scores(t, P):
-    return SL.seller_review_scores_and_sales(t.order_items, t.order_reviews)
+    return t.once("seller_scores", lambda: SL.seller_review_scores_and_sales(t.order_items, t.order_reviews))
 
 
 @register("sellers_per_bucket")

@@ -17,7 +17,8 @@ from pyspark.sql import SparkSession
 
 from bazaar.plans import catalog as Q
 from bazaar.plans.params import REFERENCE, TEST, Params
-from bazaar.sources.roles import Roles
+from bazaar.sources.layout import LaidOut
+from bazaar.sources.roles import Roles, Shared
 from bazaar.sources.sinks import write_dataset
 
 # panel -> figure dataset -> registered query (several figures appear in two panels)
@@ -42,6 +43,8 @@ PANELS: dict[str, dict[str, str]] = {
 
 
 def _tables(spark: SparkSession, base_dir: str, schema: str):
+    if schema == "layout":
+        return LaidOut(spark, base_dir), TEST
     if schema == "commerce":
         from bazaar.sources.commerce import CommerceTables
         return CommerceTables(spark, base_dir), REFERENCE
@@ -53,14 +56,18 @@ def write_panels(spark: SparkSession, base_dir: str, out_dir: str, schema: str =
     """Write every figure dataset under ``out_dir/<panel>/<figure>``; returns the paths.
     ``schema`` 'test' reads the test tables through the role views, 'commerce'
     tables of the original schema (with the reference's parameters unless
-    ``params`` is given). Each dataset is built and written in turn."""
+    ``params`` is given), 'layout' a folder of ``write_layout``. Each dataset is
+    built and written in turn; inputs that several share (``TableSet.once``) are
+    built once, and a dataset of two panels is copied."""
     tables, default = _tables(spark, base_dir, schema)
     params = params or default
-    paths = {}
+    tables = Shared(tables)
+    paths, done = {}, {}
     for panel, figs in PANELS.items():
         for fig, q in figs.items():
             name = f"{panel}/{fig}"
-            paths[name] = write_dataset(Q.ANALYSES[q](tables, params), os.path.join(out_dir, name))
+            df = spark.read.parquet(done[q]) if q in done else Q.ANALYSES[q](tables, params)
+            paths[name] = done[q] = write_dataset(df, os.path.join(out_dir, name))
     return paths
 
 
@@ -70,7 +77,7 @@ def main(argv=None) -> None:
     ap = argparse.ArgumentParser(description=__doc__)
     ap.add_argument("--base-dir", required=True)
     ap.add_argument("--out", required=True)
-    ap.add_argument("--schema", choices=["test", "commerce"], default="test")
+    ap.add_argument("--schema", choices=["test", "commerce", "layout"], default="test")
     ap.add_argument("--master", default=None)
     a = ap.parse_args(argv)
     spark = get_session(a.master)

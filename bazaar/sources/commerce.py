@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bazaar.functions.numeric import MONEY
+from bazaar.sources.roles import TableSet
 
 # Required columns of each table with their declared types ("time": TIMESTAMP_NTZ,
 # TIMESTAMP, DATE or text that is parsed; "key": any type; "number": numeric or text of numbers).
@@ -64,7 +65,7 @@ def check_columns(df: DataFrame, table: str, wanted: dict[str, str]) -> DataFram
     return df
 
 
-class CommerceTables:
+class CommerceTables(TableSet):
     """Roles over Parquet tables named as in the original schema (one folder each).
 
     ``leads`` and ``deals`` name the qualified-lead table (key + origin) and

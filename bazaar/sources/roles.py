@@ -9,16 +9,57 @@ The mapping itself is fixed by FIXTURES.md §2.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bazaar.functions.numeric import MONEY
+from bazaar.session import reliable_checkpoint
 from bazaar.sources.tables import read_table
 
 
-class Roles:
+class TableSet:
+    """What the analyses ask of a set of tables besides its roles."""
+
+    def once(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """An input that several analyses share; here each builds its own."""
+        return build()
+
+    def orders_between(self, lo: str | None, hi: str | None) -> DataFrame:
+        """At least the orders bought in [lo, hi); operators apply the range itself."""
+        return self.orders
+
+    def deliveries_between(self, lo: str | None, hi: str | None) -> DataFrame:
+        """At least the deliveries of orders bought in [lo, hi)."""
+        return self.deliveries
+
+
+class Shared(TableSet):
+    """The roles of another set of tables, for a job that runs many analyses: each
+    shared input is built on first use and written to the checkpoint folder."""
+
+    def __init__(self, tables: TableSet):
+        self._of = tables
+        self._built: dict[str, DataFrame] = {}
+
+    def __getattr__(self, name: str):
+        return getattr(self._of, name)
+
+    def orders_between(self, lo: str | None, hi: str | None) -> DataFrame:
+        return self._of.orders_between(lo, hi)
+
+    def deliveries_between(self, lo: str | None, hi: str | None) -> DataFrame:
+        return self._of.deliveries_between(lo, hi)
+
+    def once(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        if name not in self._built:
+            self._built[name] = reliable_checkpoint(build())
+        return self._built[name]
+
+
+class Roles(TableSet):
     """Lazily built role DataFrames over one directory of base tables."""
 
     #: the key counted per city when ranking the cities of ``stages``
@@ -34,9 +75,16 @@ class Roles:
             self._tables[name] = read_table(self.spark, self.base_dir, name)
         return self._tables[name]
 
+    def months(self, orders: DataFrame, lo: str | None, hi: str | None) -> DataFrame:
+        """The months of [lo, hi), where the layout of the table has months."""
+        return orders
+
     @cached_property
     def orders(self) -> DataFrame:
-        o = self.table("orders")
+        return self.orders_between(None, None)
+
+    def orders_between(self, lo: str | None, hi: str | None) -> DataFrame:
+        o = self.months(self.table("orders"), lo, hi)
         status = (F.when(o.o_orderstatus == "F", "delivered")
                   .when(o.o_orderstatus == "O", "shipped").otherwise("processing"))
         return o.select(o.o_orderkey.alias("order_id"), o.o_custkey.alias("customer_id"),
@@ -132,7 +180,10 @@ class Roles:
     @cached_property
     def deliveries(self) -> DataFrame:
         """One row per order: purchase and delivery time (NULL without lines)."""
-        li, o = self.table("lineitem"), self.table("orders")
+        return self.deliveries_between(None, None)
+
+    def deliveries_between(self, lo: str | None, hi: str | None) -> DataFrame:
+        li, o = self.table("lineitem"), self.months(self.table("orders"), lo, hi)
         shipped = li.groupBy(li.l_orderkey).agg(F.max(li.l_shipdate).alias("shipped"))
         return (o.join(shipped, o.o_orderkey == shipped.l_orderkey, "left")
                 .select(o.o_orderkey.alias("order_id"), o.o_orderdate.alias("order_purchase_timestamp"),

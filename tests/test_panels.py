@@ -6,14 +6,33 @@ import pytest
 
 from bazaar.plans.catalog import QUERIES
 from bazaar.plans.panels import PANELS, write_panels
+from tools.executed_plans import executed, scans
 from tools.oracle_check import bag
 
 from .conftest import SF_SMALL
 
 
 @pytest.fixture(scope="module")
-def paths(spark):
-    return write_panels(spark, SF_SMALL, tempfile.mkdtemp(prefix="bazaar-panels-"))
+def job(spark, events):
+    """The written paths and the executed plans of the whole job."""
+    paths = {}
+    plans = executed(spark, events, lambda: paths.update(
+        write_panels(spark, SF_SMALL, tempfile.mkdtemp(prefix="bazaar-panels-"))))
+    return paths, plans
+
+
+@pytest.fixture(scope="module")
+def paths(job):
+    return job[0]
+
+
+def test_shared_inputs_are_built_once(job):
+    # four datasets come from the values by area, which alone read the suppliers' areas
+    assert scans(job[1], "supplier") == 1
+    # items: costs, category sales, monthly and daily sales, RFM, deliveries, seller scores, buckets
+    # and times, and the weights of the top categories
+    print("lineitem scans", scans(job[1], "lineitem"))
+    assert scans(job[1], "lineitem") <= 10
 
 
 def test_every_figure_is_written(paths):
