@@ -31,7 +31,6 @@ def test_shared_inputs_are_built_once(job):
     assert scans(job[1], "supplier") == 1
     # items: costs, category sales, monthly and daily sales, RFM, deliveries, seller scores, buckets
     # and times, and the weights of the top categories
-    print("lineitem scans", scans(job[1], "lineitem"))
     assert scans(job[1], "lineitem") <= 10
 
 
