@@ -11,7 +11,7 @@ documents of one source, drawn by a hash, so a hot source is many blocks. A
 block ends with at most a few undecided documents, which form the blocks of
 the next round (a thousandth of the rows). The last round lands what is left of
 a source, at most a few documents, and evens out the words that this leaves
-missing by one exchange.
+missing by exchanges.
 """
 
 from __future__ import annotations
@@ -62,8 +62,9 @@ def flight(p: list[float], size: list[float], rng: random.Random) -> list[float]
 def land(p: list[float], size: list[float]) -> list[float]:
     """Settle the last few entries: the 0/1 choice nearest to the number of
     documents, then the words, that they stand for. What is then missing in
-    words (a long document is often the last one open) is made up by the one
-    exchange of a taken document for another that comes nearest."""
+    words (a long document is often the last one open) is made up by exchanges
+    of a taken document for another: each time the one that leaves least
+    missing, until none leaves half a word less."""
     open_ = [i for i, x in enumerate(p) if 0 < x < 1]
     words, count = sum(p[i] * size[i] for i in open_), sum(p[i] for i in open_)
     best = min(itertools.product((0.0, 1.0), repeat=len(open_)),
@@ -72,17 +73,22 @@ def land(p: list[float], size: list[float]) -> list[float]:
     for i, x in zip(open_, best):
         p[i] = x
     missing = words - sum(x * size[i] for x, i in zip(best, open_))
-    taken, left = (np.array([i for i, x in enumerate(p) if x == v], np.int64) for v in (1.0, 0.0))
-    if len(taken) and len(left) and missing:
-        s = np.array(size, np.float64)
+    s = np.array(size, np.float64)
+    is_in = np.array(p) == 1.0
+    while missing:
+        taken, left = np.flatnonzero(is_in), np.flatnonzero(~is_in)
+        if not len(taken) or not len(left):
+            break
         taken = taken[np.argsort(s[taken], kind="stable")]
         near = np.searchsorted(s[taken], s[left] - missing)
         near = np.clip(np.stack([near - 1, near]), 0, len(taken) - 1)
         off = np.abs(s[left] - s[taken[near]] - missing)
         k, j = np.unravel_index(off.argmin(), off.shape)
-        if off[k, j] < abs(missing):
-            p[left[j]], p[taken[near[k, j]]] = 1.0, 0.0
-    return p
+        if off[k, j] > abs(missing) - 0.5:
+            break
+        missing -= s[left[j]] - s[taken[near[k, j]]]
+        is_in[left[j]], is_in[taken[near[k, j]]] = True, False
+    return [float(x) for x in is_in]
 
 
 def _fly(level: int):

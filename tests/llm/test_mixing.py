@@ -44,6 +44,16 @@ def test_flight_is_unbiased():
     assert all(abs(t - .3) < .05 for t in total)
 
 
+def test_landing_makes_up_a_long_document():
+    """One long document left open is made up by several exchanges of short ones."""
+    rng = random.Random(3)
+    size = [float(rng.randint(20, 60)) for _ in range(400)] + [1500.0]
+    p = [float(i % 2) for i in range(400)] + [.5]
+    out = land(p, size)
+    assert all(x in (0.0, 1.0) for x in out) and abs(sum(out) - sum(p)) <= 1
+    assert sum(x * s for x, s in zip(out, size)) == pytest.approx(sum(x * s for x, s in zip(p, size)), abs=1)
+
+
 def test_targets_limits_and_reruns(spark):
     rng = random.Random(2)
     rows = [row(i, prose(rng, rng.randint(1, 300)), source=rng.choice("aaaaaaaaaabcde")) for i in range(900)]
