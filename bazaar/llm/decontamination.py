@@ -127,11 +127,13 @@ def _confirm(items: _Items, reach: int):
             for rid, item, shift, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = items.terms[item].view(np.int64)
                 width = min(items.size, len(words))
-                at = {x["off"]: x["near"] for x in places}
+                at: dict[int, list] = {}  # texts that share an id have a posting each
+                for x in places:
+                    at.setdefault(x["off"], []).append(x["near"])
                 for s, a, b in by_item.get(item, ()):
                     if a in at and b in at:
-                        lo = s - a + reach
-                        if at[a][lo:lo + width] == words[s:s + width].tolist():
+                        lo, want = s - a + reach, words[s:s + width].tolist()
+                        if any(near[lo:lo + width] == want for near in at[a]):
                             rows.append((rid, item, shift + s, width))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[k] for r in rows], batch.schema.field("id").type if not k else pa.int64())
@@ -164,14 +166,13 @@ def phrase_hits(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, i
             continue
         index = reliable_checkpoint(src.mapInArrow(
             _postings(it.anchors(), size - 1), "id bigint, term bigint, pos bigint, near array<bigint>"))
-        at = spark.createDataFrame([(int(it.terms[i][p].view(np.int64)), i, p) for i, p in it.places],
-                                   "term bigint, item int, off int")
+        at = spark.createDataFrame([(int(it.terms[i][p].view(np.int64)), i, p, len(it.terms[i]) == 1)
+                                    for i, p in it.places], "term bigint, item int, off int, lone boolean")
         # bounded: at most two places for each window of the block
         met = (index.join(F.broadcast(at), "term")
                .groupBy("id", "item", (F.col("pos") - F.col("off")).alias("shift"))
-               .agg(F.collect_list(F.struct("off", "near")).alias("places")))
-        lone = F.array(*[F.lit(i) for i, w in enumerate(it.terms) if len(w) == 1]).cast("array<int>")
-        met = met.where((F.size("places") > 1) | F.array_contains(lone, F.col("item")))
+               .agg(F.collect_list(F.struct("off", "near")).alias("places"), F.max("lone").alias("lone"))
+               .where("size(places) > 1 OR lone").drop("lone"))
         rows = met.mapInArrow(_confirm(it, size - 1), "id bigint, item bigint, start bigint, width bigint")
         names = spark.createDataFrame(list(enumerate(it.ids)), "item bigint, item_id string")
         rows = rows.join(F.broadcast(names), "item").select("id", "item_id", "start", "width")
