@@ -62,3 +62,14 @@ def test_proximity(spark):
     items = spark.createDataFrame([("i", "Green red, blue")], "item_id string, text string")
     got = proximity_hits(docs, items, "doc_id", "text", "item_id", "text", within=6).collect()
     assert {r.id for r in got} == {1, 3}
+
+
+def test_texts_that_share_an_id_hide_no_hit(spark):
+    """Both texts have the item's rarest words in the same places, one of them has the passage."""
+    words = [f"w{i}x" for i in range(10)]
+    docs = [(7, " ".join(words)), (7, " ".join([*words[:4], "other", *words[5:]]))] * 3
+    docs = spark.createDataFrame([*docs, (8, "w0x")], "doc_id bigint, text string").repartition(3)
+    items = spark.createDataFrame([("a", " ".join(words)), ("b", "w0x")], "item_id string, text string")
+    got = {r.doc_id: r for r in decontaminate(docs, items).collect()}
+    assert list(got[7]["items"]) == ["a", "b"] and got[7].n_hit == 10
+    assert list(got[8]["items"]) == ["b"] and got[8].n_hit == 1
