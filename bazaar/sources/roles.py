@@ -15,6 +15,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bazaar.functions.firsts import first_rows
 from bazaar.functions.numeric import MONEY
 from bazaar.session import reliable_checkpoint
 from bazaar.sources.tables import read_table
@@ -170,12 +171,15 @@ class Roles(TableSet):
     @cached_property
     def shipments(self) -> DataFrame:
         li, o = self.table("lineitem"), self.table("orders")
-        # o_orderdate is one value per order: as a group key, its filters reach the scan
-        return (li.join(o, li.l_orderkey == o.o_orderkey, "left")
-                .groupBy(li.l_orderkey.alias("order_id"), li.l_suppkey.alias("seller_id"),
-                         o.o_orderdate.alias("order_purchase_timestamp"),
-                         o.o_orderkey.isNotNull().alias("has_order"))
-                .agg(F.max(li.l_shipdate).alias("order_delivered_customer_date")))
+        pairs = first_rows(li.select(li.l_orderkey.alias("order_id"), li.l_suppkey.alias("seller_id"),
+                                     li.l_shipdate.alias("order_delivered_customer_date")),
+                           "order_id", "seller_id", F.desc_nulls_last("order_delivered_customer_date"))
+        # an order is one row, unless its rows name several times
+        times = first_rows(o.select(o.o_orderkey.alias("known"), o.o_orderdate.alias("order_purchase_timestamp")),
+                           "known", "order_purchase_timestamp")
+        return (pairs.join(times, F.col("order_id") == F.col("known"), "left")
+                .select("order_id", "seller_id", "order_purchase_timestamp",
+                        F.col("known").isNotNull().alias("has_order"), "order_delivered_customer_date"))
 
     @cached_property
     def deliveries(self) -> DataFrame:
