@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bazaar.functions.firsts import mark_first
 from bazaar.functions.timeutil import days_between
 from bazaar.session import reliable_checkpoint
 
@@ -23,13 +24,13 @@ def seller_review_scores_and_sales(items: DataFrame, reviews: DataFrame, min_ord
     items x reviews fan-out.
     -> (seller_id, total_sales, avg_review_score, num_orders)"""
     rv = reviews.groupBy("order_id").agg(F.avg("review_score").alias("order_score"))
-    # joined first: rows dealt out by order also satisfy the grouping by (seller, order)
-    so = (items.join(rv, "order_id", "left").groupBy("seller_id", "order_id")
-          .agg(F.sum("price").alias("sales"), F.max("order_score").alias("order_score")))
+    # the first item of each (order, seller) stands for the pair; sales need no sum per pair
+    so = (mark_first(items.select("order_id", "seller_id", "price"), "order_id", "seller_id", "first")
+          .join(rv, "order_id", "left"))
     g = (so.groupBy("seller_id")
-         .agg(F.sum("sales").cast("double").alias("total_sales"),
-              F.avg("order_score").alias("avg_review_score"),
-              F.count(F.lit(1)).alias("num_orders")))
+         .agg(F.sum("price").cast("double").alias("total_sales"),
+              F.avg(F.when(F.col("first"), F.col("order_score"))).alias("avg_review_score"),
+              F.count_if("first").alias("num_orders")))
     return g.where(F.col("num_orders") >= min_orders) if min_orders else g
 
 
