@@ -17,6 +17,9 @@ U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
 _INV = pow(_BASE, -1, 1 << 64)
 
+#: Bytes of text that numpy takes at once: its temporary arrays are some tens of bytes for each.
+RUN = 1 << 19
+
 WORD = "word"          # digits, letters a-z (after lower-casing) and everything beyond ASCII
 NONSPACE = "nonspace"  # anything but ASCII white space
 LETTERS = "letters"    # letters a-z and everything beyond ASCII
@@ -43,7 +46,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def slices(column: pa.Array, max_bytes: int = 1 << 20):
+def slices(column: pa.Array, max_bytes: int = RUN):
     """Cut a string column into runs of whole texts of about ``max_bytes`` (one
     longer text is a run of its own): (first row, end row, bytes, offsets).
     NULL counts as an empty text."""
@@ -81,7 +84,7 @@ class Words:
     def _powers(self, n: int) -> None:
         if len(self.pw) < n:
             for name, base in (("pw", _BASE), ("inv", _INV)):
-                a = np.full(max(n, 1 << 20), base, U64)
+                a = np.full(max(n, RUN + 1), base, U64)
                 a[0] = 1
                 setattr(self, name, np.cumprod(a))
 

@@ -71,16 +71,17 @@ def text_grams(codes: np.ndarray, data: np.ndarray, offs: np.ndarray):
     keep[1:] |= (x[:-1] != 0) & ~first[1:]
     at = np.concatenate([[0], np.cumsum(keep)])[at]
     x = x[keep].astype(U64)
-    pos = np.arange(len(x)) - np.repeat(at[:-1], np.diff(at))
     key = x.copy()
     for k in range(1, ORDER):
         back = np.zeros(len(x), U64)
-        back[k:] = x[:-k]
-        key |= np.where(pos >= k, back, U64(0)) << (_BITS * U64(k))
+        np.left_shift(x[:-k], _BITS * U64(k), out=back[k:])
+        for j in range(k):  # the first k letters of a text have no letter k places back
+            back[np.minimum(at[:-1] + j, at[1:] - 1)[at[:-1] < at[1:]]] = 0
+        key |= back
     return key, at, np.diff(at) > 0
 
 
-def _count(flush: int = 400_000):
+def _count(flush: int = 200_000):
     """(lang, gram, n) rows of labelled texts, merged inside the task while they fit."""
     def merged(parts):
         return pa.concat_tables(parts).group_by(["lang", "gram"]).aggregate([("n", "sum")]).rename_columns(
